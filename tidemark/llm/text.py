@@ -99,7 +99,7 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for j in range(k):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + mix(h[j : j + n] + np.uint64(j + 1) * _ODD)
+        out = out * np.uint64(0xD6E8FEB86659FD93) + mix(h[j : j + n] + np.uint64((j + 1) * int(_ODD) % 2**64))
     return mix(out)
 
 
