@@ -72,7 +72,7 @@ def _sketches(k: int, t: float):
         b = bands(t)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            sets = shingle_sets(batch.column("text").to_pylist(), k)
+            sets = shingle_sets(batch.column("text"), k)
             whole = [(int(signed(mix(s).sum(keepdims=True))[0]), int(signed(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True))[0])) for s in sets]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -91,7 +91,7 @@ def _sketches(k: int, t: float):
 def _shingles(k: int):
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column("text").to_pylist(), k)
+            sets = shingle_sets(batch.column("text"), k)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return run

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.ngram_join import ngram_jaccard_join
+from tidemark.llm.packing import best_fit_packing
+from tidemark.llm.token_counts import token_counts
 from tidemark.session import ship
 
 
@@ -12,9 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+}
 ORACLE_SQL: dict[str, str] = {}
