@@ -13,29 +13,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import staged
+
 #: Rows of a tile, and about as many in a group of rare keys.
 TILE = 2048
+#: Broadcast the sizes of at most so many keys (about 50 bytes each); beyond it the join shuffles.
+BROADCAST_KEYS = 300_000
 
 
 def tiled(df: DataFrame, key: str, by: list[str], tile: int = TILE) -> DataFrame:
     """``df`` with columns part, lo, hi, side: group by the first three; side is -1 for rows of tile lo, 1 for those of tile hi, and 0
     where the two are one. Keys that one row has are left out. ``by``: columns that tell a key's rows apart.
     """
-    size = df.groupBy(key).agg(F.count("*").alias("size")).where("size > 1")
-    rows = df.join(size, key)
-    tiles = F.ceil(F.col("size") / tile)
-    rows = rows.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64(key, *by), F.col("tiles")))
-    # a key of one tile is the common case, and is not sent through the generator
-    few = rows.where("tiles = 1").withColumn("other", F.lit(0).cast("long"))
-    many = rows.where("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    both = few.unionByName(many)
+    size = staged(df.groupBy(key).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    rows, keys = size.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    rows_of = df.join(F.broadcast(size) if keys <= BROADCAST_KEYS else size, key)
+    rows_of = rows_of.withColumn("tiles", F.ceil(F.col("size") / tile)).withColumn("own", F.pmod(F.xxhash64(key, *by), F.col("tiles")))
+    others = F.when(F.col("tiles") > 1, F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).otherwise(F.array(F.lit(0).cast("long")))
+    both = rows_of.withColumn("other", F.explode(others))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
-    return both.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": side}).drop("tiles", "own", "other", "size")
-
-
-def with_parts(df: DataFrame, key: str, rows: int, tile: int = TILE) -> DataFrame:
-    """``df`` with the column part: keys dealt to groups of about a tile's rows, for a table of so many rows."""
-    return df.withColumn("part", F.pmod(F.xxhash64(key, F.lit("part")), F.lit(max(1, -(-rows // tile)))))
+    part = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(max(1, -(-rows // tile))))
+    return both.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": side, "part": part}).drop("tiles", "own", "other", "size")
 
 
 def runs(table: pa.Table, key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -55,14 +53,23 @@ def runs(table: pa.Table, key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield left, right
 
 
+def _least(linked: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """For each row of the matrix the least label among the columns that it links; a few rows at a time."""
+    top = np.iinfo(np.int64).max
+    return np.concatenate([np.where(linked[i : i + 128], labels[None, :], top).min(axis=1) for i in range(0, len(linked), 128)])
+
+
 def spanning(left: np.ndarray, right: np.ndarray, linked: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges ``(name, name)`` that hold together what the matrix ``linked`` links, no more than one a row. ``name``: of all rows."""
     own = left is right
-    a, b = name[left].copy(), name[right].copy()
-    top = np.iinfo(np.int64).max
+    i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    if not len(i):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    linked, left, right = linked[np.ix_(i, j)], left[i], right[j]
+    a, b = name[left], name[right]
     while True:
-        new_a = np.minimum(a, np.where(linked, b[None, :], top).min(axis=1))
-        new_b = new_a if own else np.minimum(b, np.where(linked, new_a[:, None], top).min(axis=0))
+        new_a = np.minimum(a, _least(linked, b))
+        new_b = new_a if own else np.minimum(b, _least(linked.T, new_a))
         if (new_a == a).all() and (own or (new_b == b).all()):
             break
         a, b = new_a, new_b
