@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.cap_filters import embedding_links
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.html_text import extract_text
+from tidemark.llm.language_id import language_id
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.packing import best_fit_packing
@@ -38,6 +39,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_language_id": op7_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }

@@ -99,9 +99,9 @@ def segment_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
 
 
-def word_spans(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start and end; a text's end ends its last word."""
-    gap = SPACE[b]
+def word_spans(b: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end; a text's end ends its last word. ``between``: of each byte, whether it separates words."""
+    gap = between[b]
     before, after = np.empty(len(b), bool), np.empty(len(b), bool)
     if len(b):
         before[0], before[1:], after[-1], after[:-1] = True, gap[:-1], True, gap[1:]
