@@ -11,6 +11,7 @@ from tidemark.llm.language_id import language_id
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.packing import best_fit_packing
+from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.token_counts import token_counts
 from tidemark.session import ship
 
@@ -35,6 +36,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_language_id": op7_language_id,
     "op9_line_dedup": op9_line_dedup,
