@@ -8,6 +8,7 @@ from tidemark.llm.cap_filters import embedding_links
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.html_text import extract_text
 from tidemark.llm.language_id import language_id
+from tidemark.llm.language_model import score_texts
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.packing import best_fit_packing
@@ -48,6 +49,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
