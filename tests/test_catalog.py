@@ -27,7 +27,7 @@ def sql():
 
 def _rows(frame: pd.DataFrame) -> list:
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else str(v)[:10] if isinstance(v, (dt.date, pd.Timestamp)) else v
+    plain = lambda v: None if pd.isna(v) else round(float(v), 5) if isinstance(v, float) else str(v)[:10] if isinstance(v, (dt.date, pd.Timestamp)) else v
     return sorted((tuple(plain(v) for v in row) for row in frame.itertuples(index=False)), key=str)
 
 
