@@ -9,9 +9,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate as dc
+from tidemark.llm import language_model as lm
 from tidemark.llm import secret_scan as ss
 from tidemark.llm.cap_filters import decode, embedding_links, plan
 from tidemark.llm.html_text import extract_text, html_text
@@ -163,6 +165,47 @@ def test_base_score(spark):
         assert got.loc[i, "n_known"] == sum(c[x] > 0 for x in t) and got.loc[i, "train_tokens"] == n and got.loc[i, "score"] < 0
 
 
+def test_score_follows_the_order_of_words(spark):
+    chain = dict(zip(WORDS, WORDS[1:] + WORDS[:1], strict=True))
+
+    def walk(seed, n):
+        w, out = random.Random(seed).choice(WORDS), []
+        for _ in range(n):
+            out.append(w)
+            w = chain[w]
+        return out
+
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:10]
+    shuffled = {i: random.Random(i).sample(walk(i, 17), 17) for i in held[5:]}
+    texts = [" ".join(shuffled.get(i, walk(i, 17))) for i in range(200)]
+    got = score_texts(_docs(spark, texts)).toPandas().set_index("doc_id")
+    # the same words in their order and in none
+    assert got.loc[held[:5], "score"].min() > got.loc[held[5:], "score"].max() + 5
+    assert got.loc[held[:5], "score"].mean() > got.loc[held[:5], "base_score"].mean() + 5
+
+
+def test_score_does_not_follow_chunks(spark):
+    texts = [_text(i, 30) for i in range(60)]
+    one = score_texts(_docs(spark, texts).coalesce(1)).toPandas().set_index("doc_id")["score"]
+    many = score_texts(_docs(spark, texts).repartition(16)).toPandas().set_index("doc_id")["score"]
+    assert many.sort_index().to_numpy() == pytest.approx(one.sort_index().to_numpy(), rel=1e-9)
+
+
+def test_word_contexts_in_several_groups():
+    n = 4000
+    rng = np.random.default_rng(0)
+    word = np.sort(rng.integers(-(1 << 62), 0, n))
+    count = rng.integers(1, 20, n)
+
+    def value(rows, all_n, all_tables):
+        t = pa.table({"before": np.full(len(rows), -5), "word": word[rows], "n": count[rows], "tables": np.ones(len(rows), np.int64), "above": np.full(len(rows), 1 / n), "seen": count[rows], "all_n": pa.array([all_n] * len(rows), pa.int64()), "all_tables": pa.array([all_tables] * len(rows), pa.int64())})
+        return 10 ** lm._seated_pairs(0.5, 4)(t).column("value").to_numpy()
+
+    whole = value(np.arange(n), None, None)
+    halves = np.concatenate([value(np.arange(a, a + n // 2), int(count.sum()), n) for a in (0, n // 2)])
+    assert whole.sum() == pytest.approx(1, abs=1e-6) and halves.sum() == pytest.approx(1, abs=0.05)
+
+
 def test_edit_similarity():
     rng = random.Random(3)
 

@@ -1,16 +1,17 @@
 """Scores of a hierarchical Pitman-Yor language model.
 
-A text is its words, each spelled in bytes and closed by a space, and one end; so unseen words have a probability too. The
-probability of the next symbol comes from a tree of Chinese restaurants: one for each context of a word's last four symbols, whose parent
-is the context without its oldest symbol, up to the empty context above a uniform choice. A customer of a restaurant who opens a
-new table is a customer of its parent. Seatings are sampled by Gibbs sweeps, and the predictive probabilities of several
-sweeps are averaged. The restaurant of whole tokens stands below the tree: its dishes are words and the end, a dish has a table in
-each chunk of the corpus that has it, and the tree, its parent, gives a token the product of its symbols. So the tree's customers are the
-tables: each word of a chunk is spelled once, however often it occurs there.
-
-Counts are taken in tasks, chunk by chunk of the corpus, and summed by key. The restaurants below one last symbol are a
-subtree of their own; subtrees are sampled apart, given the root. A chunk asks for the values of just the words and contexts it has, by
-a join on the key, so neither the vocabulary nor the tree is ever held in one place.
+A text is its words, and one end. The probability of the next token comes from Chinese restaurants on three levels: one for each previous
+word (the end stands before a text's first word), whose parent is the restaurant of all tokens, whose parent is a speller. The speller
+spells words in bytes and closes them by a space, so unseen words have a probability too: it is a tree of restaurants, one for each
+context of a word's last four symbols, whose parent is the context without its oldest symbol, up to the empty context above a uniform
+choice. A customer of a restaurant who opens a new table is a customer of its parent: the tables of the word contexts are the customers
+of the token restaurant, and its tables are the words that the tree spells. Seatings are sampled by Gibbs sweeps, and the predictive
+probabilities of several sweeps are averaged.
+
+Pairs of neighbouring words are counted in tasks, chunk by chunk of the corpus, and summed by key. Contexts are dealt by a hash to groups
+of bounded size; the dishes of a frequent context are dealt to several, with its customers and tables summed between passes. The
+restaurants of the tree below one last symbol are a subtree of their own; subtrees are sampled apart, given the root. A chunk asks for the
+values of just the pairs it has, by a join on the key, so neither the vocabulary nor a level is ever held in one place.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import _FOLDED as FOLDED
-from tidemark.llm.text import LOWER, as_array, blocks, raw, segment_hashes, word_spans
-from tidemark.session import staged
+from tidemark.llm.text import LOWER, as_array, blocks, mix, raw, segment_hashes, word_spans
+from tidemark.session import small_enough, staged
 
 #: Symbols of the longest context; fixed, as a context and its symbol are packed into 40 bits.
 ORDER = 4
@@ -40,13 +41,42 @@ ONE_BY_ONE = 48
 _WORD = np.uint64(1 << 63)
 #: An end where a word could start.
 END_KEY = sum(GAP << (8 * k) for k in range(1, ORDER + 1)) + END
-
-
-def tokens(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(rows, words, words of each row, bytes, start, end)``, block by block; a word is a hash with the top bit set."""
-    for rows, b, at in blocks(as_array(column)):
+#: The end as a token, and before the first word of a text.
+END_WORD = _WORD
+#: Sweeps of the token restaurant, its tables summed between them.
+TOKEN_SWEEPS = 3
+#: Pairs in a group, about; a context with more of them is dealt to several groups.
+GROUP = 250_000
+#: Broadcast the sums of at most so many frequent contexts (about 50 bytes each); beyond it the join shuffles.
+BROADCAST_CONTEXTS = 300_000
+
+
+def tokens(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]]:
+    """``(row, previous token, token, bytes, start, end)`` of all tokens, block by block; a word is a hash with the top bit set. The ends of
+    all texts come last, without bytes."""
+    column = as_array(column)
+    last = np.full(len(column), END_WORD, np.uint64)
+    for rows, b, at in blocks(column):
         start, end = word_spans(b, at)
-        yield rows, segment_hashes(b, start, end, FOLDED) | _WORD, np.diff(np.searchsorted(start, at)), b, start, end
+        if not len(start):
+            continue
+        h = segment_hashes(b, start, end, FOLDED) | _WORD
+        edge = np.searchsorted(start, at)
+        n = np.diff(edge)
+        some = np.flatnonzero(n)
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        # a text that goes on from the block before has its last word there
+        before[edge[some]] = last[rows[some]]
+        last[rows[some]] = h[edge[some + 1] - 1]
+        yield np.repeat(rows, n), before, h, b, start, end
+    none = np.zeros(len(column), np.int64)
+    yield np.arange(len(column)), last, np.full(len(column), END_WORD, np.uint64), None, none, none
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of each pair of tokens."""
+    return mix(mix(before) + word)
 
 
 def spelled(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,34 +128,66 @@ def _opened(packed: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all()
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their counts."""
-    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    u, inverse = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inverse, n, minlength=len(u)).astype(np.int64)
+def _opened_all(batches) -> Iterator[tuple[int, pa.Table]]:
+    for batch in batches:
+        for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            yield chunk, _opened(packed)
+
+
+def _parts(columns: dict) -> Iterator[pa.RecordBatch]:
+    n = len(next(iter(columns.values())))
+    for a in range(0, n, 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in columns.values()], names=list(columns))
+
+
+def _pairs(batches):
+    """Rows ``(before, word, n)``: each pair of a chunk and how often its training texts have it."""
+    for _, table in _opened_all(batches):
+        held_out = table.column("held_out").to_numpy().astype(bool)
+        rows, before, word = (np.concatenate(x) for x in list(zip(*tokens(table.column("text")), strict=True))[:3])
+        _, one, inverse = np.unique(pair_keys(before, word), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, ~held_out[rows], minlength=len(one)).astype(np.int64)
+        yield from _parts({"before": before[one].view(np.int64), "word": word[one].view(np.int64), "n": n})
 
 
 def _asked(batches):
-    """Rows ``(chunk, key, n)``: each key of a chunk; of a word how often its training texts have it, of a context how often it spells
-    their distinct words and end."""
+    """Rows ``(chunk, key)``: each pair of a chunk."""
+    for chunk, table in _opened_all(batches):
+        key = np.unique(np.concatenate([pair_keys(before, word) for _, before, word, *_ in tokens(table.column("text"))]))
+        yield from _parts({"chunk": np.full(len(key), chunk), "key": key.view(np.int64)})
+
+
+def _vocabulary(batches):
+    """Rows ``(word, letters)``: each word of a chunk in lower case, and the end."""
+    for _, table in _opened_all(batches):
+        known = np.zeros(0, np.uint64)
+        for _, _, h, b, start, end in tokens(table.column("text")):
+            u, one = np.unique(h, return_index=True)
+            new = ~np.isin(u, known, assume_unique=True)
+            known = np.concatenate((known, u[new]))
+            low = b"" if b is None else LOWER[b].tobytes()
+            letters = [low[i:j] if low else bytes([END]) for i, j in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
+            for a in range(0, len(letters), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(u[new][a : a + 100_000].view(np.int64)), pa.array(letters[a : a + 100_000], pa.binary())], names=["word", "letters"])
+
+
+def _spelling(batches):
+    """Rows ``(word, key, n)``: each symbol of a word after its context, and the word's tables."""
     for batch in batches:
-        for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-            table = _opened(packed)
-            held_out = table.column("held_out").to_numpy().astype(bool)
-            words, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            spelling = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-            for rows, h, n_words, b, start, end in tokens(table.column("text")):
-                u, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-                new = ~np.isin(u, words, assume_unique=True)
-                spelling.append((u[new], *spelled(b, start[one[new]], end[one[new]])[::-1]))
-                words, count = _summed([(words, count), (u, np.bincount(inverse, np.repeat(~held_out[rows], n_words), minlength=len(u)).astype(np.int64))])
-            name, size, keys = (np.concatenate(x) for x in zip(*spelling, strict=True))
-            learned = count[np.searchsorted(words, name)] > 0 if len(name) else np.zeros(0, bool)
-            keys, n = _summed([(keys, np.repeat(learned, size).astype(np.int64)), (np.array([END_KEY], np.uint64), np.array([int(not held_out.all())]))])
-            keys, n = np.concatenate((keys, words)), np.concatenate((n, count))
-            for a in range(0, len(keys), 100_000):
-                part = keys[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part.view(np.int64)), pa.array(n[a : a + 100_000])], names=["chunk", "key", "n"])
+        for at in range(0, len(batch), 5000):
+            part = batch.slice(at, 5000)
+            letters = part.column("letters").to_pylist()
+            size = np.array([len(x) for x in letters])
+            start = np.cumsum(size) - size
+            keys, length = spelled(np.frombuffer(b"".join(letters), np.uint8), start, start + size)
+            word = part.column("word").to_numpy().view(np.uint64)
+            place = np.cumsum(length) - length
+            alone = np.ones(len(keys), bool)
+            for i in np.flatnonzero(word == END_WORD):
+                keys[place[i]] = END_KEY
+                alone[place[i] + 1 : place[i] + length[i]] = False
+            of = np.repeat(np.arange(len(word)), length)[alone]
+            yield from _parts({"word": word[of].view(np.int64), "key": keys[alone].view(np.int64), "n": part.column("tables").to_numpy()[of]})
 
 
 def seat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -255,49 +317,103 @@ def contexts(cells: DataFrame) -> DataFrame:
     return last.groupBy("last").applyInArrow(_values(root), "key long, value double")
 
 
-def _scored(total: int, distinct: int, ends: int, end_tables: int, tables: int, discount: float):
+def _seated_tokens(total: int, discount: float):
+    """Tables of the token restaurant, of whose tables there were ``total``, after one sweep."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("word")
+        word, customers, tables, letters = (table.column(k).to_numpy() for k in ("word", "customers", "tables", "spelled"))
+        rng = np.random.default_rng(int(word[0]) & 0xFFFFFFFF)
+        new = seat(customers.astype(float), total - tables.astype(float), 10.0**letters, discount, rng)
+        return pa.table({"word": word, "customers": customers, "tables": new.astype(np.int64), "spelled": letters})
+
+    return run
+
+
+def _seated_pairs(discount: float, averaged: int):
+    """The tables of each pair after some sweeps, and the mean of its log10 probability over ``averaged`` more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("before", "ascending"), ("word", "ascending")])
+        before, word, n, above = (table.column(k).to_numpy() for k in ("before", "word", "n", "above"))
+        customers, tables = n.astype(float), table.column("tables").to_numpy().astype(float)
+        room = np.cumsum(np.concatenate(([0], before[1:] != before[:-1])))
+        first = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+        # customers and tables of a frequent context that sit in other groups; its dishes are dealt by a hash, so the tables there are taken
+        # to grow as the ones here do
+        start = np.bincount(room, tables)
+        away = [np.maximum(np.nan_to_num(table.column(k).to_numpy().astype(float)[first] - x), 0) for k, x in (("all_n", np.bincount(room, customers)), ("all_tables", start))]
+        sitting = (np.bincount(room, customers) + away[0])[room]
+        fixed, grown = np.where(start > 0, 0, away[1]), np.where(start > 0, away[1], 0) / np.maximum(start, 1)
+        total_of = lambda: (np.bincount(room, tables) * (1 + grown) + fixed)[room]
+        rng = np.random.default_rng([int(before[0]) & 0xFFFFFFFF, int(word[0]) & 0xFFFFFFFF])
+        mean = np.zeros(len(n))
+        for k in range(BURN + averaged):
+            tables = seat(customers, total_of() - tables, above, discount, rng)
+            if k >= BURN:
+                own = np.maximum(customers - discount * tables, 0)
+                mean += np.where(sitting > 0, (own + (STRENGTH + discount * total_of()) * above) / (STRENGTH + sitting), above) / averaged
+        if not averaged:
+            return pa.table({"before": before, "word": word, "n": n, "tables": tables.astype(np.int64)})
+        key = pair_keys(before.view(np.uint64), word.view(np.uint64))
+        return pa.table({"key": key.view(np.int64), "value": np.log10(mean), "seen": table.column("seen").to_numpy()})
+
+    return run
+
+
+def seated_pairs(pairs: DataFrame, words: DataFrame, discount: float, averaged: int) -> DataFrame:
+    """``pairs`` (before, word, n, tables) seated anew, given the probability ``above`` of each of ``words`` (word, above, seen); or
+    ``(key, value, seen)`` of each pair if some sweeps are averaged."""
+    sums = pairs.groupBy("before").agg(F.count("*").alias("size"), F.sum("n").alias("all_n"), F.sum("tables").alias("all_tables")).where(F.col("size") > GROUP)
+    sums = staged(sums, "frequent")
+    held = F.broadcast(sums) if small_enough(sums, BROADCAST_CONTEXTS) else sums
+    rows = pairs.join(words.select("word", "above", "seen"), "word").join(held, "before", "left")
+    salt = F.when(F.col("size").isNull(), 0).otherwise(F.pmod(F.xxhash64("word"), F.ceil(F.col("size") / GROUP)))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("before", salt.cast("long")), F.lit(max(1, -(-pairs.count() // GROUP)))))
+    schema = "key long, value double, seen long" if averaged else "before long, word long, n long, tables long"
+    return dealt.groupBy("part").applyInArrow(_seated_pairs(discount, averaged), schema)
+
+
+def _scored(total: int, distinct: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known = right.column("key").to_numpy().view(np.uint64)
         order = np.argsort(known)
-        known, value, seats = known[order], right.column("value").to_numpy()[order], right.column("tables").to_numpy()[order]
-        floor = np.log10(total + 0.1 * (distinct + 1))
-        below = np.log(STRENGTH + discount * tables) - np.log(STRENGTH + total)
-
-        def token(c: np.ndarray, t: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-            """log10 probability of tokens seen so often, with so many tables, which the tree gives 10 to the power ``spelled``."""
-            with np.errstate(divide="ignore"):
-                own = np.log(np.maximum(c - discount * t, 0) / (STRENGTH + total))
-            return np.logaddexp(own, below + spelled * np.log(10)) / np.log(10)
-
-        end_score = np.log10(ends + 0.1) - floor
+        known, value, count = known[order], right.column("value").to_numpy()[order], right.column("seen").to_numpy()[order]
+        base_of = np.log10(count + 0.1) - np.log10(total + 0.1 * (distinct + 1))
         out = []
-        at_end = np.searchsorted(known, np.uint64(END_KEY))
-        end_model = float(token(np.array([float(ends)]), np.array([float(end_tables)]), value[[at_end]])[0])
         for packed in left.column("packed").to_pylist():
             table = _opened(packed)
             n = len(table)
-            size, seen, base, score = np.ones(n, np.int64), np.full(n, int(ends > 0)), np.full(n, end_score), np.full(n, end_model)
-            for rows, h, n_words, b, start, end in tokens(table.column("text")):
-                if not len(h):
-                    continue
-                u, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-                place = np.searchsorted(known, u)
-                keys, length = spelled(b, start[one], end[one])
-                letters = np.add.reduceat(value[np.searchsorted(known, keys)], np.cumsum(length) - length)
-                owner = np.repeat(np.arange(len(rows)), n_words)
-                total_of = lambda x, owner=owner, inverse=inverse, k=len(rows): np.bincount(owner, x[inverse], minlength=k)
-                np.add.at(size, rows, n_words)
-                np.add.at(seen, rows, total_of(value[place] > 0).astype(np.int64))
-                np.add.at(base, rows, total_of(np.log10(value[place] + 0.1) - floor))
-                np.add.at(score, rows, total_of(token(value[place], seats[place], letters)))
+            size, seen, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+            for row, before, word, *_ in tokens(table.column("text")):
+                place = np.searchsorted(known, pair_keys(before, word))
+                size += np.bincount(row, minlength=n)
+                seen += np.bincount(row, count[place] > 0, minlength=n).astype(np.int64)
+                base += np.bincount(row, base_of[place], minlength=n)
+                score += np.bincount(row, value[place], minlength=n)
             out.append(pa.table([table.column("doc_id"), table.column("held_out"), pa.array(size), pa.array(seen), pa.array(np.full(n, total)), pa.array(base), pa.array(score)], names=names))
         return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
 
     return run
 
 
+def _spelled_words(vocabulary: DataFrame, tables: DataFrame) -> DataFrame:
+    """``(word, spelled)``: the log10 probability that the tree gives each word, with ``tables`` (word, tables) of it as customers."""
+    letters = staged(vocabulary.join(tables, "word").mapInArrow(_spelling, "word long, key long, n long"), "letters")
+    cells = staged(letters.groupBy("key").agg(F.sum("n").alias("n")), "cells")
+    return letters.select("word", "key").join(contexts(cells), "key").groupBy("word").agg(F.sum("value").alias("spelled"))
+
+
+def _token_values(words: DataFrame, discount: float) -> DataFrame:
+    """``(word, above, seen)``: the probability of each token from ``words`` (word, seen, customers, tables, spelled)."""
+    customers, tables = words.agg(F.coalesce(F.sum("customers"), F.lit(0)), F.coalesce(F.sum("tables"), F.lit(0))).first()
+    own = F.greatest(F.col("customers") - discount * F.col("tables"), F.lit(0.0))
+    above = (own + (STRENGTH + discount * tables) * F.pow(F.lit(10.0), "spelled")) / (STRENGTH + customers)
+    return words.select("word", above.alias("above"), "seen")
+
+
 def score_texts(documents: DataFrame) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``documents`` (doc_id, text; other
     columns are left alone). A text's perplexity a token is ``10 ** (-score / n_tokens)``.
@@ -309,16 +425,29 @@ def score_texts(documents: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 10 == 0, F.lit(False))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     chunks = staged(docs.mapInArrow(_chunks, "chunk long, packed binary"), "chunks")
-    asked = staged(chunks.mapInArrow(_asked, "chunk long, key long, n long"), "asked")
-    table = staged(asked.groupBy("key").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("tables")), "table")
-    words, cells = table.where("key < 0"), table.where("key >= 0").select("key", "n")
-    some = F.col("n") > 0
-    total, distinct, tables, one, two = words.where(some).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("tables"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    ends = docs.where("not held_out").count()
-    end_tables = int(cells.where(F.col("key").bitwiseAND(255) == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    numbers = (int(total) + ends, int(distinct) + (ends > 0), ends, end_tables, int(tables) + end_tables, discount_from(one, two))
-    none = F.lit(0).cast("double")
-    values = words.select("key", F.col("n").cast("double").alias("value"), F.col("tables").cast("double").alias("tables")).unionByName(contexts(cells).withColumn("tables", none))
-    answers = asked.select("chunk", "key").join(values, "key")
+    pairs = staged(chunks.mapInArrow(_pairs, "before long, word long, n long").groupBy("before", "word").agg(F.sum("n").alias("n")).withColumn("tables", (F.col("n") > 0).cast("long")), "pairs")
+    vocabulary = staged(chunks.mapInArrow(_vocabulary, "word long, letters binary").groupBy("word").agg(F.first("letters").alias("letters")), "vocabulary")
+    words = staged(pairs.groupBy("word").agg(F.sum("n").alias("seen"), F.sum("tables").alias("customers")).withColumn("tables", (F.col("seen") > 0).cast("long")), "words")
+
+    def rare(df: DataFrame, count: str) -> float:
+        return discount_from(*df.agg(F.count_if(F.col(count) == 1), F.count_if(F.col(count) == 2)).first())
+
+    total, distinct = words.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count_if(F.col("seen") > 0)).first()
+    # a first seating of the word contexts, given one table of each token
+    words = staged(words.join(_spelled_words(vocabulary, words.select("word", "tables")), "word"), "words")
+    of_pairs = rare(pairs, "n")
+    pairs = staged(seated_pairs(pairs, _token_values(words, rare(words, "customers")), of_pairs, 0), "pairs")
+    # their tables are the customers of the token restaurant, and its tables what the tree spells
+    customers = pairs.groupBy("word").agg(F.sum("tables").alias("customers"))
+    words = staged(words.drop("customers").join(customers, "word"), "words")
+    seats, of_words, n_words = words.select("word", "customers", "tables", "spelled"), rare(words, "customers"), words.count()
+    for _ in range(TOKEN_SWEEPS):
+        tables = seats.agg(F.coalesce(F.sum("tables"), F.lit(0))).first()[0]
+        dealt = seats.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(max(1, -(-n_words // GROUP)))))
+        seats = staged(dealt.groupBy("part").applyInArrow(_seated_tokens(tables, of_words), "word long, customers long, tables long, spelled double"), "seats")
+    seats = seats.drop("spelled").join(words.select("word", "seen"), "word")
+    words = staged(seats.join(_spelled_words(vocabulary, seats.select("word", "tables")), "word"), "words")
+    values = seated_pairs(pairs, _token_values(words, of_words), of_pairs, AVERAGED)
+    answers = chunks.mapInArrow(_asked, "chunk long, key long").join(values, "key")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(*numbers), schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(int(total), int(distinct)), schema)
