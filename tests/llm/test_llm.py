@@ -89,6 +89,37 @@ def test_html_layout():
         html_text(odd)
 
 
+def test_html_loose_in_tables():
+    row = "<tr><td>x1</td><td>x2</td></tr>"
+    pages = {
+        f"<table><form>{row}</form></table>": "x1  x2",
+        "<table><tr><form><td>x1</td><td>x2</td></form></tr></table>": "x1  x2",
+        f"<form>f<table><form hidden>{row}</table>g</form>": "f\n\nx1  x2\n\ng",
+        f"<table><div>d</div>{row}</table>": "d\n\nx1  x2",
+        f"<table><p>d{row}</table>": "d\n\nx1  x2",
+        "<table><tr><div>d</div><td>x1<td>x2</table>": "d\n\nx1  x2",
+        f"<table><tbody><b>d{row}</table>": "d\n\nx1  x2",
+        f"<table><colgroup><col>d{row}</table>": "d\n\nx1  x2",
+        f"<table><tr><td>a<table>{row}</table></table>": "a\n\nx1  x2",
+        f"<table><tr><td>a</td><table>{row}</table>": "a\n\nx1  x2",
+        "<table><tr><td><div>x1<td><p>x2</table>": "x1  x2",
+        "<table><script>no</script><tr><td>x1<td>x2</table>": "x1  x2",
+    }
+    assert {k: html_text(k) for k in pages} == pages
+
+
+def test_html_svg_and_math():
+    pages = {
+        '<p>a <svg><title>no</title><path d="M0 0"/><rect width=5 /><g>no<text x="1">Sales <tspan>2020</tspan></text><text>up</text></g></svg><p>b': "a\nSales 2020\nup\n\nb",
+        "<svg><defs><text>no</text></defs><foreignObject><p>in</p></foreignObject></svg>after": "in\n\nafter",
+        "<math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>no</annotation></semantics></math> end": "x=1 2 end",
+        "<svg hidden><text>no</text></svg><svg/>a<svg><p>b": "a\n\nb",
+    }
+    assert {k: html_text(k) for k in pages} == pages
+    for odd in ("<svg>" * 3000 + "<text>x", "<math><svg><td></math></svg>", "<table><svg><tr><td>x", "<svg></p><table></svg>"):
+        html_text(odd)
+
+
 def test_html_rows(spark):
     ship(spark)
     rows = spark.createDataFrame([(1, None, None), (None, "u", "<b>t")], "page_id long, url string, html string")

@@ -1,7 +1,7 @@
 """Layout-aware text of HTML pages: a tree with its implied tags, then a rendering of all that a reader would see.
 
 The tree builder closes paragraphs, list items, cells and the like where HTML implies it, adds missing table rows, and moves text
-that stands loose in a table before it. The renderer leaves out what is not shown (head, scripts, ``hidden``, inline or
+and elements that stand loose in a table before it; elements of svg and math nest as they are written. The renderer leaves out what is not shown (head, scripts, ``hidden``, inline or
 page styles with ``display:none`` or ``visibility:hidden``, closed details and dialogs), collapses white space outside ``pre``, sets
 blocks on lines of their own with a blank line around paragraphs, numbers and indents lists, and aligns table cells in columns.
 """
@@ -21,20 +21,28 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE_RAW = frozenset("title textarea".split())
 HEAD_ONLY = frozenset("base basefont bgsound link meta title script style template noscript".split())
-NOT_SHOWN = frozenset("head script style template iframe noembed noframes object audio video canvas datalist rp title map svg math".split())
+NOT_SHOWN = frozenset("head script style template iframe noembed noframes object audio video canvas datalist rp title map svg:title svg:desc svg:metadata svg:defs svg:symbol svg:clippath svg:mask svg:pattern svg:marker svg:style svg:script math:annotation math:annotation-xml".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre table figure hr fieldset xmp listing".split())
-BLOCK = MARGIN | frozenset("address article aside body center details dialog dd div dt figcaption footer form header hgroup html legend li main nav option optgroup section summary search tr td th thead tbody tfoot caption".split())
+BLOCK = MARGIN | frozenset("address article aside body center details dialog dd div dt figcaption footer form header hgroup html legend li main nav option optgroup section summary search tr td th thead tbody tfoot caption svg:text svg:foreignobject".split())
 CLOSES_P = MARGIN | frozenset("address article aside center details dialog dir div dd dt figcaption footer form header hgroup li main nav section summary search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol menu dir".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
 CELLS = frozenset("td th".split())
+#: What stays where it stands between the rows and cells of a table.
+TABLE_PARTS = SECTIONS | CELLS | frozenset("tr caption colgroup col script style template".split())
+#: Inside svg and math: where HTML begins again, HTML elements that end them, where svg shows text, and what math sets apart.
+INTEGRATION = frozenset("svg:foreignobject svg:desc svg:title math:mi math:mo math:mn math:ms math:mtext math:annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+SVG_TEXT = frozenset("svg:text svg:tspan svg:textpath svg:a svg:foreignobject".split())
+MATH_APART = frozenset("math:mfrac math:msup math:msub math:msubsup math:munder math:mover math:munderover math:mroot math:mtable math:mtr".split())
 SCOPE = frozenset("html table td th caption template".split())
 #: Nested deeper, tables are set as plain blocks.
 DEEPEST_TABLE = 40
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_CLOSES_ITSELF = re.compile(r"(?<!=)(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/\Z")
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _COMPOUND = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
@@ -65,7 +73,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield "end", name, {}
             continue
         rest = m[3].rstrip(">")
-        yield "start", name, {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(rest)} if rest else {}
+        attributes = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(rest)} if rest else {}
+        if rest.endswith("/") and _CLOSES_ITSELF.search(rest):
+            # a name that no attribute can have; it counts in svg and math only
+            attributes["/"] = ""
+        yield "start", name, attributes
         if name in RAW or name in ESCAPABLE_RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             raw = page[at : stop.start() if stop else n]
@@ -84,11 +96,29 @@ class _Builder:
 
     def push(self, tag: str, attributes: dict[str, str]) -> Node:
         node = Node(tag, attributes)
-        self.open[-1].children.append(node)
+        if self.loose() and tag not in TABLE_PARTS:
+            self.before_table(node)
+        else:
+            self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
         return node
 
+    def before_table(self, item: Node | str) -> None:
+        i = max(k for k, x in enumerate(self.open) if x.tag == "table" or k == 0)
+        before = self.open[max(i - 1, 0)].children
+        before.insert(len(before) - 1, item) if i else before.append(item)
+
+    def clear(self, names: frozenset) -> None:
+        """Closes all that stands open inside the nearest element of these names."""
+        while self.open[-1].tag not in names and len(self.open) > 1:
+            self.open.pop()
+
+    def foreign(self, i: int = -1) -> str:
+        """``svg`` or ``math`` where an open element is of theirs, else nothing."""
+        kind = self.open[i].tag.partition(":")[0]
+        return kind if kind in ("svg", "math") else ""
+
     def close(self, names: frozenset | tuple, within: frozenset = SCOPE) -> bool:
         """Closes up to the nearest open element of these names, if none of ``within`` lies between."""
         for i in range(len(self.open) - 1, 0, -1):
@@ -114,16 +144,24 @@ class _Builder:
             if blank:
                 return
             self.in_body()
+        if self.open[-1].tag == "colgroup" and not blank:
+            self.open.pop()
         if self.loose():
-            if blank:
-                return
-            i = max(k for k, x in enumerate(self.open) if x.tag == "table" or k == 0)
-            before = self.open[max(i - 1, 0)].children
-            before.insert(len(before) - 1, s) if i else before.append(s)
+            if not blank:
+                self.before_table(s)
             return
         self.open[-1].children.append(s)
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
+        kind = self.foreign()
+        if kind and self.open[-1].tag not in INTEGRATION:
+            if tag not in BREAKOUT:
+                self.push(f"{kind}:{tag}", attributes)
+                if "/" in attributes:
+                    self.open.pop()
+                return
+            while self.foreign() and self.open[-1].tag not in INTEGRATION:
+                self.open.pop()
         if tag == "html":
             self.root.attributes = attributes | self.root.attributes
             return
@@ -138,6 +176,19 @@ class _Builder:
             return
         if self.body is None and not (tag in HEAD_ONLY or any(x.tag in ("template", "noscript") for x in self.open)):
             self.in_body()
+        if tag in ("svg", "math"):
+            self.push(tag, attributes)
+            if "/" in attributes:
+                self.open.pop()
+            return
+        if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.open.pop()
+        if self.loose() and tag == "table":
+            self.close(("table",), frozenset())
+        elif self.loose() and tag == "form":
+            # it stays empty: what follows is the table's
+            self.open[-1].children.append(Node(tag, attributes))
+            return
         if tag in CLOSES_P:
             self.close(("p",), SCOPE | {"button"})
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
@@ -165,12 +216,18 @@ class _Builder:
                 self.close(("tr",), stop)
             if tag in SECTIONS or tag in ("caption", "colgroup"):
                 self.close(SECTIONS | {"caption", "colgroup"}, stop)
+            self.clear(stop | SECTIONS | {"tr"} if tag in CELLS else stop | SECTIONS if tag == "tr" else stop)
             if tag in CELLS and self.open[-1].tag != "tr":
-                self.close(("caption", "colgroup"), stop)
                 self.push("tr", {})
         self.push(tag, attributes)
 
     def end(self, tag: str) -> None:
+        i = len(self.open) - 1
+        while i > 0 and self.foreign(i):
+            if self.open[i].tag.rpartition(":")[2] == tag:
+                del self.open[i:]
+                return
+            i -= 1
         if tag == "br":
             self.start("br", {})
         elif tag in ("html", "body") or tag in VOID:
@@ -213,7 +270,7 @@ class Sheet:
         stack = [root]
         while stack:
             node = stack.pop()
-            if node.tag == "style":
+            if node.tag in ("style", "svg:style"):
                 self._read(re.sub(r"/\*.*?\*/", "", "".join(x for x in node.children if isinstance(x, str)), flags=re.S))
             stack += [x for x in node.children if isinstance(x, Node)]
 
@@ -399,7 +456,7 @@ def render(root: Node, sheet: Sheet, visible: bool = True, depth: int = 0) -> li
             continue
         node, parent, seen, pre = item
         if isinstance(node, str):
-            if seen:
+            if seen and (parent.tag in SVG_TEXT or not parent.tag.startswith("svg")):
                 page.raw(node) if pre else page.text(node)
             continue
         style = sheet.of(node)
@@ -446,6 +503,8 @@ def render(root: Node, sheet: Sheet, visible: bool = True, depth: int = 0) -> li
         pre = pre or tag in ("pre", "listing", "xmp", "textarea") or style.get("white-space", "").startswith("pre")
         if tag == "pre" and children and isinstance(children[0], str) and children[0].startswith("\n"):
             children = [children[0][1:], *children[1:]]
+        if tag in MATH_APART:
+            children = [y for x in children for y in (x, " ")]
         stack += [(x, node, seen, pre) for x in reversed(children)]
     return page.done()
 
