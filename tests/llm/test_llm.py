@@ -136,6 +136,32 @@ def test_filters_find_pairs_at_the_threshold():
     assert len({r for r, _ in sets[0] & sets[1]}) >= 0.95 * 400
 
 
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**7])
+@pytest.mark.parametrize("dims", [2, 3, 5, 8, 16, 32, 64, 65, 256])
+def test_filters_find_pairs_of_any_size_and_dimensions(n, dims):
+    rng = np.random.default_rng(dims)
+    a, z = rng.standard_normal((2, 300, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    tau, words = plan(n, 0.9, dims)
+    sets = [set(zip(*(x.tolist() for x in decode(v, tau, words)), strict=True)) for v in (a, 0.9 * a + math.sqrt(0.19) * z)]
+    shared = collections.Counter(r for r, _ in sets[0] & sets[1])
+    assert len(shared) >= 0.98 * 300 and (words == 1 or sum(shared.values()) >= 0.6 * 16 * 300)
+
+
+@pytest.mark.parametrize("dims", [2, 8])
+def test_embedding_links_of_few_dimensions(spark, dims):
+    ship(spark)
+    rng = np.random.default_rng(dims)
+    x = rng.standard_normal((2600, dims))
+    x[1] = 3 * x[0]
+    got = embedding_links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")["n_links"]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert got.sort_index().sum() >= 0.999 * want.sum() and (got.sort_index().to_numpy() <= want).all() and got[0] >= 1
+
+
 def test_embedding_links(spark):
     ship(spark)
     e = [1.0] + [0.0] * 7

@@ -4,11 +4,13 @@ A filter is a direction; a vector passes it if their inner product is at least `
 together, so vectors that share a filter are compared. The directions are a product code: one codeword from each of
 several blocks of (randomly turned) dimensions, so a vector's filters are found by list decoding, block by block, keeping a
 partial choice only while the best that can follow still reaches ``tau``. How many directions there are, and ``tau``, follow from the
-number of vectors: about ``SHARED`` filters are expected to hold both vectors of a pair at the threshold, whatever the size.
+number of vectors and their dimensions: about ``SHARED`` filters are expected to hold both vectors of a pair at the threshold, whatever the
+size. Where few dimensions make caps so wide that they would compare most pairs, one filter that all pass compares each pair.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -26,23 +28,43 @@ SHARED = 16
 PASSING = 48
 #: Blocks of dimensions, and codes with turns and codewords of their own: a vector that lies badly for one code lies well for others.
 BLOCKS, CODES = 2, 8
-
-
-def _tail(t: float) -> float:
-    return 0.5 * math.erfc(t / math.sqrt(2))
-
-
-def plan(n: int, cosine: float) -> tuple[float, int]:
-    """``tau`` in standard deviations of a random inner product, and codewords of a block, for ``n`` vectors."""
-    share = min(0.06, PASSING / max(n, 1))
-    low, high = 0.0, 12.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if _tail(mid) > share else (low, mid)
-    x = np.linspace(low, low + 8, 4001)
-    inner = np.array([_tail((low - cosine * v) / math.sqrt(1 - cosine**2)) for v in x])
-    both = float(np.sum(np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * inner) * (x[1] - x[0]))
-    return low, max(2, math.ceil((SHARED / CODES / both) ** (1 / BLOCKS)))
+#: Vectors of any dimensions that are compared each with each.
+FEW = 2048
+#: Share of all pairs beyond which the filters would not spare enough comparisons.
+MOST = 0.5
+_ANGLES = np.linspace(0, math.pi, 40_001)
+
+
+@functools.cache
+def _cap(dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each angle, the density of directions at it from a fixed one, and the share of directions within it."""
+    density = np.sin(_ANGLES) ** (dims - 2) if dims > 2 else np.ones(len(_ANGLES))
+    within = np.concatenate(([0], np.cumsum((density[1:] + density[:-1]) / 2))) * _ANGLES[1]
+    return density / within[-1], within / within[-1]
+
+
+@functools.cache
+def plan(n: int, cosine: float, dims: int = 64) -> tuple[float, int]:
+    """``tau`` in standard deviations of a random inner product, and codewords of a block, for ``n`` vectors; one codeword means that all
+    pairs are to be compared."""
+    every = -math.inf, 1
+    if n <= FEW or dims <= 2 or not 0 < cosine < 1:
+        return every
+    density, within = _cap(dims)
+    # a cap at least as wide as the angle of a pair, else few caps hold both
+    wide = max(float(np.interp(min(0.06, PASSING / n), within, _ANGLES)), math.acos(cosine))
+    t, one = math.cos(wide), float(np.interp(wide, _ANGLES, within))
+    x = np.linspace(0, wide, 4001)[1:]
+    needed = np.clip((t - cosine * np.cos(x)) / (math.sqrt(1 - cosine**2) * np.sin(x)), -1, 1)
+    inner = np.interp(np.arccos(needed), _ANGLES, _cap(dims - 1)[1])
+    both = float(np.sum(np.interp(x, _ANGLES, density) * inner) * (x[1] - x[0]))
+    if SHARED * one * one / both >= MOST:
+        return every
+    return t * math.sqrt(dims), max(2, math.ceil((SHARED / CODES / both) ** (1 / BLOCKS)))
+
+
+def _kind(words: int) -> type:
+    return np.int32 if CODES * words**BLOCKS < 1 << 31 else np.int64
 
 
 class Code:
@@ -72,7 +94,7 @@ class Code:
 
 def decode(unit: np.ndarray, tau: float, words: int) -> tuple[np.ndarray, np.ndarray]:
     """``(row, filter)`` over all codes, by row, then by filter."""
-    row, name = zip(*(code(unit.shape[1], tau, words, k).decode(unit) for k in range(CODES)), strict=True)
+    row, name = zip(*(code(unit.shape[1], tau, words, k).decode(unit) for k in range(CODES if words > 1 else 1)), strict=True)
     name = np.concatenate([x + k * words**BLOCKS for k, x in enumerate(name)])
     row = np.concatenate(row)
     order = np.lexsort((name, row))
@@ -105,7 +127,7 @@ def _unpacked(raw: list[bytes], dims: int) -> np.ndarray:
     return _unit(np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dims else np.float64).astype(np.float64) for v in raw]))
 
 
-def _filters(tau: float, words: int, kind: type):
+def _filters(n: int, cosine: float):
     def run(batches):
         for whole in batches:
             for at in range(0, len(whole), 512):
@@ -115,8 +137,9 @@ def _filters(tau: float, words: int, kind: type):
                 for dims in np.unique(sizes):
                     rows = np.flatnonzero(sizes == dims)
                     x = np.array([vectors[i] for i in rows], np.float64)
+                    tau, words = plan(n, cosine, int(dims))
                     row, name = decode(_unit(x), tau, words)
-                    name = name.astype(kind)
+                    name = name.astype(_kind(words))
                     ends = np.searchsorted(row, np.arange(len(rows) + 1))
                     lists = [name[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays(
@@ -137,7 +160,7 @@ def _before(lists: list[np.ndarray], name: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def _compare(cosine: float, kind: type):
+def _compare(n: int, cosine: float):
     """Of each run: edges that hold linked vectors together, and how many others each is linked with. A pair is counted in the first
     filter that both pass, so it counts once whatever they share."""
 
@@ -158,7 +181,7 @@ def _compare(cosine: float, kind: type):
             a, b = spanning(left, right, linked, node)
             out[0].append(a), out[1].append(b), out[2].append(np.zeros(len(a), np.int64))
             rows, cols, linked = left[i], right[j], linked[np.ix_(i, j)]
-            bits = _before([np.frombuffer(lists[r], kind) for r in np.concatenate((rows, cols))], int(name[rows[0]]))
+            bits = _before([np.frombuffer(lists[r], _kind(plan(n, cosine, int(dims[r]))[1])) for r in np.concatenate((rows, cols))], int(name[rows[0]]))
             bi, bj, back = bits[: len(rows)], bits[len(rows) :], np.zeros(len(cols), np.int64)
             count = np.zeros(len(rows), np.int64)
             for k in range(len(rows)):
@@ -166,8 +189,8 @@ def _compare(cosine: float, kind: type):
                 first = with_k[~(bj[with_k] & bi[k]).any(axis=1)]
                 count[k] = weight[cols[first]].sum()
                 back[first] += weight[rows[k]]
-            for at, n in ((rows, count), (cols, back))[: 1 if left is right else 2]:
-                out[0].append(node[at]), out[1].append(node[at]), out[2].append(n)
+            for at, found in ((rows, count), (cols, back))[: 1 if left is right else 2]:
+                out[0].append(node[at]), out[1].append(node[at]), out[2].append(found)
         columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
         return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("a", "b", "n"), columns, strict=True)})
 
@@ -190,11 +213,9 @@ def embedding_links(embeddings: DataFrame, cosine: float = 0.9) -> DataFrame:
     valid = rows.where("node is not null")
     node = staged(valid.groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "nodes")
     n = node.count()
-    tau, words = plan(n, cosine)
-    kind = np.int32 if CODES * words**BLOCKS < 1 << 31 else np.int64
-    decoded = staged(node.mapInArrow(_filters(tau, words, kind), "node long, weight long, vector binary, filters binary, passed array<long>, dims long"), "decoded")
+    decoded = staged(node.mapInArrow(_filters(n, cosine), "node long, weight long, vector binary, filters binary, passed array<long>, dims long"), "decoded")
     keyed = decoded.select("node", "weight", "vector", "filters", F.explode("passed").alias("filter"), "dims").withColumn("key", F.xxhash64("dims", "filter"))
-    found = staged(grouped(tiled(keyed, "key", ["node"]), _compare(cosine, kind), "a long, b long, n long"), "found")
+    found = staged(grouped(tiled(keyed, "key", ["node"]), _compare(n, cosine), "a long, b long, n long"), "found")
     component = staged(connected_components(found.select("a", "b")), "component")
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     placed = node.select("node", "first", "weight").join(component, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
