@@ -117,3 +117,12 @@ def test_stream_ingest_counts_a_batch_once(spark, tmp_path):
     for _ in range(2):
         ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "ckpt")).awaitTermination(60)
     assert latest(spark.read.parquet(str(tmp_path / "store"))).count() == 2
+
+
+def test_simulation_of_the_default_size(spark):
+    got = QUERIES["mc_trajectory_bands_full"](spark, SF).toPandas().sort_values("day")
+    assert got["day"].tolist() == list(range(21, 2521, 21))
+    assert (got["p5"] < got["p50"]).all() and (got["p50"] < got["p95"]).all()
+    # of ten years in ten thousand simulations, half end below the median of their statistics
+    stats = QUERIES["mc_statistics_full"](spark, SF).toPandas().iloc[0]
+    assert abs(stats["median_final"] / got["p50"].iloc[-1] - 1) < 1e-4
