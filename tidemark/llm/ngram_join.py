@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.graph import connected_components
-from tidemark.llm.text import mix, shingle_sets, signed
+from tidemark.llm.text import mix, parts, shingle_sets, signed
+from tidemark.llm.tiles import BROADCAST_KEYS, grouped, runs, tiled
 from tidemark.session import small_enough, staged
 
 #: Bits of a bitmap; sets of a few hundred shingles leave it sparse enough to bound well.
@@ -64,13 +64,13 @@ def tile_keys(s: np.ndarray, t: float, all_bands: list[tuple[int, int, int]]) ->
         out.append(mix(np.add.reduceat(inner, head) + tile[head] * np.uint64(0xA24BAED4963EE407) + np.uint64(i * 2 + 1)))
         if len(head) <= d:
             out.append(mix(inner + np.uint64(0x9FB21C651E98DF25 + i)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def _sketches(k: int, t: float):
     def run(batches):
         b = bands(t)
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column("doc_id").to_pylist()
             sets = shingle_sets(batch.column("text"), k)
             whole = [(int(signed(mix(s).sum(keepdims=True))[0]), int(signed(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True))[0])) for s in sets]
@@ -90,7 +90,7 @@ def _sketches(k: int, t: float):
 
 def _shingles(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             sets = shingle_sets(batch.column("text"), k)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
@@ -100,13 +100,12 @@ def _shingles(k: int):
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            a, b, sa, sb = (batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb"))
-            keep = []
-            for x, y in zip(sa, sb, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            sa, sb, keep = batch.column("sa"), batch.column("sb"), []
+            for i in range(len(batch)):
+                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (sa, sb))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -130,22 +129,21 @@ def _bound_pairs(percent: int):
 
 
 def _tile_pairs(percent: int):
-    """Within one square tile: pairs of different components whose bitmaps allow a link."""
+    """Within one group of tiles: pairs of one key, but of different components, whose bitmaps allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, n, comp, side = (table.column(c).to_numpy() for c in ("node", "n", "comp", "side"))
+        node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
-        if not len(right):
-            right = left
-        out = [], []
-        for i in left:
-            differing = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            ok = right[_overlap_bound(n[right], n[i], differing, percent) & (comp[right] != comp[i]) & (node[right] != node[i])]
-            out[0].extend([node[i]] * len(ok))
-            out[1].extend(node[ok])
-        a, b = np.array(out[0], np.int64), np.array(out[1], np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        out = [np.zeros((2, 0), np.int64)]
+        for left, right in runs(table, "key"):
+            for k, i in enumerate(left):
+                others = right[k + 1 :] if left is right else right
+                others = others[comp[others] != comp[i]]
+                differing = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                near = node[others[_overlap_bound(n[others], n[i], differing, percent)]]
+                out.append(np.stack((np.minimum(near, node[i]), np.maximum(near, node[i]))))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": a, "b": b})
 
     return run
 
@@ -181,27 +179,20 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     member = full.select("doc_id", *same).join(node, same).select("doc_id", "node").distinct()
     reps = staged(full.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"), "reps")
 
-    by_key = Window.partitionBy("key")
-    keyed = reps.select("node", F.explode("keys").alias("key")).distinct()
-    shared = keyed.withColumn("least", F.min("node").over(by_key)).withColumn("size", F.count("*").over(by_key)).where("size > 1")
-    shared = staged(shared, "shared")
+    keyed = reps.select("node", F.explode("keys").alias("key"))
+    sizes = staged(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = staged(keyed.join(F.broadcast(sizes) if small_enough(sizes, BROADCAST_KEYS) else sizes, "key"), "shared")
     stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = staged(_exact(stars, reps, docs, k, percent), "links")
     found = staged(connected_components(links), "found")
 
     placed = shared.where("size > 2").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    open_keys = placed.withColumn("low", F.min("comp").over(by_key)).withColumn("high", F.max("comp").over(by_key)).where("low <> high")
-    # of a component that has many sets in a key all count, but keys with equal members are compared once
-    numbered = open_keys.withColumn("i", F.row_number().over(by_key.orderBy("node")) - 1).withColumn("mark", F.sum(F.xxhash64("node").cast("decimal(38,0)")).over(by_key))
-    first = numbered.groupBy("mark", "size").agg(F.min("key").alias("key"))
-    numbered = numbered.join(first.select("key"), "key", "left_semi")
-    tiled = numbered.withColumn("row", F.floor(F.col("i") / TILE)).withColumn("rows", F.ceil(F.col("size") / TILE))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))
-    tiled = tiled.withColumn("other", other).withColumn("lo", F.least("row", "other")).withColumn("hi", F.greatest("row", "other"))
-    tiled = tiled.withColumn("side", F.when(F.col("row") == F.col("other"), F.lit(0)).when(F.col("row") < F.col("other"), F.lit(-1)).otherwise(F.lit(1)))
-    # the diagonal row of a tile off the diagonal is not wanted twice: (row, row) forms a tile of its own
-    squares = tiled.join(reps.select("node", "n", "bits"), "node").select("key", "lo", "hi", "side", "node", "n", "comp", "bits")
-    more = squares.groupBy("key", "lo", "hi").applyInArrow(_tile_pairs(percent), "a long, b long").distinct()
+    mark = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("size").alias("size"), mark).where("low <> high")
+    # keys with equal members are compared once
+    first = staged(open_keys.groupBy("mark", "size").agg(F.min("key").alias("key")), "first")
+    members = placed.join(first.select("key"), "key", "left_semi").join(reps.select("node", "n", "bits"), "node").select("key", "node", "n", "comp", "bits")
+    more = grouped(tiled(members, "key", ["node"], TILE), _tile_pairs(percent), "a long, b long").distinct()
     more = staged(more, "more")
     if more.limit(1).count():
         links = links.unionByName(_exact(more, reps, docs, k, percent))

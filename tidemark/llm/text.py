@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes worked on together; longer texts are cut at white space.
 BLOCK = 1 << 19
+#: Bytes of text in a part of an Arrow batch, about.
+PART = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SPACE = np.zeros(256, bool)
@@ -64,9 +66,26 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def blocks(column, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(rows, bytes, at)``: texts laid end to end, and where each begins. A longer text comes in several blocks, each cut
-    just before a white space byte that follows a printable ASCII byte."""
+def parts(batches: Iterator[pa.RecordBatch], size: int = PART, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of text (a longer text is a slice of its own), so that what a task makes of
+    a slice follows neither the rows nor the bytes of a batch."""
+    for batch in batches:
+        at = raw(batch.column(column))[1]
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
+_PRINTABLE = (np.arange(256) > 32) & (np.arange(256) < 127)
+#: For ``blocks``: cut before a line feed.
+LINES = (np.arange(256) == 10, np.ones(256, bool))
+
+
+def blocks(column, size: int = BLOCK, cuts: tuple[np.ndarray, np.ndarray] = (SPACE, _PRINTABLE)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(rows, bytes, at)``: texts laid end to end, and where each begins. A longer text comes in several blocks, each cut just before a byte of
+    ``cuts``' first kind that follows one of its second: white space after a printable ASCII byte."""
     data, at = raw(as_array(column))
     i, n = 0, len(at) - 1
     while i < n:
@@ -81,7 +100,7 @@ def blocks(column, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray,
             while look < end:
                 part = data[look : look + 4096]
                 before = data[look - 1 : look - 1 + len(part)]
-                found = np.flatnonzero(SPACE[part] & (before > 32) & (before < 127))
+                found = np.flatnonzero(cuts[0][part] & cuts[1][before])
                 if len(found):
                     cut = look + int(found[0])
                     break
