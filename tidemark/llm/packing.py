@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import parts
 from tidemark.llm.tokens import encoder
 from tidemark.session import staged
 
@@ -32,7 +33,7 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def _pieces(file: str, size: int, end_id: int, with_ids: bool):
     def run(batches):
         coder = encoder(file)
-        for batch in batches:
+        for batch in parts(batches, 4 << 20):
             ids, at = coder.encode(batch.column("text"))
             rows, out = [], []
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
@@ -71,8 +72,8 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
         while (n := (mask & ((1 << (gap + 1)) - 1)).bit_length() - 1) > 0:
             held.append((take(n), n))
             gap -= n
-        # what is unpacked is longer than the gap, so two of them need a smallest piece of more than twice its length
-        if gap and held and held[-1][1] >= 2 * gap + 2:
+        # what is unpacked is longer than the gap, and two of them must fit the gap widened by the smallest piece
+        if gap and held and held[-1][1] >= gap + 2:
             wide = gap + held[-1][1]
             near = np.where(left[: wide + 1] > 0, np.arange(wide + 1), 0)
             best = np.maximum.accumulate(near)
