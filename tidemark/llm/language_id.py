@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.text import as_array, raw
+from tidemark.llm.text import as_array, parts, raw
 
 #: Units of each direction; bytes of a window when reading and when learning.
 UNITS, READ, LEARN = 8, 96, 64
 #: The sample: windows of each language at most, and of each document.
 SAMPLE, PER_DOC = 1500, 3
-#: Windows read together.
-TOGETHER = 4096
+#: Windows read together, and bytes of text.
+TOGETHER, READ_BYTES = 4096, 1 << 19
 UNKNOWN = "und"
 
 LETTER = np.zeros(256, bool)
@@ -222,22 +222,18 @@ def _said(net: Network, batch: pa.RecordBatch) -> tuple[list[str], list[float]]:
 
 def _predict(net: Network):
     def run(batches):
-        for whole in batches:
-            for first in range(0, len(whole), 256):
-                batch = whole.slice(first, 256)
-                names, scores = _said(net, batch)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        for batch in parts(batches, READ_BYTES):
+            names, scores = _said(net, batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
 def _accept(net: Network, least: float):
     def run(batches):
-        for whole in batches:
-            for first in range(0, len(whole), 256):
-                batch = whole.slice(first, 256)
-                names, scores = _said(net, batch)
-                yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in zip(names, scores, strict=True)], pa.bool_()))
+        for batch in parts(batches, READ_BYTES):
+            names, scores = _said(net, batch)
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in zip(names, scores, strict=True)], pa.bool_()))
 
     return run
 

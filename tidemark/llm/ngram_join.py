@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import connected_components
 from tidemark.llm.text import mix, parts, shingle_sets, signed
-from tidemark.llm.tiles import BROADCAST_KEYS, grouped, runs, tiled
+from tidemark.llm.tiles import grouped, runs, tiled
 from tidemark.session import small_enough, staged
 
 #: Bits of a bitmap; sets of a few hundred shingles leave it sparse enough to bound well.
 BITS = 1024
 #: Sets in one side of a square tile.
 TILE = 512
+#: Broadcast the sizes of at most so many keys (24 bytes each); beyond it the join shuffles.
+BROADCAST_KEYS = 50_000
 #: Broadcast a table of document ids up to this many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -57,7 +59,7 @@ def tile_keys(s: np.ndarray, t: float, all_bands: list[tuple[int, int, int]]) ->
     for i, (first, last, d) in enumerate(all_bands):
         if n > last or n < math.ceil(first * t - 1e-9):
             continue
-        m = np.uint64(math.ceil(1.3 * (d + 1)))
+        m = np.uint64(math.ceil(1.05 * (d + 1)) + 1)
         tile = ((s >> np.uint64(32)) * m) >> np.uint64(32)
         head = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
         inner = mix(s + np.uint64(0x51ED270B))

@@ -33,7 +33,7 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def _pieces(file: str, size: int, end_id: int, with_ids: bool):
     def run(batches):
         coder = encoder(file)
-        for batch in parts(batches, 4 << 20):
+        for batch in parts(batches, 2 << 20):
             ids, at = coder.encode(batch.column("text"))
             rows, out = [], []
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):

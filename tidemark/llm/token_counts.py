@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import parts
 from tidemark.llm.tokens import encoder
 from tidemark.session import shared_dir, staged
 
@@ -26,7 +27,7 @@ _COMMITS = "batch string, attempt string, at timestamp"
 def _count(file: str):
     def run(batches):
         coder = encoder(file)
-        for batch in batches:
+        for batch in parts(batches, 2 << 20):
             _, at = coder.encode(batch.column("text"))
             n = pa.array(at[1:] - at[:-1], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang", "fingerprint")), n], names=["doc_id", "source", "lang", "fingerprint", "tokens"])

@@ -14,7 +14,7 @@ import numpy as np
 from tidemark.llm.text import SPACE, as_array, blocks, segment_hashes
 
 #: Distinct pieces remembered by a task; beyond it the memory starts afresh.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 # bytes that may end a Unicode white space character: no cut after these
 _SAFE = np.zeros(256, bool)
 _SAFE[0x21:0x7F] = True
