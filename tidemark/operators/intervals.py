@@ -28,13 +28,13 @@ def union(intervals: DataFrame, key: str = "ticker") -> DataFrame:
 
 
 def missing(known: DataFrame, requested: DataFrame, key: str = "ticker") -> DataFrame:
-    """``(key, start, end)``: the parts of ``requested`` (key, lo, hi) that no known interval covers."""
-    inside = requested.join(known, key, "left").where("start is null or (start <= hi and end >= lo)")
-    cut = inside.select(key, "lo", "hi", F.greatest("start", "lo").alias("s"), F.least("end", "hi").alias("e")).unionByName(requested.join(inside.select(key), key, "left_anti").select(key, "lo", "hi", F.lit(None).cast("date").alias("s"), F.lit(None).cast("date").alias("e")))
-    w = Window.partitionBy(key).orderBy("s")
-    gap = F.coalesce(F.date_add(F.lag("e").over(w), 1), F.col("lo"))
-    before = cut.select(key, gap.alias("start"), F.coalesce(F.date_sub("s", 1), F.col("hi")).alias("end"))
-    after = cut.where("e is not null").groupBy(key).agg(F.date_add(F.max("e"), 1).alias("start"), F.max("hi").alias("end"))
+    """``(key, start, end)``: the parts of each of ``requested`` (key, lo, hi) that no known interval covers; of a key without any, all."""
+    asked = requested.select(key, "lo", "hi").distinct()
+    cut = asked.join(known.select(key, "start", "end"), key).where("start <= hi and end >= lo").select(key, "lo", "hi", F.greatest("start", "lo").alias("s"), F.least("end", "hi").alias("e"))
+    w = Window.partitionBy(key, "lo", "hi").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.select(key, F.coalesce(F.date_add(F.max("e").over(w), 1), "lo").alias("start"), F.date_sub("s", 1).alias("end"))
+    last = cut.groupBy(key, "lo", "hi").agg(F.max("e").alias("e"))
+    after = asked.join(last, [key, "lo", "hi"], "left").select(key, F.coalesce(F.date_add("e", 1), "lo").alias("start"), F.col("hi").alias("end"))
     return before.unionByName(after).where("start <= end")
 
 
@@ -66,7 +66,8 @@ def from_text(rows: DataFrame, key: str = "ticker") -> DataFrame:
 
 
 def replace_range(old: DataFrame, new: DataFrame, key: str = "ticker") -> DataFrame:
-    """``old`` with the span of each key's new rows replaced by them."""
+    """``old`` with the span of each key's new rows replaced by them; of new rows that repeat a day one stays (the largest)."""
+    new = new.groupBy(key, "dt").agg(*(F.max(c).alias(c) for c in new.columns if c not in (key, "dt"))).select(*new.columns)
     span = new.groupBy(key).agg(F.min("dt").alias("_lo"), F.max("dt").alias("_hi"))
     kept = old.join(span, key, "left").where("_lo is null or dt < _lo or dt > _hi").drop("_lo", "_hi")
     return kept.unionByName(new)

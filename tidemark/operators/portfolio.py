@@ -79,7 +79,7 @@ def momentum_shares(weights: dict[str, float], lookback: int = 63, tilt: float =
 
 
 def buy_the_dip(target: int, threshold: float = 0.10, aggressive: float = 0.80):
-    def shares(base, drawdown, total_drawdown):
+    def shares(base, drawdown, total_drawdown, now=None):
         if drawdown[target] >= -threshold:
             return base
         rest = base.sum() - base[target]
@@ -91,11 +91,11 @@ def buy_the_dip(target: int, threshold: float = 0.10, aggressive: float = 0.80):
 
 
 def protect(safe: np.ndarray, threshold: float = 0.15):
-    return lambda base, drawdown, total_drawdown: safe / safe.sum() if total_drawdown < -threshold else base
+    return lambda base, drawdown, total_drawdown, now=None: safe / safe.sum() if total_drawdown < -threshold else base
 
 
 def relative_value(threshold: float = 0.10, most: float = 0.50):
-    def shares(base, drawdown, total_drawdown):
+    def shares(base, drawdown, total_drawdown, now=None):
         v = -drawdown
         if v.max() - v.min() <= threshold:
             return base
@@ -107,7 +107,7 @@ def relative_value(threshold: float = 0.10, most: float = 0.50):
 
 
 def opportunistic(target: int, threshold: float = 0.25, normal: float = 0.10, dip: float = 0.40):
-    def shares(base, drawdown, total_drawdown):
+    def shares(base, drawdown, total_drawdown, now=None):
         own = dip if drawdown[target] < -threshold else normal
         out = base * (1 - own) / (1 - base[target])
         out[target] = own
@@ -118,55 +118,114 @@ def opportunistic(target: int, threshold: float = 0.25, normal: float = 0.10, di
 
 def composite(*parts):
     total = sum(w for _, w in parts)
-    return lambda base, drawdown, total_drawdown: sum(w / total * s(base.copy(), drawdown, total_drawdown) for s, w in parts)
+    return lambda base, drawdown, total_drawdown, now=None: sum(w / total * s(base.copy(), drawdown, total_drawdown, now) for s, w in parts)
 
 
 def conditional(condition, then, otherwise):
-    return lambda base, drawdown, total_drawdown: (then if condition(drawdown, total_drawdown) else otherwise)(base, drawdown, total_drawdown)
+    return lambda base, drawdown, total_drawdown, now=None: (then if condition(drawdown, total_drawdown, now) else otherwise)(base, drawdown, total_drawdown, now)
 
 
-def keep_weights(base, drawdown, total_drawdown):
+def keep_weights(base, drawdown, total_drawdown, now=None):
     return base
 
 
+def volatility_target(risky: tuple[int, ...], target: float = 0.15):
+    """Scales the risky assets by how far the weighted volatility of the assets is from the target, by 0.5 to 1.5."""
+
+    def shares(base, drawdown, total_drawdown, now=None):
+        if now is None:
+            return base
+        scale = np.clip(target / (float((now["vol"] * base).sum()) + 1e-6), 0.5, 1.5)
+        out = base.copy()
+        out[list(risky)] *= scale
+        return out / out.sum()
+
+    return shares
+
+
+def dual_momentum(equity: int, safe: np.ndarray):
+    """The weights while the equity's returns sum to more than 0 (or are not known yet); else safety in any drawdown."""
+    return conditional(lambda d, t, now: now is None or now["momentum"][equity] > 0, keep_weights, protect(safe, 0.0))
+
+
+#: Makers of strategies by their type in a configuration; tickers are given by their place among the assets.
+KINDS = {
+    "static": lambda **_: keep_weights,
+    "buy_the_dip": lambda target=0, threshold=0.10, aggressive_weight=0.80, **_: buy_the_dip(target, threshold, aggressive_weight),
+    "dip_buyer_preset": lambda target=0, threshold=0.20, aggressive_weight=0.50, **_: buy_the_dip(target, threshold, aggressive_weight),
+    "drawdown_protection": lambda safe=(), threshold=0.15, **_: protect(np.array(safe, float), threshold),
+    "relative_value": lambda threshold=0.10, max_tilt=0.50, **_: relative_value(threshold, max_tilt),
+    "opportunistic": lambda target=0, dip_threshold=0.25, normal_weight=0.10, dip_weight=0.40, **_: opportunistic(target, dip_threshold, normal_weight, dip_weight),
+    "volatility_target": lambda risky=(), target_vol=0.15, **_: volatility_target(tuple(risky), target_vol),
+    "dual_momentum": lambda equity=0, safe=(), **_: dual_momentum(equity, np.array(safe, float)),
+}
+
+
+def strategy_from(config: dict):
+    """A strategy from ``{"type": ..., "params": {...}}``; an unknown type is an error."""
+    kind = config.get("type", "static")
+    if kind not in KINDS:
+        raise ValueError(f"unknown strategy type: {kind}")
+    return KINDS[kind](**config.get("params", {}))
+
+
+#: Rows that the indicators of the fold look back.
+LOOKBACK = 21
+_SAFE = (0.0, 1.0, 0.0)
 STRATEGIES = {
-    "static": keep_weights,
-    "buy_dip": buy_the_dip(0, 0.05, 0.8),
-    "protect": protect(np.array([0.0, 1.0, 0.0]), 0.05),
-    "relative_value": relative_value(0.03, 0.5),
-    "opportunistic": opportunistic(0, 0.05),
-    "dual_momentum": protect(np.array([0.0, 1.0, 0.0]), 0.0),
+    "static": strategy_from({}),
+    "buy_dip": strategy_from({"type": "buy_the_dip", "params": {"threshold": 0.05}}),
+    "dip_preset": strategy_from({"type": "dip_buyer_preset"}),
+    "protect": strategy_from({"type": "drawdown_protection", "params": {"safe": _SAFE, "threshold": 0.05}}),
+    "relative_value": strategy_from({"type": "relative_value", "params": {"threshold": 0.03}}),
+    "opportunistic": strategy_from({"type": "opportunistic", "params": {"dip_threshold": 0.05}}),
+    "volatility_target": strategy_from({"type": "volatility_target", "params": {"risky": (0,)}}),
+    "dual_momentum": strategy_from({"type": "dual_momentum", "params": {"equity": 0, "safe": _SAFE}}),
     "composite": composite((keep_weights, 1.0), (buy_the_dip(0, 0.05, 0.8), 1.0)),
-    "conditional": conditional(lambda d, t: t < -0.05, buy_the_dip(1, 0.05, 0.6), keep_weights),
+    "conditional": conditional(lambda d, t, now: t < -0.05, buy_the_dip(1, 0.05, 0.6), keep_weights),
 }
 
 
 def strategy_backtests(prices: DataFrame, weights: dict[str, float], names: tuple[str, ...], capital: float = 10_000.0, amount: float = 500.0, every: int = 21) -> DataFrame:
-    """``(strategy, dt, value, invested, share)``: a fold over the days for each strategy, as its shares depend on the drawdowns of what it
-    holds; share is that of the first asset on the days of a contribution."""
+    """``(strategy, dt, value, invested, share, shares, portfolio_dd, asset_dds)``: a fold over the days for each strategy, as its shares depend
+    on the drawdowns of what it holds. The last four are those of a contribution, null on other days; share is the first asset's.
+
+    Volatility and sum of the last 21 returns of each asset come from windows; each strategy folds the days of the one series.
+    """
     tickers = tuple(weights)
     base = np.array(list(weights.values()))
-    rows = aligned(prices, tickers).crossJoin(prices.sparkSession.createDataFrame([(n,) for n in names], "strategy string"))
+    wide = aligned(prices, tickers).withColumn("portfolio", F.lit("p"))
+    w = Window.partitionBy("portfolio").orderBy("dt")
+    wide = wide.withColumns({f"r_{t}": F.col(t) / F.lag(t).over(w) - 1 for t in tickers})
+    last = w.rowsBetween(1 - LOOKBACK, 0)
+    known = F.count(f"r_{tickers[0]}").over(last) == LOOKBACK
+    wide = wide.withColumns({f"vol_{t}": F.when(known, F.stddev_pop(f"r_{t}").over(last) * F.sqrt(F.lit(float(YEAR)))) for t in tickers} | {f"mom_{t}": F.when(known, F.sum(f"r_{t}").over(last)) for t in tickers})
+    rows = wide.withColumn("strategy", F.explode(F.array(*(F.lit(n) for n in names))))
 
     def fold(key, pdf):
         pdf = pdf.sort_values("dt")
-        p = pdf[list(tickers)].to_numpy()
+        p, vol, momentum = (pdf[[x + t for t in tickers]].to_numpy(float) for x in ("", "vol_", "mom_"))
         decide = STRATEGIES[key[0]]
         held, peak, top = capital * base, capital * base, capital
-        value, shares, invested, paid = [], [], [], capital
+        value, invested, paid, log = [], [], capital, []
         for i in range(len(p)):
             if i:
                 held = held * p[i] / p[i - 1]
-            peak, top, share = np.maximum(peak, held), max(top, held.sum()), None
+            peak, top = np.maximum(peak, held), max(top, held.sum())
+            entry = (None, None, None, None)
             if i and i % every == 0:
-                now = decide(base.copy(), held / np.where(peak > 0, peak, 1) - 1, held.sum() / top - 1)
-                held, share, paid = held + amount * now, float(now[0]), paid + amount
+                fall, total = held / np.where(peak > 0, peak, 1) - 1, float(held.sum() / top - 1)
+                now = decide(base.copy(), fall, total, None if np.isnan(vol[i]).any() else {"vol": vol[i], "momentum": momentum[i]})
+                held, paid = held + amount * now, paid + amount
+                entry = (float(now[0]), now.tolist(), total, fall.tolist())
             value.append(held.sum())
-            shares.append(share)
             invested.append(paid)
-        return pd.DataFrame({"strategy": key[0], "dt": pdf["dt"].to_numpy(), "value": value, "invested": invested, "share": pd.array(shares, "Float64")})
+            log.append(entry)
+        share, shares, total, falls = zip(*log, strict=True) if log else ((),) * 4
+        return pd.DataFrame({"strategy": key[0], "dt": pdf["dt"].to_numpy(), "value": value, "invested": invested, "share": pd.array(share, "Float64"), "shares": list(shares), "portfolio_dd": pd.array(total, "Float64"), "asset_dds": list(falls)})
 
-    return rows.groupBy("strategy").applyInPandas(fold, "strategy string, dt date, value double, invested double, share double")
+    schema = "strategy string, dt date, value double, invested double, share double, shares array<double>, portfolio_dd double, asset_dds array<double>"
+    return rows.groupBy("strategy").applyInPandas(fold, schema)
 
 
 # -- timing ------------------------------------------------------------------------------------------------------------------
@@ -236,8 +295,8 @@ def drawn(seed: int) -> Column:
 
 
 def simulated_returns(prices: DataFrame, weights: dict[str, float], sims: int, days: int, method: str = "bootstrap", seed: int = 42) -> DataFrame:
-    """``(sim, day, ret)``: days drawn from the portfolio's history with replacement, or normal draws with its mean and deviation
-    ("gbm": compounded, "parametric": taken as they are)."""
+    """``(sim, day, ret)``: days drawn from the portfolio's history with replacement, or correlated normal draws
+    of the assets ("gbm": compounded, "parametric": taken as they are)."""
     spark = prices.sparkSession
     hist = portfolio_returns(prices, weights, first=False)
     grid = spark.range(sims).select(F.col("id").alias("sim")).select("sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(days).cast("long"))).alias("day"))
@@ -245,10 +304,34 @@ def simulated_returns(prices: DataFrame, weights: dict[str, float], sims: int, d
         rows = hist.select(F.row_number().over(Window.partitionBy("portfolio").orderBy("dt")).cast("long").alias("k"), "ret")
         n = rows.count()
         return grid.withColumn("k", F.floor(drawn(seed) * n) + 1).join(rows, "k").select("sim", "day", "ret")
-    mean, sd = hist.agg(F.avg("ret"), F.stddev_samp("ret")).first()
-    z = F.sqrt(-2 * F.log(F.greatest(drawn(seed), F.lit(1e-9)))) * F.cos(drawn(seed + 1) * 2 * np.pi)
-    step = F.lit((mean or 0.0) - 0.5 * (sd or 0.0) ** 2) + F.lit(sd or 0.0) * z
-    return grid.select("sim", "day", (F.exp(step) - 1 if method == "gbm" else step).alias("ret"))
+    return _normal_returns(prices, weights, grid, method, seed)
+
+
+def lower_root(cov: np.ndarray) -> np.ndarray:
+    """The lower triangle whose square is the matrix; where it is not positive definite, a root by singular values."""
+    try:
+        return np.linalg.cholesky(cov)
+    except np.linalg.LinAlgError:
+        u, s, _ = np.linalg.svd(cov)
+        return u * np.sqrt(s)
+
+
+def _normal_returns(prices: DataFrame, weights: dict[str, float], grid: DataFrame, method: str, seed: int) -> DataFrame:
+    """Correlated normal draws of each asset, with its mean less half its variance as drift, weighted; the moments are a few numbers."""
+    tickers, n = tuple(weights), len(weights)
+    wide = aligned(prices, tickers).withColumn("portfolio", F.lit("p"))
+    w = Window.partitionBy("portfolio").orderBy("dt")
+    r = wide.select(*((F.col(t) / F.lag(t).over(w) - 1).alias(t) for t in tickers)).na.drop()
+    row = r.agg(*(F.avg(t) for t in tickers), *(F.covar_samp(a, b) for a in tickers for b in tickers)).first()
+    mean, cov = (np.zeros(n), np.zeros((n, n))) if None in row else (np.array(row[:n], float), np.array(row[n:], float).reshape(n, n))
+    root = lower_root(cov)
+    # two numbers a draw, so each asset has a pair of seeds of its own
+    grid = grid.withColumns({f"z{k}": F.sqrt(-2 * F.log(F.greatest(drawn(seed + 2 * k), F.lit(1e-9)))) * F.cos(drawn(seed + 2 * k + 1) * 2 * np.pi) for k in range(n)})
+    ret = F.lit(0.0)
+    for i, v in enumerate(weights.values()):
+        step = F.lit(float(mean[i] - 0.5 * cov[i, i])) + sum((float(root[i, k]) * F.col(f"z{k}") for k in range(n)), F.lit(0.0))
+        ret = ret + v * (F.exp(step) - 1 if method == "gbm" else step)
+    return grid.select("sim", "day", ret.alias("ret"))
 
 
 def simulated_paths(rets: DataFrame, capital: float = 10_000.0) -> DataFrame:

@@ -42,7 +42,7 @@ _CTES = {
     "od1": "SELECT *, lag(dt) OVER (PARTITION BY ticker ORDER BY dt) AS prev FROM od",
     "od2": f"SELECT *, sum(CASE WHEN date_diff('day', prev, dt) > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY dt) AS island FROM od1",
     "isl": 'SELECT ticker, min(dt) AS "start", max(dt) AS "end", count(*) AS days FROM od2 GROUP BY ticker, island',
-    "req": "SELECT DISTINCT ticker, DATE '1994-01-01' AS lo, DATE '1997-12-31' AS hi FROM od",
+    "req": "SELECT DISTINCT ticker, DATE '1994-01-01' AS lo, DATE '1997-12-31' AS hi FROM od UNION ALL SELECT '9-NEVER SEEN', DATE '1994-01-01', DATE '1997-12-31' UNION ALL SELECT '1-URGENT', DATE '1991-01-01', DATE '1992-06-30'",
 }
 _NEEDS = {"p": ["d"], "prices": ["p"], "r0": ["prices"], "rets": ["r0"], "v": ["rets"], "dd": ["v"], "wide": ["prices"], "pr": ["wide"], "port": ["pr"], "bt0": ["port"], "bt": ["bt0"], "od1": ["od"], "od2": ["od1"], "isl": ["od2"], "req": ["od"]}
 
@@ -180,19 +180,64 @@ def _mom_sql() -> str:
 
 
 query("dca_momentum", _momentum, _with("wide", _mom_sql()), ("value", "invested"))
-query("dca_strategies", lambda s, d: pf.strategy_backtests(prices(s, d), WEIGHTS, tuple(pf.STRATEGIES)), None, ("value", "invested"))
+#: What each strategy of the fold buys, as SQL over drawdowns da, dn, dr, their total dt0, volatilities va, vn, vr and momentum ma.
+_PV = "(0.5 * va + 0.3 * vn + 0.2 * vr + 0.000001)"
+_SCALE = f"CASE WHEN va IS NULL THEN 1 ELSE least(greatest(0.15 / {_PV}, 0.5), 1.5) END"
+_CHEAP = "(-{0} - least(-da, -dn, -dr) + 0.01)"
+_RV = {x: f"least(0.5 * {w} + 0.5 * {_CHEAP.format('d' + x)} / ({_CHEAP.format('da')} + {_CHEAP.format('dn')} + {_CHEAP.format('dr')}), 0.5)" for x, w in (("a", 0.5), ("n", 0.3), ("r", 0.2))}
+_RVT = f"({_RV['a']} + {_RV['n']} + {_RV['r']})"
+_EVEN = "greatest(-da, -dn, -dr) - least(-da, -dn, -dr) <= 0.03"
+_BUYS = {
+    "static": ("0.5", "0.3", "0.2"),
+    "buy_dip": tuple(f"CASE WHEN da >= -0.05 THEN {w} ELSE {x} END" for w, x in ((0.5, 0.8), (0.3, 0.12), (0.2, 0.08))),
+    "dip_preset": tuple(f"CASE WHEN da >= -0.2 THEN {w} ELSE {x} END" for w, x in ((0.5, 0.5), (0.3, 0.3), (0.2, 0.2))),
+    "protect": tuple(f"CASE WHEN dt0 < -0.05 THEN {x} ELSE {w} END" for w, x in ((0.5, 0), (0.3, 1), (0.2, 0))),
+    "relative_value": tuple(f"CASE WHEN {_EVEN} THEN {w} ELSE {_RV[x]} / {_RVT} END" for x, w in (("a", 0.5), ("n", 0.3), ("r", 0.2))),
+    "opportunistic": tuple(f"CASE WHEN da < -0.05 THEN {x} ELSE {w} END" for w, x in ((0.1, 0.4), (0.54, 0.36), (0.36, 0.24))),
+    "volatility_target": tuple(f"{w} / (0.5 * ({_SCALE}) + 0.5)" for w in (f"0.5 * ({_SCALE})", "0.3", "0.2")),
+    "dual_momentum": tuple(f"CASE WHEN ma IS NULL OR ma > 0 OR dt0 >= 0 THEN {w} ELSE {x} END" for w, x in ((0.5, 0), (0.3, 1), (0.2, 0))),
+    "composite": tuple(f"CASE WHEN da >= -0.05 THEN {w} ELSE {x} END" for w, x in ((0.5, 0.65), (0.3, 0.21), (0.2, 0.14))),
+    "conditional": tuple(f"CASE WHEN dt0 < -0.05 AND dn < -0.05 THEN {x} ELSE {w} END" for w, x in ((0.5, 0.5 / 0.7 * 0.4), (0.3, 0.6), (0.2, 0.2 / 0.7 * 0.4))),
+}
+_W21 = "OVER (ORDER BY dt ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)"
+_BOUGHT = ", ".join("CASE strategy " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in _BUYS.items()) + f" END AS w{x}" for i, x in enumerate("anr"))
+# the days one after the other, all strategies together; on a day of a contribution what is held moves, then cash is added
+_FOLD = (
+    "WITH RECURSIVE " + ", ".join(f"{x} AS ({_CTES[x]})" for x in ("d", "p", "prices", "wide"))
+    + ", f0 AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS i, a, n, r, " + ", ".join(f"{x} / lag({x}) OVER (ORDER BY dt) - 1 AS r{x}" for x in "anr") + " FROM wide)"
+    + ", f1 AS (SELECT *, count(ra) " + _W21 + " AS k, " + ", ".join(f"stddev_pop(r{x}) {_W21} * sqrt(252) AS s{x}" for x in "anr") + f", sum(ra) {_W21} AS sm FROM f0)"
+    + ", days AS MATERIALIZED (SELECT dt, i, 1 + ra AS ga, 1 + rn AS gn, 1 + rr AS gr, " + ", ".join(f"CASE WHEN k = 21 THEN s{x} END AS v{x}" for x in "anr") + ", CASE WHEN k = 21 THEN sm END AS ma FROM f1)"
+    + ", st AS (SELECT CAST(0 AS BIGINT) AS i, dt, strategy, 5000.0::DOUBLE AS ha, 3000.0::DOUBLE AS hn, 2000.0::DOUBLE AS hr, 5000.0::DOUBLE AS pa, 3000.0::DOUBLE AS pn, 2000.0::DOUBLE AS pr, 10000.0::DOUBLE AS top, 10000.0::DOUBLE AS invested, NULL::DOUBLE AS wa, NULL::DOUBLE AS wn, NULL::DOUBLE AS wr, NULL::DOUBLE AS dt0, NULL::DOUBLE AS da, NULL::DOUBLE AS dn, NULL::DOUBLE AS dr FROM days, (SELECT unnest([" + ", ".join(f"'{k}'" for k in _BUYS) + "]) AS strategy) WHERE i = 0"
+    + " UNION ALL SELECT i, dt, strategy, ha + CASE WHEN pays THEN 500 * wa ELSE 0 END, hn + CASE WHEN pays THEN 500 * wn ELSE 0 END, hr + CASE WHEN pays THEN 500 * wr ELSE 0 END, pa, pn, pr, top, invested + CASE WHEN pays THEN 500 ELSE 0 END, " + ", ".join(f"CASE WHEN pays THEN {x} END" for x in ("wa", "wn", "wr", "dt0", "da", "dn", "dr"))
+    + f" FROM (SELECT *, {_BOUGHT} FROM (SELECT *, ha / pa - 1 AS da, hn / pn - 1 AS dn, hr / pr - 1 AS dr, (ha + hn + hr) / top - 1 AS dt0, i % 21 = 0 AS pays FROM (SELECT i, dt, strategy, ha, hn, hr, greatest(pa, ha) AS pa, greatest(pn, hn) AS pn, greatest(pr, hr) AS pr, greatest(top, ha + hn + hr) AS top, invested, va, vn, vr, ma FROM (SELECT y.i, y.dt, st.strategy, st.ha * ga AS ha, st.hn * gn AS hn, st.hr * gr AS hr, pa, pn, pr, top, invested, va, vn, vr, ma FROM st JOIN days y ON y.i = st.i + 1)))))"
+)
+
+
+def _folds(s: SparkSession, d: str) -> DataFrame:
+    return pf.strategy_backtests(prices(s, d), WEIGHTS, tuple(pf.STRATEGIES))
+
+
+query("dca_strategies", lambda s, d: _folds(s, d).select("strategy", "dt", "value", "invested"), _FOLD + " SELECT strategy, dt, " + _r("ha + hn + hr", "value", 2) + ", " + _r("invested", "invested", 2) + " FROM st", ("value", "invested"))
 
 
 def _dca_metrics(s: SparkSession, d: str) -> DataFrame:
     """Final value and growth rate of each strategy over what was invested on average."""
-    t = pf.strategy_backtests(prices(s, d), WEIGHTS, tuple(pf.STRATEGIES))
-    g = t.groupBy("strategy").agg(F.max_by("value", "dt").alias("final"), F.max("invested").alias("invested"), F.count("*").alias("n"))
+    g = _folds(s, d).groupBy("strategy").agg(F.max_by("value", "dt").alias("final"), F.max("invested").alias("invested"), F.count("*").alias("n"))
     base = 1 + (F.col("final") - F.col("invested")) / ((F.lit(10_000.0) + F.col("invested")) / 2)
     return g.select("strategy", "final", "invested", F.when(base > 0, F.pow(base, 252 / F.col("n")) - 1).alias("cagr"))
 
 
-query("strategy_comparison", _dca_metrics, None, ("final", "invested"))
-query("decision_log", lambda s, d: pf.strategy_backtests(prices(s, d), WEIGHTS, tuple(pf.STRATEGIES)).where("share is not null").select("strategy", "dt", "share"))
+_FINAL = ", g AS (SELECT strategy, arg_max(ha + hn + hr, dt) AS v, max(invested) AS inv, count(*) AS n FROM st GROUP BY strategy) "
+query("strategy_comparison", _dca_metrics, _FOLD + _FINAL + "SELECT strategy, " + _r("v", "final", 2) + ", " + _r("inv", "invested", 2) + ", " + _r("power(1 + (v - inv) / ((10000 + inv) / 2), 252.0 / n) - 1", "cagr") + " FROM g", ("final", "invested"))
+_LOGGED = {"portfolio_dd": "dt0"} | {f"share_{x}": f"w{x}" for x in "anr"} | {f"dd_{x}": f"d{x}" for x in "anr"}
+
+
+def _log(s: SparkSession, d: str) -> DataFrame:
+    rows = _folds(s, d).where("share is not null")
+    return rows.select("strategy", "dt", "portfolio_dd", *(F.col("shares")[i].alias(f"share_{x}") for i, x in enumerate("anr")), *(F.col("asset_dds")[i].alias(f"dd_{x}") for i, x in enumerate("anr")))
+
+
+query("decision_log", _log, _FOLD + " SELECT strategy, dt, " + ", ".join(_r(v, k) for k, v in _LOGGED.items()) + " FROM st WHERE wa IS NOT NULL")
 
 # -- timing ------------------------------------------------------------------------------------------------------------------
 
@@ -211,7 +256,8 @@ def _known(s: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    return order_days(s, d).select("ticker").distinct().select("ticker", F.lit("1994-01-01").cast("date").alias("lo"), F.lit("1997-12-31").cast("date").alias("hi"))
+    span = order_days(s, d).select("ticker").distinct().selectExpr("ticker", "date'1994-01-01' AS lo", "date'1997-12-31' AS hi")
+    return span.unionByName(s.range(1).selectExpr("'9-NEVER SEEN' AS ticker", "date'1994-01-01' AS lo", "date'1997-12-31' AS hi")).unionByName(s.range(1).selectExpr("'1-URGENT' AS ticker", "date'1991-01-01' AS lo", "date'1992-06-30' AS hi"))
 
 
 query("date_islands", _known, _with("isl", "SELECT * FROM isl"))
@@ -219,7 +265,7 @@ query("find_gaps", lambda s, d: iv.gaps(order_days(s, d), GAP), _with("od1", f"S
 query("interval_bounds", lambda s, d: _known(s, d).groupBy("ticker").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")), _with("isl", 'SELECT ticker, min("start") AS "start", max("end") AS "end", count(*) AS n FROM isl GROUP BY ticker'))
 query("interval_union", lambda s, d: iv.union(_known(s, d).select("ticker", "start", F.date_add("end", 5).alias("end"))), _with("isl", ', x AS (SELECT ticker, "start" AS a, CAST("end" + INTERVAL 5 DAY AS DATE) AS b FROM isl), y AS (SELECT *, max(b) OVER (PARTITION BY ticker ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x), z AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY a, b) AS g FROM y) SELECT ticker, min(a) AS "start", max(b) AS "end" FROM z GROUP BY ticker, g'))
 query("interval_coverage", lambda s, d: iv.coverage(_known(s, d), _asked(s, d)), _with("isl req", ', c AS (SELECT req.ticker, lo, hi, greatest(date_diff(\'day\', greatest("start", lo), least("end", hi)) + 1, 0) AS n, "start" <= lo AND "end" >= hi AS w FROM req LEFT JOIN isl ON isl.ticker = req.ticker) SELECT ticker, CAST(coalesce(sum(n), 0) AS BIGINT) AS covered_days, CAST(date_diff(\'day\', lo, hi) + 1 AS BIGINT) AS requested_days, ' + _r("coalesce(sum(n), 0) / CAST(date_diff('day', lo, hi) + 1 AS DOUBLE)", "ratio") + ", bool_or(coalesce(w, false)) AS whole FROM c GROUP BY ticker, lo, hi"))
-query("interval_missing", lambda s, d: iv.missing(_known(s, d), _asked(s, d)), _with("isl req", ", days AS (SELECT ticker, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS dt FROM req), un AS (SELECT days.ticker, days.dt FROM days WHERE NOT EXISTS (SELECT 1 FROM isl WHERE isl.ticker = days.ticker AND days.dt BETWEEN isl.\"start\" AND isl.\"end\")), k AS (SELECT ticker, dt, date_diff('day', DATE '1970-01-01', dt) - row_number() OVER (PARTITION BY ticker ORDER BY dt) AS g FROM un) SELECT ticker, min(dt) AS \"start\", max(dt) AS \"end\" FROM k GROUP BY ticker, g"))
+query("interval_missing", lambda s, d: iv.missing(_known(s, d), _asked(s, d)), _with("isl req", ", days AS (SELECT ticker, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS dt FROM req), un AS (SELECT days.ticker, days.lo, days.dt FROM days WHERE NOT EXISTS (SELECT 1 FROM isl WHERE isl.ticker = days.ticker AND days.dt BETWEEN isl.\"start\" AND isl.\"end\")), k AS (SELECT ticker, lo, dt, date_diff('day', DATE '1970-01-01', dt) - row_number() OVER (PARTITION BY ticker, lo ORDER BY dt) AS g FROM un) SELECT ticker, min(dt) AS \"start\", max(dt) AS \"end\" FROM k GROUP BY ticker, lo, g"))
 query("interval_json_roundtrip", lambda s, d: iv.from_text(iv.to_text(_known(s, d))), _with("isl", 'SELECT ticker, "start", "end" FROM isl'))
 query("coverage_report", lambda s, d: order_days(s, d).groupBy("ticker").agg(F.min("dt").alias("first"), F.max("dt").alias("last"), F.count("*").alias("days")).join(_known(s, d).groupBy("ticker").agg(F.count("*").alias("intervals")), "ticker"), _with("od isl", ', i AS (SELECT ticker, count(*) AS intervals FROM isl GROUP BY ticker) SELECT od.ticker, min(dt) AS "first", max(dt) AS "last", count(*) AS days, any_value(intervals) AS intervals FROM od JOIN i ON i.ticker = od.ticker GROUP BY od.ticker'))
 query("latest_common_date", lambda s, d: prices(s, d).groupBy("ticker").agg(F.min("dt").alias("a"), F.max("dt").alias("b")).agg(F.max("a").alias("global_start"), F.min("b").alias("latest_common")), _with("prices", ", b AS (SELECT min(dt) AS x, max(dt) AS y FROM prices GROUP BY ticker) SELECT max(x) AS global_start, min(y) AS latest_common FROM b"))
@@ -261,12 +307,20 @@ query("opt_top_n", lambda s, d: _scores(s, d).drop("risk_spread").orderBy(F.desc
 
 SIMS, DAYS = 200, 252
 _U = "((((({sim} * 7919 + {day} * 104729 + {seed}) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) / 2147483648.0"
-_U1, _U2 = (_U.format(sim="sim", day="day", seed=x) for x in (42, 43))
+_U1 = _U.format(sim="sim", day="day", seed=42)
 _GRIDS = f", gr AS (SELECT sim, day FROM (SELECT unnest(generate_series(0, {SIMS - 1})) AS sim) CROSS JOIN (SELECT unnest(generate_series(1, {DAYS})) AS day)), h AS (SELECT ret, row_number() OVER (ORDER BY dt) AS k, count(*) OVER () AS n FROM pr WHERE ret IS NOT NULL), "
+_Z = {k: f"sqrt(-2 * ln(greatest({_U.format(sim='sim', day='day', seed=42 + 2 * k)}, 1e-9))) * cos({_U.format(sim='sim', day='day', seed=43 + 2 * k)} * 2 * pi())" for k in range(3)}
+# the root of a matrix of three rows, written out
+_CORRELATED = (
+    "q AS (SELECT a / lag(a) OVER (ORDER BY dt) - 1 AS ra, n / lag(n) OVER (ORDER BY dt) - 1 AS rn, r / lag(r) OVER (ORDER BY dt) - 1 AS rr FROM wide), mo AS (SELECT avg(ra) AS ea, avg(rn) AS en, avg(rr) AS er, var_samp(ra) AS aa, var_samp(rn) AS nn, var_samp(rr) AS cc, covar_samp(ra, rn) AS an, covar_samp(ra, rr) AS ar, covar_samp(rn, rr) AS nr FROM q WHERE ra IS NOT NULL), "
+    "l1 AS (SELECT *, sqrt(aa) AS l11, an / sqrt(aa) AS l21, ar / sqrt(aa) AS l31 FROM mo), l2 AS (SELECT *, sqrt(nn - l21 * l21) AS l22 FROM l1), l3 AS (SELECT *, (nr - l31 * l21) / l22 AS l32 FROM l2), l4 AS (SELECT *, sqrt(cc - l31 * l31 - l32 * l32) AS l33 FROM l3), "
+    f"zs AS (SELECT sim, day, {_Z[0]} AS z0, {_Z[1]} AS z1, {_Z[2]} AS z2 FROM gr), xs AS (SELECT sim, day, ea - 0.5 * aa + l11 * z0 AS xa, en - 0.5 * nn + l21 * z0 + l22 * z1 AS xn, er - 0.5 * cc + l31 * z0 + l32 * z1 + l33 * z2 AS xr FROM zs CROSS JOIN l4), "
+    "sr AS (SELECT sim, day, 0.5 * ({a}) + 0.3 * ({n}) + 0.2 * ({r}) AS ret FROM xs), "
+)
 _DRAWS = {
     "bootstrap": f"sr AS (SELECT sim, day, h.ret FROM gr JOIN h ON h.k = CAST(floor({_U1} * (SELECT max(n) FROM h)) AS BIGINT) + 1), ",
-    "gbm": f"ms AS (SELECT avg(ret) AS mu, stddev_samp(ret) AS sd FROM h), sr AS (SELECT sim, day, exp(mu - 0.5 * sd * sd + sd * sqrt(-2 * ln(greatest({_U1}, 1e-9))) * cos({_U2} * 2 * pi())) - 1 AS ret FROM gr CROSS JOIN ms), ",
-    "parametric": f"ms AS (SELECT avg(ret) AS mu, stddev_samp(ret) AS sd FROM h), sr AS (SELECT sim, day, mu - 0.5 * sd * sd + sd * sqrt(-2 * ln(greatest({_U1}, 1e-9))) * cos({_U2} * 2 * pi()) AS ret FROM gr CROSS JOIN ms), ",
+    "gbm": _CORRELATED.format(a="exp(xa) - 1", n="exp(xn) - 1", r="exp(xr) - 1"),
+    "parametric": _CORRELATED.format(a="xa", n="xn", r="xr"),
 }
 _PATHS = "pv AS (SELECT sim, day, 10000 * exp(sum(ln(1 + ret)) OVER (PARTITION BY sim ORDER BY day)) AS value FROM sr), pa AS (SELECT *, value / greatest(max(value) OVER (PARTITION BY sim ORDER BY day), 10000) - 1 AS dd FROM pv) "
 
@@ -276,7 +330,7 @@ def _paths(method: str) -> Query:
 
 
 for _method in ("bootstrap", "gbm", "parametric"):
-    query(f"mc_{_method}_paths", _paths(_method), _with("pr", _GRIDS + _DRAWS[_method] + _PATHS + f"SELECT CAST(sim AS BIGINT) AS sim, CAST(day AS BIGINT) AS day, {_r('value', 'value', 2)}, {_r('dd', 'dd')} FROM pa"), ("value",))
+    query(f"mc_{_method}_paths", _paths(_method), _with("pr wide", _GRIDS + _DRAWS[_method] + _PATHS + f"SELECT CAST(sim AS BIGINT) AS sim, CAST(day AS BIGINT) AS day, {_r('value', 'value', 2)}, {_r('dd', 'dd')} FROM pa"), ("value",))
 query("mc_statistics", lambda s, d: pf.simulation_statistics(_paths("bootstrap")(s, d), DAYS / 252), _with("pr", _GRIDS + _DRAWS["bootstrap"] + _PATHS + ", f AS (SELECT sim, arg_max(value, day) AS v, min(dd) AS mdd, arg_max(value, day) / 10000 - 1 AS c FROM pa GROUP BY sim) SELECT " + ", ".join((_r("avg(v)", "mean_final", 2), _r("quantile_cont(v, 0.5)", "median_final", 2), _r("avg(c)", "mean_cagr"), _r("quantile_cont(c, 0.5)", "median_cagr"), _r("stddev_pop(c)", "std_cagr"), _r("quantile_cont(mdd, 0.5)", "median_mdd"), _r("min(mdd)", "worst_mdd"), _r("quantile_cont(mdd, 0.05)", "p5_mdd"), _r("avg(CASE WHEN v < 10000 THEN 1.0 ELSE 0.0 END)", "p_loss"), _r("avg(CASE WHEN v >= 20000 THEN 1.0 ELSE 0.0 END)", "p_double"))) + " FROM f"), ("mean_final", "median_final"))
 query("mc_trajectory_bands", lambda s, d: pf.bands(_paths("bootstrap")(s, d)), _with("pr", _GRIDS + _DRAWS["bootstrap"] + _PATHS + "SELECT CAST(day AS BIGINT) AS day, " + ", ".join(_r(f"quantile_cont(value, {q})", n, 2) for q, n in ((0.05, "p5"), (0.5, "p50"), (0.95, "p95"))) + " FROM pa WHERE day % 21 = 0 GROUP BY day"), ("p5", "p50", "p95"))
 
