@@ -71,3 +71,8 @@ def replace_range(old: DataFrame, new: DataFrame, key: str = "ticker") -> DataFr
     span = new.groupBy(key).agg(F.min("dt").alias("_lo"), F.max("dt").alias("_hi"))
     kept = old.join(span, key, "left").where("_lo is null or dt < _lo or dt > _hi").drop("_lo", "_hi")
     return kept.unionByName(new)
+
+
+def replace_days(old: DataFrame, new: DataFrame, key: str = "ticker") -> DataFrame:
+    """``old`` with the days of ``new`` in place of its own."""
+    return old.join(new.select(key, "dt").distinct(), [key, "dt"], "left_anti").unionByName(new)
