@@ -2,8 +2,8 @@
 
 A token's features are its shape, its neighbours' words and shapes, what stands between it and the token before, and its file's length
 and share of digits. The field is trained in numpy on a bounded sample: the tokens of pattern matches are the secrets,
-and in copies of them the values are drawn anew from other alphabets, some with no keyword before them. Labels are
-decoded by Viterbi. A token whose scores no transitions could turn from outside splits the chain exactly, so only the runs between
+and in copies of them the values are drawn anew from other alphabets, and made-up values are put between the words of other texts, most with
+no keyword before them, so that the field learns secrets by their look where there are few to learn from. Labels are decoded by Viterbi. A token whose scores no transitions could turn from outside splits the chain exactly, so only the runs between
 such tokens are decoded.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import _FOLDED as FOLDED
-from tidemark.llm.text import as_array, blocks, segment_hashes, word_spans
+from tidemark.llm.text import as_array, blocks, parts, segment_hashes, word_spans
 
 # fixed values: the patterns of the base kinds, in their order, and the least length of what they match
 KINDS = ("assign", "access", "hex")
@@ -30,6 +30,10 @@ ADDED = "crf"
 
 #: The sample: documents with a match and without one, and tokens of a training window.
 SAMPLE, WINDOW = 1500, 24
+#: Characters around a document's first match, or of its start, that are learned from.
+AROUND = 4000
+#: Made-up values of a sample, about.
+MADE_UP = 3000
 #: No transition weighs more than this, which bounds how far a neighbour can turn a label.
 TRANSITION = 2.0
 #: Characters that an added span has at least.
@@ -144,7 +148,7 @@ class Field:
         return labels
 
 
-def train(found: np.ndarray, labels: np.ndarray, steps: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Field:
+def train(found: np.ndarray, labels: np.ndarray, steps: int = 120, rate: float = 0.15, decay: float = 3e-3) -> Field:
     """A field for windows of tokens (windows x tokens x features, windows x tokens), by gradients of the likelihood that the
     forward and backward sums give. Adam."""
     field = Field()
@@ -181,9 +185,22 @@ def train(found: np.ndarray, labels: np.ndarray, steps: int = 120, rate: float =
     return field
 
 
+_ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_LEADS = ("", "", "", "", "key ", "key: ", "auth=", '"', "id ")
+
+
+def _value(rng: np.random.Generator) -> str:
+    """A made-up secret: letters drawn from one alphabet, some after a short tag."""
+    letters = _ALPHABETS[rng.integers(len(_ALPHABETS))]
+    value = "".join(letters[i] for i in rng.integers(len(letters), size=int(10 + 46 * rng.random() ** 1.7)))
+    if rng.random() < 0.3:
+        value = "".join(chr(97 + i) for i in rng.integers(26, size=int(rng.integers(2, 5)))) + "_-"[int(rng.integers(2))] + value
+    # a run of digits or of small letters alone is a number or a word
+    return value if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) else _value(rng)
+
+
 def _anew(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
     """The text with each secret drawn anew, and where the new ones stand (in characters)."""
-    sets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
     out, places, at, size = [], [], 0, 0
     for start, kind, end in spans:
         if start < at:
@@ -192,8 +209,7 @@ def _anew(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator
         lead = ASSIGN.match(text, start) if kind == 0 else None
         if lead and rng.random() < 0.5:
             keep += text[start : lead.start(2)]
-        letters = sets[rng.integers(len(sets))]
-        value = "".join(letters[i] for i in rng.integers(len(letters), size=int(rng.integers(16, 64))))
+        value = _value(rng)
         places.append((size + len(keep), size + len(keep) + len(value)))
         out += [keep, value]
         size += len(keep) + len(value)
@@ -201,31 +217,55 @@ def _anew(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator
     return "".join([*out, text[at:]]), places
 
 
+def _planted(text: str, rng: np.random.Generator, n: int) -> tuple[str, list[tuple[int, int]]]:
+    """The text with ``n`` made-up secrets put between its words, and where they stand."""
+    gaps = [m.end() for m in re.finditer(r"\s+", text)]
+    if not gaps:
+        return text, []
+    out, places, at, size = [], [], 0, 0
+    for gap in sorted({gaps[i] for i in rng.integers(len(gaps), size=n)}):
+        lead, value = _LEADS[rng.integers(len(_LEADS))], _value(rng)
+        before = text[at:gap] + lead
+        places.append((size + len(before), size + len(before) + len(value)))
+        out += [before, value, '" ' if lead == '"' else " "]
+        size += len(before) + len(value) + len(out[-1])
+        at = gap
+    return "".join([*out, text[at:]]), places
+
+
+def _labelled(text: str, places: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a text's tokens."""
+    b = np.frombuffer(text.encode(), np.uint8)
+    start, end, found = features(b, np.array([0, len(b)]))
+    y = np.zeros(len(start), np.int64)
+    for a, z in places:
+        a, z = len(text[:a].encode()), len(text[:z].encode())
+        inside = np.flatnonzero((start >= a) & (end <= z))
+        y[inside] = INSIDE
+        y[inside[:1]] = BEGIN
+    return found, y
+
+
 def examples(texts: list[str], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Training windows from texts: around each secret, and some from elsewhere."""
+    """Training windows from texts: around each secret, and as many from elsewhere. Without a base match there is nothing to learn from."""
     rng = np.random.default_rng(seed)
     found, labels = [], []
-    for text in texts:
-        spans = base_spans(text)
+    matches = [base_spans(text) for text in texts]
+    some = sum(map(bool, matches))
+    if not some:
+        return np.zeros((0, WINDOW, len(_SIZES)), np.int32), np.zeros((0, WINDOW), np.int64)
+    again, put = max(2, MADE_UP // 3 // some), max(1, round(MADE_UP / 2 / len(texts)))
+    for text, spans in zip(texts, matches, strict=True):
         secrets = []
         for start, kind, end in spans:
             lead = ASSIGN.match(text, start) if kind == 0 else None
             secrets.append((lead.start(2) if lead else start, end))
         versions = [(text, secrets)]
-        if spans:
-            versions += [_anew(text, spans, rng) for _ in range(2)]
+        versions += [_anew(text, spans, rng) for _ in range(again)] if spans else [_planted(text, rng, put)]
         for t, places in versions:
-            raw = t.encode()
-            b = np.frombuffer(raw, np.uint8)
-            start, end, f = features(b, np.array([0, len(b)]))
-            if not len(start):
+            f, y = _labelled(t, places)
+            if not len(y):
                 continue
-            y = np.zeros(len(start), np.int64)
-            for a, z in places:
-                a, z = len(t[:a].encode()), len(t[:z].encode())
-                inside = np.flatnonzero((start >= a) & (end <= z))
-                y[inside] = INSIDE
-                y[inside[:1]] = BEGIN
             centre = np.flatnonzero(y == BEGIN)
             firsts = [max(0, int(c) - int(rng.integers(2, WINDOW - 2))) for c in centre] + [int(rng.integers(0, max(1, len(y) - WINDOW + 1))) for _ in range(2)]
             for i in firsts:
@@ -234,8 +274,6 @@ def examples(texts: list[str], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
                 rows = np.minimum(rows, len(y) - 1)
                 found.append(f[rows])
                 labels.append(np.where(whole, y[rows], OUT))
-    if not found:
-        return np.zeros((0, WINDOW, len(_SIZES)), np.int32), np.zeros((0, WINDOW), np.int64)
     return np.stack(found), np.stack(labels)
 
 
@@ -289,26 +327,33 @@ def scan(texts: pa.Array, field: Field) -> list[tuple[int, int, int, str, str]]:
 
 def _scan(field: Field):
     def run(batches):
-        for whole in batches:
-            for first in range(0, len(whole), 512):
-                batch = whole.slice(first, 512)
-                n_assign, n_access, n_hex, base, spans = zip(*scan(batch.column("text"), field), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_assign, n_access, n_hex)), pa.array(base), pa.array(spans)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        for batch in parts(batches):
+            n_assign, n_access, n_hex, base, spans = zip(*scan(batch.column("text"), field), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_assign, n_access, n_hex)), pa.array(base), pa.array(spans)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return run
 
 
-def learn(documents: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from at most ``sample`` documents with a base match and a third as many without one, in the order of a hash of the text."""
+def learn(documents: DataFrame, sample: int = SAMPLE, around: int = AROUND) -> Field:
+    """A field from about ``sample`` different texts with a base match and a third as many without one, drawn by a hash of the text; of each
+    ``around`` characters about the first match, or from the start.
+
+    One pass counts the different texts with and without a match; a second keeps those below the rates that follow, so what reaches
+    the driver is bounded by the sample.
+    """
+    keyword = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
+    hit = F.col("text").rlike(keyword + r"\x20*[\"']?[A-Za-z0-9+/_.=-]{6}|(?-i)[0-9a-f]{24}|AKIA[A-Z0-9]{16}")
     text = documents.where("text is not null").select("text", F.xxhash64("text").alias("rank"))
-    hit = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}") | F.col("text").rlike("[0-9a-f]{24}") | F.col("text").rlike("AKIA[A-Z0-9]{16}")
-    # for learning only, a long text is a window of it around its first match
-    near = F.substring("text", 1, 4000)
-    at = F.greatest(F.lit(1), F.regexp_instr("text", F.lit(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|[0-9a-f]{24}|AKIA")) - 2000)
-    with_match = text.where(hit).orderBy("rank", "text").limit(sample).select(F.substring(F.col("text"), at, F.lit(4000)).alias("text"))
-    without = text.where(~hit).orderBy("rank", "text").limit(sample // 3).select(near.alias("text"))
-    texts = [r[0] for r in with_match.collect()] + [r[0] for r in without.collect()]
-    return train(*examples(texts))
+    # where texts are many a share of the hashes tells how many have a match
+    seen = text.select("rank", hit.alias("hit")).groupBy("hit").agg(F.approx_count_distinct("rank").alias("n"))
+    n = {r["hit"]: r["n"] for r in seen.collect()}
+    rate = {k: min(1.0, 1.3 * most / max(1, n.get(k, 0))) for k, most in ((True, sample), (False, sample // 3))}
+    place = F.pmod(F.col("rank"), F.lit(1 << 30)) / (1 << 30)
+    drawn = text.where(place < max(rate.values())).withColumn("hit", hit).where(place < F.when(F.col("hit"), rate[True]).otherwise(rate[False]))
+    at = F.greatest(F.lit(1), F.regexp_instr("text", F.lit(keyword + "|(?-i)[0-9a-f]{24}|AKIA")) - around // 2)
+    cut = F.substring(F.col("text"), F.when(F.col("hit"), at).otherwise(1), F.lit(around))
+    rows = sorted((not r["hit"], r["rank"], r["text"]) for r in drawn.select("hit", "rank", cut.alias("text")).dropDuplicates(["rank"]).collect())
+    return train(*examples([t for miss, _, t in rows if not miss][:sample] + [t for miss, _, t in rows if miss][: sample // 3]))
 
 
 def scan_secrets(documents: DataFrame) -> DataFrame:
@@ -316,7 +361,7 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
     alone). spans: kind:start:end of all matches and of what the field adds, in code points.
 
     A null text is empty. Repeated rows each return a row, null doc_ids too. Texts of any length are scanned whole. An empty table gives an
-    empty result; without a match to learn from the field adds nothing.
+    empty result; without a match to learn from the field adds nothing. What it adds has at least 8 characters and meets no base match.
     """
     field = learn(documents)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
