@@ -21,6 +21,8 @@ from tidemark.llm.text import as_array, parts, raw
 UNITS, READ, LEARN = 8, 96, 64
 #: The sample: windows of each language at most, and of each document.
 SAMPLE, PER_DOC = 1500, 3
+#: Documents drawn for the sample, as a multiple of those that would just do.
+DRAWN = 4
 #: Windows read together, and bytes of text.
 TOGETHER, READ_BYTES = 4096, 1 << 19
 UNKNOWN = "und"
@@ -239,8 +241,8 @@ def _accept(net: Network, least: float):
 
 
 def _windows(batches):
-    """A few windows of each text, from anywhere in it, in an order that only the text decides."""
-    for batch in batches:
+    """A few windows of each text, from anywhere in it, with a rank that only the text decides."""
+    for batch in parts(batches):
         data, at = raw(as_array(batch.column("text")))
         langs, out = batch.column("lang").to_pylist(), ([], [], [])
         for i, lang in enumerate(langs):
@@ -261,9 +263,19 @@ def _held_out(column: str):
 
 
 def learn(documents: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network from ``documents`` (doc_id, text, lang) that are not held out; at most ``sample`` windows of each language are used."""
+    """A network from ``documents`` (doc_id, text, lang) that are not held out; at most ``sample`` different windows of each language are used.
+
+    Documents are drawn by a hash of their text, at a rate that follows how many a language has, so what a task or the driver gets is
+    bounded by the sample; copies of a text count once.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    pieces = docs.where(~_held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(_windows, "lang string, piece binary, rank long")
+    docs = docs.where(~_held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    rank = F.xxhash64("text")
+    # of each language how many different texts, told by those in a small share of the hashes where there are many
+    counts = docs.groupBy("lang").agg(F.approx_count_distinct(rank).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(DRAWN * sample / PER_DOC) / F.greatest("n", F.lit(1)))
+    drawn = docs.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(F.pmod(rank, F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    pieces = drawn.select("lang", "text").mapInArrow(_windows, "lang string, piece binary, rank long").dropDuplicates(["lang", "piece"])
     by_rank = Window.partitionBy("lang").orderBy("rank", "piece")
     rows = pieces.withColumn("k", F.row_number().over(by_rank)).where(F.col("k") <= sample).select("lang", "piece").toPandas()
     return train([bytes(x) for x in rows["piece"]], rows["lang"].tolist())
