@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import parts
+
 # fixed values of the HTML standard: element names by how they behave
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -37,22 +40,19 @@ BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed
 SVG_TEXT = frozenset("svg:text svg:tspan svg:textpath svg:a svg:foreignobject".split())
 MATH_APART = frozenset("math:mfrac math:msup math:msub math:msubsup math:munder math:mover math:munderover math:mroot math:mtable math:mtr".split())
 SCOPE = frozenset("html table td th caption template".split())
-#: Nested deeper, tables are set as plain blocks.
-DEEPEST_TABLE = 40
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _CLOSES_ITSELF = re.compile(r"(?<!=)(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/\Z")
 _WHITE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _COMPOUND = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "parent", "style", "tag")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None = None):
+        self.tag, self.attributes, self.children, self.parent, self.style = tag, attributes, [], parent, None
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -89,30 +89,51 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 
 
 class _Builder:
+    """``n_open``: of each tag how many elements are open; ``tables``: where the open tables are. They spare looking through a deep page."""
+
     def __init__(self):
         self.root = Node("html", {})
         self.open = [self.root]
+        self.n_open: Counter[str] = Counter(["html"])
+        self.tables: list[int] = []
         self.body: Node | None = None
 
     def push(self, tag: str, attributes: dict[str, str]) -> Node:
-        node = Node(tag, attributes)
+        node = Node(tag, attributes, self.open[-1])
         if self.loose() and tag not in TABLE_PARTS:
             self.before_table(node)
         else:
             self.open[-1].children.append(node)
         if tag not in VOID:
+            if tag == "table":
+                self.tables.append(len(self.open))
             self.open.append(node)
+            self.n_open[tag] += 1
         return node
 
+    def drop(self, i: int) -> None:
+        """Closes the open elements from the i-th on."""
+        for x in self.open[i:]:
+            self.n_open[x.tag] -= 1
+        del self.open[i:]
+        while self.tables and self.tables[-1] >= i:
+            self.tables.pop()
+
+    def pop(self) -> None:
+        self.drop(len(self.open) - 1)
+
     def before_table(self, item: Node | str) -> None:
-        i = max(k for k, x in enumerate(self.open) if x.tag == "table" or k == 0)
-        before = self.open[max(i - 1, 0)].children
+        i = self.tables[-1] if self.tables else 0
+        holder = self.open[max(i - 1, 0)]
+        if isinstance(item, Node):
+            item.parent = holder
+        before = holder.children
         before.insert(len(before) - 1, item) if i else before.append(item)
 
     def clear(self, names: frozenset) -> None:
         """Closes all that stands open inside the nearest element of these names."""
         while self.open[-1].tag not in names and len(self.open) > 1:
-            self.open.pop()
+            self.pop()
 
     def foreign(self, i: int = -1) -> str:
         """``svg`` or ``math`` where an open element is of theirs, else nothing."""
@@ -121,10 +142,12 @@ class _Builder:
 
     def close(self, names: frozenset | tuple, within: frozenset = SCOPE) -> bool:
         """Closes up to the nearest open element of these names, if none of ``within`` lies between."""
+        if not any(self.n_open[x] for x in names):
+            return False
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
             if tag in names:
-                del self.open[i:]
+                self.drop(i)
                 return True
             if tag in within:
                 return False
@@ -145,7 +168,7 @@ class _Builder:
                 return
             self.in_body()
         if self.open[-1].tag == "colgroup" and not blank:
-            self.open.pop()
+            self.pop()
         if self.loose():
             if not blank:
                 self.before_table(s)
@@ -158,10 +181,10 @@ class _Builder:
             if tag not in BREAKOUT:
                 self.push(f"{kind}:{tag}", attributes)
                 if "/" in attributes:
-                    self.open.pop()
+                    self.pop()
                 return
             while self.foreign() and self.open[-1].tag not in INTEGRATION:
-                self.open.pop()
+                self.pop()
         if tag == "html":
             self.root.attributes = attributes | self.root.attributes
             return
@@ -174,25 +197,25 @@ class _Builder:
                 self.close(("head",), frozenset())
                 self.body = self.push("body", attributes)
             return
-        if self.body is None and not (tag in HEAD_ONLY or any(x.tag in ("template", "noscript") for x in self.open)):
+        if self.body is None and not (tag in HEAD_ONLY or self.n_open["template"] or self.n_open["noscript"]):
             self.in_body()
         if tag in ("svg", "math"):
             self.push(tag, attributes)
             if "/" in attributes:
-                self.open.pop()
+                self.pop()
             return
         if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
-            self.open.pop()
+            self.pop()
         if self.loose() and tag == "table":
             self.close(("table",), frozenset())
         elif self.loose() and tag == "form":
             # it stays empty: what follows is the table's
-            self.open[-1].children.append(Node(tag, attributes))
+            self.open[-1].children.append(Node(tag, attributes, self.open[-1]))
             return
         if tag in CLOSES_P:
             self.close(("p",), SCOPE | {"button"})
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self.pop()
         elif tag == "li":
             self.close(("li",), SCOPE | LISTS)
         elif tag in ("dt", "dd"):
@@ -208,7 +231,7 @@ class _Builder:
         elif tag == "button":
             self.close(("button",))
         elif tag in CELLS or tag == "tr" or tag in SECTIONS or tag in ("caption", "colgroup"):
-            if not any(x.tag == "table" for x in self.open):
+            if not self.tables:
                 return
             stop = frozenset({"table"})
             self.close(CELLS | {"caption"}, stop | {"tr"})
@@ -225,7 +248,7 @@ class _Builder:
         i = len(self.open) - 1
         while i > 0 and self.foreign(i):
             if self.open[i].tag.rpartition(":")[2] == tag:
-                del self.open[i:]
+                self.drop(i)
                 return
             i -= 1
         if tag == "br":
@@ -236,7 +259,7 @@ class _Builder:
             if not self.close(("p",), SCOPE | {"button"}):
                 self.in_body()
                 self.push("p", {})
-                self.open.pop()
+                self.pop()
         elif tag in HEADINGS:
             self.close(HEADINGS)
         elif tag == "li":
@@ -254,42 +277,104 @@ def parse(page: str) -> Node:
     return b.root
 
 
-def _style(text: str) -> dict[str, str]:
-    out = {}
+def _style(text: str) -> dict[str, tuple[bool, str]]:
+    """Whether important, and the value, of each property that matters here."""
+    out: dict[str, tuple[bool, str]] = {}
     for part in text.lower().split(";"):
         name, _, value = part.partition(":")
-        out[name.strip()] = value.replace("!important", "").strip()
+        name, plain = name.strip(), value.replace("!important", "").strip()
+        if name in ("display", "visibility", "white-space") and (plain != value.strip() or not out.get(name, (False,))[0]):
+            out[name] = (plain != value.strip(), plain)
     return out
 
 
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """``(selectors, declarations)`` of the rules that hold on a screen: those in ``@media`` blocks for screens or all media too."""
+    at = 0
+    while (start := css.find("{", at)) >= 0:
+        head = css[at:start].rpartition(";")[2].strip()
+        depth, end = 1, start + 1
+        while end < len(css) and depth:
+            depth += (css[end] == "{") - (css[end] == "}")
+            end += 1
+        body = css[start + 1 : end - 1 if not depth else end]
+        if head.lower().startswith("@media"):
+            media = head[6:].lower()
+            if "(" not in media and any(x.split()[:1] in ([], ["all"], ["screen"], ["only"]) for x in media.split(",")):
+                yield from _rules(body)
+        elif head.lower().startswith(("@supports", "@layer")):
+            yield from _rules(body)
+        elif not head.startswith("@"):
+            yield head, body
+        at = end
+
+
 class Sheet:
-    """Of a page's own styles: the display and visibility of single tags, classes and ids."""
+    """A page's own styles: rules of tags, classes and ids, also inside others (``.a .b``, ``.a > .b``), the more specific before the later.
+    Rules with other selectors are left out, and so are those that depend on the size of a screen."""
 
     def __init__(self, root: Node):
-        self.rules: list[tuple[str, frozenset, str, dict]] = []
+        self.keyed: dict[str, list] = defaultdict(list)
+        self.count = 0
         stack = [root]
         while stack:
             node = stack.pop()
             if node.tag in ("style", "svg:style"):
                 self._read(re.sub(r"/\*.*?\*/", "", "".join(x for x in node.children if isinstance(x, str)), flags=re.S))
-            stack += [x for x in node.children if isinstance(x, Node)]
+            stack += [x for x in reversed(node.children) if isinstance(x, Node)]
 
     def _read(self, css: str) -> None:
-        for selectors, body in _RULE.findall(css):
-            said = {k: v for k, v in _style(body).items() if k in ("display", "visibility")}
-            for s in selectors.split(",") if said and "@" not in selectors else ():
-                if m := _COMPOUND.fullmatch(s.strip()):
+        for selectors, body in _rules(css):
+            said = _style(body)
+            for s in selectors.split(",") if said else ():
+                steps = [x for x in re.split(r"\s*(>)\s*|\s+", s.strip()) if x]
+                chain, near = [], False
+                for step in steps:
+                    if step == ">":
+                        near = True
+                        continue
+                    m = _COMPOUND.fullmatch(step)
+                    if not m or not step:
+                        chain = []
+                        break
                     marks = re.findall(r"[.#][\w-]+", m[2] or "")
-                    self.rules.append(("" if m[1] in (None, "*") else m[1].lower(), frozenset(x[1:] for x in marks if x[0] == "."), next((x[1:] for x in marks if x[0] == "#"), ""), said))
+                    chain.append((near, "" if m[1] in (None, "*") else m[1].lower(), frozenset(x[1:] for x in marks if x[0] == "."), frozenset(x[1:] for x in marks if x[0] == "#")))
+                    near = False
+                if not chain:
+                    continue
+                _, tag, classes, ids = chain[-1]
+                weight = (sum(len(c[3]) for c in chain), sum(len(c[2]) for c in chain), sum(bool(c[1]) for c in chain))
+                key = "#" + min(ids) if ids else "." + min(classes) if classes else tag
+                self.count += 1
+                self.keyed[key].append((weight, self.count, chain, said))
+
+    @staticmethod
+    def _is(node: Node, step: tuple) -> bool:
+        _, tag, classes, ids = step
+        return (not tag or tag == node.tag) and ids <= {node.attributes.get("id")} and (not classes or classes <= set(node.attributes.get("class", "").split()))
+
+    def _holds(self, node: Node, chain: list) -> bool:
+        """Whether the last step is the node and those before it are elements around it."""
+        if not self._is(node, chain[-1]):
+            return False
+        if len(chain) == 1:
+            return True
+        up = node.parent
+        while up is not None:
+            if self._holds(up, chain[:-1]):
+                return True
+            up = None if chain[-1][0] else up.parent
+        return False
 
     def of(self, node: Node) -> dict[str, str]:
-        out, a = {}, node.attributes
-        if self.rules:
-            classes = set(a.get("class", "").split())
-            for tag, wanted, name, said in self.rules:
-                if (not tag or tag == node.tag) and wanted <= classes and (not name or name == a.get("id")):
-                    out |= said
-        return out | _style(a["style"]) if "style" in a else out
+        if node.style is None:
+            a = node.attributes
+            keys = [node.tag, "", *(["#" + a["id"]] if "id" in a else ()), *("." + x for x in set(a.get("class", "").split()))] if self.keyed else []
+            found = [(weight, order, said) for key in keys for weight, order, chain, said in self.keyed.get(key, ()) if self._holds(node, chain)]
+            found.sort(key=lambda x: x[:2])
+            said = [x[2] for x in found] + ([_style(a["style"])] if "style" in a else [])
+            node.style = {k: v for important in (False, True) for one in said for k, (i, v) in one.items() if i == important}
+        return node.style
 
 
 def shown(node: Node, style: dict[str, str], parent: Node | None) -> bool:
@@ -385,21 +470,27 @@ def _number(text: str | None, low: int, high: int) -> int:
         return low
 
 
-def _table(node: Node, sheet: Sheet, visible: bool, depth: int) -> list[str]:
+def _seen(style: dict[str, str], seen: bool) -> bool:
+    """Whether text is visible under an element of this style, in one where it was ``seen``."""
+    return style["visibility"] not in ("hidden", "collapse") if "visibility" in style else seen
+
+
+def _table(node: Node, sheet: Sheet, visible: bool, tables: dict[int, list[str]]) -> list[str]:
     """A table's lines: the caption, then its rows with the cells of a column under each other."""
     out, grid, widths, hangs = [], [], {}, {}
     groups = []
     for child in node.children:
         if isinstance(child, Node) and shown(child, sheet.of(child), node):
+            seen = _seen(sheet.of(child), visible)
             if child.tag in SECTIONS:
-                groups.append((child.tag, [r for r in child.children if isinstance(r, Node) and r.tag == "tr" and shown(r, sheet.of(r), child)]))
+                groups.append((child.tag, [(r, _seen(sheet.of(r), seen)) for r in child.children if isinstance(r, Node) and r.tag == "tr" and shown(r, sheet.of(r), child)]))
             elif child.tag == "tr":
-                groups.append(("tbody", [child]))
+                groups.append(("tbody", [(child, seen)]))
             elif child.tag == "caption":
-                out += render(child, sheet, visible, depth)
+                out += render(child, sheet, seen, tables)
     order = {"thead": 0, "tbody": 1, "tfoot": 2}
     for _, rows in sorted(groups, key=lambda g: order[g[0]]):
-        for tr in rows:
+        for tr, seen in rows:
             cells, column = [], 0
             for td in tr.children:
                 if not isinstance(td, Node) or td.tag not in CELLS or not shown(td, sheet.of(td), tr):
@@ -409,7 +500,7 @@ def _table(node: Node, sheet: Sheet, visible: bool, depth: int) -> list[str]:
                     column += 1
                 span = _number(td.attributes.get("colspan"), 1, 1000)
                 down = _number(td.attributes.get("rowspan"), 1, 65534)
-                lines = render(td, sheet, visible, depth)
+                lines = render(td, sheet, _seen(sheet.of(td), seen), tables)
                 cells.append((column, span, lines))
                 if span == 1:
                     widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
@@ -436,8 +527,26 @@ def _table(node: Node, sheet: Sheet, visible: bool, depth: int) -> list[str]:
     return out
 
 
-def render(root: Node, sheet: Sheet, visible: bool = True, depth: int = 0) -> list[str]:
-    """The lines of everything below ``root``."""
+def _tables(root: Node, sheet: Sheet) -> dict[int, list[str]]:
+    """The lines of each table in a page. Inner tables come first, so however deep they nest nothing calls itself."""
+    found, stack = [], [(root, True)]
+    while stack:
+        node, seen = stack.pop()
+        for x in node.children:
+            if isinstance(x, Node) and shown(x, sheet.of(x), node):
+                inner = _seen(sheet.of(x), seen)
+                if x.tag == "table":
+                    found.append((x, inner))
+                stack.append((x, inner))
+    # an element is met before those inside of it
+    out: dict[int, list[str]] = {}
+    for node, seen in reversed(found):
+        out[id(node)] = _table(node, sheet, seen, out)
+    return out
+
+
+def render(root: Node, sheet: Sheet, visible: bool, tables: dict[int, list[str]]) -> list[str]:
+    """The lines of everything below ``root``, with those of its ``tables``."""
     page = _Page()
     # (node, parent, visible, in pre, list state); a tuple ("end", node) leaves it
     stack: list = [(x, root, visible, root.tag in ("pre", "listing", "xmp")) for x in reversed(root.children)]
@@ -462,17 +571,16 @@ def render(root: Node, sheet: Sheet, visible: bool = True, depth: int = 0) -> li
         style = sheet.of(node)
         if not shown(node, style, parent):
             continue
-        if "visibility" in style:
-            seen = style["visibility"] not in ("hidden", "collapse")
+        seen = _seen(style, seen)
         tag = node.tag
         if tag == "br":
             page.newline() if seen else None
             continue
         if tag == "wbr":
             continue
-        if tag == "table" and depth < DEEPEST_TABLE:
+        if tag == "table":
             page.block(True)
-            for line in _table(node, sheet, seen, depth + 1):
+            for line in tables[id(node)]:
                 page.raw(line) if line else None
                 page.newline()
             page.block(True)
@@ -514,11 +622,12 @@ def html_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    return "\n".join(render(root, Sheet(root)))
+    sheet = Sheet(root)
+    return "\n".join(render(root, sheet, True, _tables(root, sheet)))
 
 
 def _texts(batches):
-    for batch in batches:
+    for batch in parts(batches, column="html"):
         texts = [html_text(x.as_py()) for x in batch.column("html")]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
