@@ -38,8 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, the least, of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles; rows without a doc_id
     stay."""
     ship(spark)
-    gone = ngram_jaccard_join(docs, k=5, percent=80).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = ngram_jaccard_join(docs, k=5, percent=80).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row")).join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti")
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
