@@ -36,8 +36,23 @@ def tiled(df: DataFrame, key: str, by: list[str], tile: int = TILE) -> DataFrame
     return both.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": side, "part": part}).drop("tiles", "own", "other", "size")
 
 
-def runs(table: pa.Table, key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(left, right)`` row numbers of each run of equal keys; the same array twice where the run is to be compared with itself."""
+def short_runs(table: pa.Table, key: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(rows, place)``: the rows of all runs of at most ``most`` equal keys that are to be compared with themselves, run after run, and
+    where each stands in its run; so that many short runs are worked on together."""
+    k, side = table.column(key).to_numpy(), table.column("side").to_numpy()
+    order = np.argsort(k, kind="stable")
+    order = order[side[order] == 0]
+    k = k[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(k)))
+    place = np.arange(len(k)) - np.repeat(first, size)
+    short = np.repeat(size <= most, size)
+    return order[short], place[short]
+
+
+def runs(table: pa.Table, key: str, longer_than: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(left, right)`` row numbers of each run of equal keys; the same array twice where the run is to be compared with itself, if
+    it is ``longer_than`` so many rows."""
     k, side = table.column(key).to_numpy(), table.column("side").to_numpy()
     order = np.argsort(k, kind="stable")
     k = k[order]
@@ -45,7 +60,7 @@ def runs(table: pa.Table, key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         own = order[a:b]
         if side[own[0]] == 0:
-            if len(own) > 1:
+            if len(own) > max(1, longer_than):
                 yield own, own
         else:
             left, right = own[side[own] < 0], own[side[own] > 0]
