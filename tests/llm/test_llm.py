@@ -13,7 +13,6 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate as dc
-from tidemark.llm import language_model as lm
 from tidemark.llm import secret_scan as ss
 from tidemark.llm.cap_filters import decode, embedding_links, plan
 from tidemark.llm.html_text import extract_text, html_text
@@ -248,21 +247,6 @@ def test_score_does_not_follow_chunks(spark):
     assert many.sort_index().to_numpy() == pytest.approx(one.sort_index().to_numpy(), rel=1e-9)
 
 
-def test_word_contexts_in_several_groups():
-    n = 4000
-    rng = np.random.default_rng(0)
-    word = np.sort(rng.integers(-(1 << 62), 0, n))
-    count = rng.integers(1, 20, n)
-
-    def value(rows, all_n, all_tables):
-        t = pa.table({"before": np.full(len(rows), -5), "word": word[rows], "n": count[rows], "tables": np.ones(len(rows), np.int64), "above": np.full(len(rows), 1 / n), "seen": count[rows], "all_n": pa.array([all_n] * len(rows), pa.int64()), "all_tables": pa.array([all_tables] * len(rows), pa.int64())})
-        return 10 ** lm._seated_pairs(0.5, 4)(t).column("value").to_numpy()
-
-    whole = value(np.arange(n), None, None)
-    halves = np.concatenate([value(np.arange(a, a + n // 2), int(count.sum()), n) for a in (0, n // 2)])
-    assert whole.sum() == pytest.approx(1, abs=1e-6) and halves.sum() == pytest.approx(1, abs=0.05)
-
-
 def test_edit_similarity():
     rng = random.Random(3)
 
