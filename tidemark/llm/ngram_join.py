@@ -30,8 +30,8 @@ from tidemark.session import small_enough, staged
 BITS = 1024
 #: Sets in one side of a square tile.
 TILE = 512
-#: Broadcast the sizes of at most so many keys (24 bytes each); beyond it the join shuffles.
-BROADCAST_KEYS = 50_000
+#: Broadcast the sizes of at most so many keys that sets share (24 bytes each); beyond it the keys of all sets are shuffled once more.
+BROADCAST_KEYS = 2_000_000
 #: Broadcast a table of document ids up to this many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -59,7 +59,7 @@ def tile_keys(s: np.ndarray, t: float, all_bands: list[tuple[int, int, int]]) ->
     for i, (first, last, d) in enumerate(all_bands):
         if n > last or n < math.ceil(first * t - 1e-9):
             continue
-        m = np.uint64(math.ceil(1.05 * (d + 1)) + 1)
+        m = np.uint64(d + 2)
         tile = ((s >> np.uint64(32)) * m) >> np.uint64(32)
         head = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
         inner = mix(s + np.uint64(0x51ED270B))
@@ -179,9 +179,12 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     full = sketch.where("n > 0 and doc_id is not null")
     node = full.groupBy(*same).agg(F.min("doc_id").alias("node"))
     member = full.select("doc_id", *same).join(node, same).select("doc_id", "node").distinct()
-    reps = staged(full.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"), "reps")
-
-    keyed = reps.select("node", F.explode("keys").alias("key"))
+    kept = staged(member.where("doc_id = node").select("doc_id").distinct(), "kept")
+    kept = F.broadcast(kept) if small_enough(kept, BROADCAST_ROWS) else kept
+    # the keys are by far the widest column, and are read once for counting and once for joining
+    firsts = full.join(kept, "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+    reps = staged(firsts.select("node", "n", "bits").dropDuplicates(["node"]), "reps")
+    keyed = firsts.select("node", F.explode("keys").alias("key"))
     sizes = staged(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = staged(keyed.join(F.broadcast(sizes) if small_enough(sizes, BROADCAST_KEYS) else sizes, "key"), "shared")
     stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
