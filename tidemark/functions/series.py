@@ -74,7 +74,3 @@ def drawdowns(series: DataFrame, key: str = "ticker", start: float | None = None
     valued = valued.withColumn("peak", peak if start is None else F.greatest(peak, F.lit(start)))
     return valued.withColumn("dd", F.col("value") / F.col("peak") - 1)
 
-
-def rounded(c: Column | str, places: int = 6) -> Column:
-    """Rounded, without a negative zero."""
-    return F.round(c, places) + F.lit(0.0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.series import YEAR, by, cagr, downside, full, last_rows, ratio, so_far, volatility
+from tidemark.functions.series import YEAR, by, full, last_rows, ratio, so_far, volatility
 
 
 def aligned(prices: DataFrame, tickers: tuple[str, ...]) -> DataFrame:
@@ -354,6 +354,3 @@ def bands(paths: DataFrame, every: int = 21) -> DataFrame:
     p = lambda q: F.percentile("value", q)
     return paths.where(F.col("day") % every == 0).groupBy("day").agg(p(0.05).alias("p5"), p(0.5).alias("p50"), p(0.95).alias("p95"))
 
-
-def summarised(rets: DataFrame) -> DataFrame:
-    return rets.groupBy("portfolio").agg(cagr().alias("cagr"), volatility().alias("vol"), downside().alias("down"))

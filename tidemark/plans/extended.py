@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ from tidemark.operators import store as st
 from tidemark.operators import studies as sd
 from tidemark.plans import catalog as c
 from tidemark.plans.catalog import GAP, ORACLES, QUERIES, WEIGHTS, _r, _rets, _with, query
+from tidemark.session import shared_dir
 from tidemark.sources.prices import order_days, prices
+from tidemark.streaming.ingest import ingest, latest
 
 #: Portfolios of the queries: (portfolio, ticker, weight).
 PORTFOLIOS = [
@@ -199,6 +202,19 @@ def _inceptions(s: SparkSession, d: str) -> DataFrame:
 query("inception_earlier", _inceptions, _with("od", ", f AS (SELECT ticker, min(dt) AS f FROM od GROUP BY ticker) SELECT o.ticker, least(o.i, f.f) AS inception FROM (VALUES ('1-URGENT', CAST(NULL AS DATE)), ('2-HIGH', DATE '1980-01-01'), ('3-MEDIUM', DATE '2030-01-01')) AS o(ticker, i) LEFT JOIN f ON f.ticker = o.ticker"))
 query("gap_report", lambda s, d: st.gap_report(iv.gaps(order_days(s, d), GAP)), f"SELECT ticker, array_to_string(list_slice(a, 1, 5), ', ') AS report, CAST(greatest(len(a) - 5, 0) AS BIGINT) AS more FROM (SELECT ticker, list_sort(list(CAST(\"start\" AS VARCHAR) || '..' || CAST(\"end\" AS VARCHAR))) AS a FROM ({ORACLES['find_gaps']}) GROUP BY ticker)")
 
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Prices that come as a stream, then a correction of some months that leaves out odd days."""
+    base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    old = prices(s, d)
+    new = old.where("dt between date'1995-03-01' and date'1995-06-30' and day(dt) % 2 = 0").withColumn("price", F.col("price") * 2)
+    for rows in (old, new):
+        rows.write.mode("append").parquet(f"{base}/in")
+        ingest(s.readStream.schema(old.schema).parquet(f"{base}/in"), f"{base}/store", f"{base}/ckpt").awaitTermination()
+    return latest(s.read.parquet(f"{base}/store")).select("ticker", "dt", "price")
+
+
+query("stream_replace_range", _streamed, ORACLES["replace_range_upsert"], ("price",))
+
 # -- objectives --------------------------------------------------------------------------------------------------------------------
 
 _WANTED = {"return": 1.0, "sharpe": 1.0, "volatility": 0.5, "drawdown": 1.0, "sortino": 0.5}

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 #: Rows over which daily averages are smoothed; a series starts once so many are there.
 SMOOTH = 21
-TICKERS = ("A", "N", "R")
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

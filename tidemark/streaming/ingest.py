@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
 
 def latest(versions: DataFrame) -> DataFrame:
-    """Of a store with rows (ticker, dt, price, version) those of the newest version of each day."""
-    w = Window.partitionBy("ticker", "dt").orderBy(F.desc("version"))
-    return versions.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """Of a store with rows (ticker, dt, price, version) those that no later version's span covers: a version replaces all days from its
+    first to its last of a ticker, also those that it leaves out."""
+    spans = versions.groupBy("ticker", F.col("version").alias("_v")).agg(F.min("dt").alias("_a"), F.max("dt").alias("_b")).withColumnRenamed("ticker", "_t")
+    later = (F.col("ticker") == F.col("_t")) & (F.col("version") < F.col("_v")) & F.col("dt").between(F.col("_a"), F.col("_b"))
+    return versions.join(spans, later, "left_anti")
 
 
 def ingest(bars: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
@@ -31,6 +30,3 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.struct("ts", "event_id")
     return e.groupBy("ticker", "hour").agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.sum("value").alias("volume"))
 
-
-def fresh_store(base: str) -> str:
-    return f"{base}/bars-{uuid.uuid4().hex}"
