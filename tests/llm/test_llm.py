@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate as dc
 from tidemark.llm import secret_scan as ss
@@ -74,12 +75,23 @@ def test_rollup_counts_a_batch_once(spark):
     rows = spark.createDataFrame([("s", "en", 5), ("s", "en", 7), (None, "de", 1)], "source string, lang string, tokens long")
     assert r.commit("a", changes(rows, 1, "v")) and not r.commit("a", changes(rows, 1, "v"))
     assert r.commit("b", changes(rows.where("tokens = 5"), -1, "v"))
-    assert {tuple(x) for x in r.totals().collect()} == {("s", "en", "v", 1, 7), (None, "de", "v", 1, 1)}
+    want = {("s", "en", "v", 1, 7), (None, "de", "v", 1, 1)}
+    assert {tuple(x) for x in r.totals().collect()} == want
+    # a writer that died before its commit, and one that comes second with a commit of its own
+    changes(rows, 1, "v").withColumns({"batch": F.lit("c"), "attempt": F.lit("x")}).write.mode("append").parquet(f"{r.path}/deltas")
+    assert not r._name("a", "0") and {tuple(x) for x in r.totals().collect()} == want
+    r.compact()
+    assert {tuple(x) for x in r.totals().collect()} == want and not r.commit("b", changes(rows, 1, "v"))
+    assert r.commit("c", changes(rows, -1, "v"))
+    r.compact()
+    assert {tuple(x) for x in r.totals().collect()} == {("s", "en", "v", -1, -5)} and TokenRollup(spark, r.path).totals().count() == 1
 
 
 def test_token_counts_drop_copies(spark):
-    row = token_counts(_docs(spark, ["one two", "one two", "three"])).first()
-    assert row["docs"] == 2
+    texts = ["one two", "one two", "three", None, "", _text(3, 500)]
+    row = token_counts(_docs(spark, texts)).first()
+    ids, at = encoder("byte_bpe_50k.json").encode(sorted({t or "" for t in texts}))
+    assert (row["docs"], row["tokens"]) == (4, len(ids) + 4)
 
 
 def test_html_layout():

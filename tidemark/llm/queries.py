@@ -73,4 +73,10 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Words are runs between the six white space bytes, letters A to Z in lower case.
+_WORDS = r"SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents"
+ORACLE_SQL: dict[str, str] = {
+    "op10_ngram_jaccard_join": f"WITH RECURSIVE w AS ({_WORDS}), sh AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 1) + 1), lambda i: array_to_string(ws[i:i + 2], chr(31)))) AS s FROM w WHERE len(ws) > 0), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), "
+    "pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL), lk AS (SELECT x, y FROM pr JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)), "
+    "r AS (SELECT doc_id AS node, doc_id AS comp FROM documents UNION SELECT lk.y, r.comp FROM r JOIN lk ON lk.x = r.node) SELECT r.node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(comp) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node",
+}
