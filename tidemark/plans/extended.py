@@ -83,7 +83,7 @@ _BUNDLE = ("cagr_vol_sharpe", "downside_sortino_calmar", "var_cvar", "distributi
 
 def _bundle(s: SparkSession, d: str) -> DataFrame:
     """The risk figures of each series; those beside a benchmark are null for the benchmark itself."""
-    rets = _rets(s, d).persist()
+    rets = _rets(s, d)
     parts = [m.summary(rets).drop("n"), m.value_at_risk(rets), m.shape(rets), m.best_worst_year(rets)]
     out = parts[0]
     for p in parts[1:]:
