@@ -228,6 +228,14 @@ def strategy_backtests(prices: DataFrame, weights: dict[str, float], names: tupl
     return rows.groupBy("strategy").applyInPandas(fold, schema)
 
 
+def run_backtest(prices: DataFrame, weights: dict[str, float], strategy: str | None = None, capital: float = 10_000.0, amount: float = 0.0, every: int = 21) -> DataFrame:
+    """``(dt, value)``: a lump sum set back to its weights daily where there is neither a strategy nor cash to add; else the fold of the strategy
+    ("static" by default), whose holdings drift."""
+    if strategy is None and amount <= 0:
+        return backtest(prices, weights, capital).select("dt", "value")
+    return strategy_backtests(prices, weights, (strategy or "static",), capital, amount, every).select("dt", "value")
+
+
 # -- timing ------------------------------------------------------------------------------------------------------------------
 
 

@@ -262,3 +262,36 @@ def _finals(s: SparkSession, d: str) -> DataFrame:
 
 
 query("mc_final_density", lambda s, d: sd.density(_finals(s, d), "v").withColumn("y", F.col("y") * 1e4), _with("pr", _PTH + ", f AS (SELECT arg_max(value, day) AS v FROM pa GROUP BY sim), sh AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi, stddev_samp(v) * power(count(*), -0.2) AS h, count(*) AS n FROM f), gd AS (SELECT k, lo + (hi - lo) * k / 199 AS x, h, n FROM sh, (SELECT unnest(generate_series(0, 199)) AS k)) SELECT CAST(k AS BIGINT) AS k, " + _r("any_value(x)", "x", 2) + ", " + _r("sum(exp(-0.5 * ((x - v) / h) * ((x - v) / h))) / any_value(n) / any_value(h) / sqrt(2 * pi()) * 10000", "y") + " FROM f CROSS JOIN gd GROUP BY k"), ("x",))
+
+
+# -- what the panels of a report show ----------------------------------------------------------------------------------------------
+
+
+def _panels(s: SparkSession, d: str) -> DataFrame:
+    """``(panel, x, y)``: bands, the density of final values, and yearly chances of simulations."""
+    bands = QUERIES["mc_trajectory_bands"](s, d)
+    out = QUERIES["mc_final_density"](s, d).select(F.lit("density").alias("panel"), F.col("k").cast("double").alias("x"), "y")
+    for name in ("p5", "p50", "p95"):
+        out = out.unionByName(bands.select(F.lit(name).alias("panel"), F.col("day").cast("double").alias("x"), F.col(name).alias("y")))
+    chances = QUERIES["mc_yearly_chances"](s, d)
+    for name in ("p_loss", "p_high"):
+        out = out.unionByName(chances.select(F.lit(name).alias("panel"), F.col("year").cast("double").alias("x"), F.col(name).alias("y")))
+    return out
+
+
+def _panel(name: str, x: str, y: str, source: str) -> str:
+    return f"SELECT '{name}' AS panel, CAST({x} AS DOUBLE) AS x, {y} AS y FROM ({ORACLES[source]})"
+
+
+query("simulation_panels", _panels, " UNION ALL ".join([_panel("density", "k", "y", "mc_final_density"), *(_panel(n, "day", n, "mc_trajectory_bands") for n in ("p5", "p50", "p95")), *(_panel(n, "year", n, "mc_yearly_chances") for n in ("p_loss", "p_high"))]))
+
+
+def _backtest_panels(s: SparkSession, d: str) -> DataFrame:
+    """Value, drawdown and rolling growth of a backtest on each day."""
+    test = QUERIES["backtest_static_series"](s, d).select("dt", "value", "dd")
+    return test.join(QUERIES["rolling_3y_5y"](s, d), "dt")
+
+
+query("backtest_panels", _backtest_panels, f"SELECT dt, value, dd, roll_3y, roll_5y FROM ({ORACLES['backtest_static_series']}) JOIN ({ORACLES['rolling_3y_5y']}) USING (dt)", ("value",))
+query("backtest_dispatch_lump_sum", lambda s, d: pf.run_backtest(prices(s, d), WEIGHTS), f"SELECT dt, value FROM ({ORACLES['backtest_static_series']})", ("value",))
+query("backtest_dispatch_strategy", lambda s, d: pf.run_backtest(prices(s, d), WEIGHTS, "dual_momentum", amount=500.0), f"SELECT dt, value FROM ({ORACLES['dca_strategies']}) WHERE strategy = 'dual_momentum'", ("value",))
