@@ -33,7 +33,7 @@ from tidemark.session import staged
 #: The symbols before, inside and after words, and the end of a text as a symbol.
 GAP, END = 0x20, 0x0A
 #: Bytes of text in a chunk, for a part of the contexts, and for a part of the words.
-CHUNK, PART, WORD_PART = 12 << 20, 4 << 20, 16 << 20
+CHUNK, PART, WORD_PART = 10 << 20, 4 << 20, 16 << 20
 #: Strength of all restaurants; steps of a sweep; sweeps before the averaged ones, and those.
 STRENGTH, STEPS, BURN, AVERAGED = 0.5, 6, 2, 3
 _WORD = np.uint64(1 << 63)
@@ -123,6 +123,24 @@ def _from5(b: bytes, at: int, n: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+#: Answers are told in steps of this part of a power of ten.
+STEP = 2048
+
+
+def _told(logs: np.ndarray) -> bytes:
+    """Log10 probabilities in two bytes each; of those that do not fit, which words of hundreds of letters have, four bytes more."""
+    q = np.round(-logs * STEP)
+    far = q >= 0xFFFF
+    return np.where(far, 0xFFFF, q).astype(np.uint16).tobytes() + logs[far].astype(np.float32).tobytes()
+
+
+def _heard(data: bytes, n: int) -> np.ndarray:
+    q = np.frombuffer(data, np.uint16, n)
+    out = q / -STEP
+    out[q == 0xFFFF] = np.frombuffer(data, np.float32, offset=2 * n)
+    return out
+
+
 # -- restaurants ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -294,12 +312,13 @@ class Asked:
 
     def __init__(self, table: pa.Table, parts: int, frequent: tuple[np.ndarray, np.ndarray]):
         self.rows, before, word = _chunk_tokens(table)
+        self.rows = self.rows.astype(np.int32)
         word40 = short(word)
-        part = pair_part(before, word40, parts, frequent)
+        part = pair_part(before, word40, parts, frequent).astype(np.int32)
         order = np.lexsort((word40, before, part))
         b, w = before[order], word40[order]
         new = np.concatenate(([True], (b[1:] != b[:-1]) | (w[1:] != w[:-1]))) if len(b) else np.zeros(0, bool)
-        self.of = np.empty(len(b), np.int64)
+        self.of = np.empty(len(b), np.int32)
         self.of[order] = np.cumsum(new) - 1
         self.before, self.word, self.part = b[new], w[new], part[order][new]
         self.words = word
@@ -341,8 +360,8 @@ def _opened_all(batches) -> Iterator[tuple[int, pa.Table]]:
 
 
 def _vocabulary(parts: int):
-    """Rows ``(wpart, chunk, words, counts, letters)``: the different words of a chunk in a part of the words, in order, how often its training
-    texts have each, and their letters in lower case (the end has none)."""
+    """Rows ``(wpart, chunk, counts, letters)``: of the different words of a chunk in a part of the words, in the order of their hashes, how often
+    its training texts have each, and their letters in lower case (the end has none)."""
 
     def run(batches):
         for chunk, table in _opened_all(batches):
@@ -363,7 +382,7 @@ def _vocabulary(parts: int):
             for k in np.unique(place):
                 own = np.flatnonzero(place == k)
                 text = _press(np.frombuffer(b"\n".join(letters[order[i]] for i in own), np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), pa.array([u[own].tobytes()], pa.binary()), pa.array([_press(n[own])], pa.binary()), pa.array([text], pa.binary())], names=["wpart", "chunk", "words", "counts", "letters"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), pa.array([_press(n[own])], pa.binary()), pa.array([text], pa.binary())], names=["wpart", "chunk", "counts", "letters"])
 
     return run
 
@@ -371,10 +390,18 @@ def _vocabulary(parts: int):
 # -- levels --------------------------------------------------------------------------------------------------------------------------
 
 
+def _hashes(text: bytes) -> np.ndarray:
+    """The hashes of words with line feeds between."""
+    b = np.frombuffer(text, np.uint8)
+    feed = np.flatnonzero(b == 10)
+    start, end = np.concatenate(([0], feed + 1)), np.append(feed, len(b))
+    return np.where(end > start, segment_hashes(b, start, end, FOLDED) | _WORD, END_WORD)
+
+
 def _words(table: pa.Table) -> pa.Table:
     """Of a part of the words: one row that sums up all chunks (chunk null), and for each chunk the counts of its words over the corpus."""
     chunks = table.column("chunk").to_pylist()
-    words = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")]
+    words = [_hashes(zstandard.ZstdDecompressor().decompress(x.as_py())) for x in table.column("letters")]
     u, one, inverse = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
     n = np.bincount(inverse, np.concatenate([_numbers(x.as_py()) for x in table.column("counts")])).astype(np.int64)
     at = np.cumsum([0, *(len(w) for w in words)])
@@ -533,8 +560,8 @@ def _answers(word_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
             rooms.sweep(parent)
             if k >= BURN:
                 mean += rooms.predictive(parent) / AVERAGED
-        value = np.log10(mean).astype(np.float32)
-        return pa.table({"chunk": asked.column("chunk").cast(pa.int64()), "part": asked.column("part").cast(pa.int32()), "data": pa.array([value[i].tobytes() for i in p.of], pa.binary())})
+        value = np.log10(mean)
+        return pa.table({"chunk": asked.column("chunk").cast(pa.int64()), "part": asked.column("part").cast(pa.int32()), "data": pa.array([_told(value[i]) for i in p.of], pa.binary())})
 
     return run
 
@@ -557,7 +584,7 @@ def _scored(parts: int, word_parts: int, frequent: tuple[np.ndarray, np.ndarray]
                     count[wpart == k] = _numbers(data)
                 else:
                     i, j = np.searchsorted(a.part, [k, k + 1])
-                    value[i:j] = np.frombuffer(data, np.float32)
+                    value[i:j] = _heard(data, j - i)
             base = np.log10(count + 0.1) - np.log10(total + 0.1 * (distinct + 1))
             sums = [np.bincount(a.rows, x, n) for x in (np.ones(len(a.rows)), count[word_of] > 0, base[word_of], value[a.of])]
             out.append(pa.table([table.column("doc_id"), table.column("held_out"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(np.full(n, total)), pa.array(sums[2]), pa.array(sums[3])], names=[x.split()[0] for x in _SCORES.split(", ")]))
@@ -584,7 +611,7 @@ def score_texts(documents: DataFrame) -> DataFrame:
     parts, word_parts = max(1, -(-size // PART)), max(1, -(-size // WORD_PART))
     packed = chunks.select("chunk", "packed")
 
-    words = packed.mapInArrow(_vocabulary(word_parts), "wpart int, chunk long, words binary, counts binary, letters binary")
+    words = packed.mapInArrow(_vocabulary(word_parts), "wpart int, chunk long, counts binary, letters binary")
     words = staged(words.groupBy("wpart").applyInArrow(_words, _WORDS), "words")
     state = words.where("chunk is null")
     total, distinct = (int(x) for x in state.agg(F.sum("total"), F.sum("known")).first())

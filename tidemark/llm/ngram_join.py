@@ -59,7 +59,8 @@ def tile_keys(s: np.ndarray, t: float, all_bands: list[tuple[int, int, int]]) ->
     for i, (first, last, d) in enumerate(all_bands):
         if n > last or n < math.ceil(first * t - 1e-9):
             continue
-        m = np.uint64(d + 2)
+        # a few tiles more than needed, for those that a small set of the band leaves empty
+        m = np.uint64(math.ceil((d + 1) * (1 + 1.3 * math.exp(-first * t / (d + 1)))) + 3)
         tile = ((s >> np.uint64(32)) * m) >> np.uint64(32)
         head = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
         inner = mix(s + np.uint64(0x51ED270B))
