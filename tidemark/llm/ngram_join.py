@@ -8,8 +8,8 @@ share a key are candidates. No candidate is lost: a set that fills ``d`` tiles o
 
 Candidates are compared in bulk: the bits in which two parity bitmaps differ bound the overlap from above, and only what passes
 has its sorted arrays intersected. Equal sets are one class from the start, so copies are never expanded. Sets that share a key
-are first compared with the smallest of them; only keys that then still span several components are compared pair by pair,
-in square tiles of bounded size, each a task's work of its own.
+are first compared with the smallest of them. Of keys that then still span several components the bitmaps are compared in square tiles of
+bounded size, which gives clusters of sets that may link; within a cluster sets are compared, again in tiles.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import connected_components
 from tidemark.llm.text import mix, parts, shingle_sets, signed
-from tidemark.llm.tiles import grouped, runs, tiled
+from tidemark.llm.tiles import grouped, runs, spanning, tiled
 from tidemark.session import small_enough, staged
 
 #: Bits of a bitmap; sets of a few hundred shingles leave it sparse enough to bound well.
 BITS = 1024
-#: Sets in one side of a square tile.
-TILE = 512
+#: Sets in one side of a square tile when bitmaps are compared, and when the sets are there too.
+TILE, SETS_TILE = 512, 256
 #: Broadcast the sizes of at most so many keys that sets share (24 bytes each); beyond it the keys of all sets are shuffled once more.
 BROADCAST_KEYS = 2_000_000
 #: Broadcast a table of document ids up to this many rows (8 bytes each); beyond it the join shuffles.
@@ -49,8 +49,26 @@ def bands(t: float) -> list[tuple[int, int, int]]:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """The parity of the shingles hashed to each of ``BITS`` bits, packed."""
-    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1)
+    """The parity of the shingles hashed to each of some bits, packed: a power of two of them, ``BITS`` or about two to four a shingle."""
+    m = max(BITS, 1 << int(2 * len(s)).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1)
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of so many bytes from a larger one: halves laid on each other keep the parities."""
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _small_bits(column: pa.ChunkedArray) -> np.ndarray:
+    """The bitmaps of a column folded to ``BITS``, as rows of 64-bit numbers."""
+    return np.concatenate([folded(np.frombuffer(x.as_buffer(), np.uint8), BITS // 8) for x in column] or [np.zeros(0, np.uint8)]).view(np.uint64).reshape(-1, BITS // 64)
+
+
+def _bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64))
 
 
 def tile_keys(s: np.ndarray, t: float, all_bands: list[tuple[int, int, int]]) -> np.ndarray:
@@ -123,49 +141,85 @@ def _bound_pairs(percent: int):
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("xa", "xb"))
-            differing = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            ok = _overlap_bound(na, nb, differing, percent)
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(ok))
+            differing = np.array([_bits_apart(*(np.frombuffer(v.as_buffer(), np.uint8) for v in pair)) for pair in zip(batch.column("xa"), batch.column("xb"), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(_overlap_bound(na, nb, differing, percent)))
 
     return run
 
 
-def _tile_pairs(percent: int):
-    """Within one group of tiles: pairs of one key, but of different components, whose bitmaps allow a link."""
+def _plausible(percent: int):
+    """Edges that hold together those sets of a key, of different components, whose bitmaps allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
         node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
-        out = [np.zeros((2, 0), np.int64)]
+        bits, out = _small_bits(table.column("bits")), [np.zeros((2, 0), np.int64)]
         for left, right in runs(table, "key"):
+            linked = np.zeros((len(left), len(right)), bool)
             for k, i in enumerate(left):
-                others = right[k + 1 :] if left is right else right
-                others = others[comp[others] != comp[i]]
-                differing = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                near = node[others[_overlap_bound(n[others], n[i], differing, percent)]]
-                out.append(np.stack((np.minimum(near, node[i]), np.maximum(near, node[i]))))
+                differing = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                linked[k] = _overlap_bound(n[right], n[i], differing, percent) & (comp[right] != comp[i])
+            out.append(np.stack(spanning(left, right, linked, node)))
         a, b = np.concatenate(out, axis=1)
         return pa.table({"a": a, "b": b})
 
     return run
 
 
+def _linked_sets(percent: int):
+    """Links between the sets of one cluster: bitmaps first, then sorted arrays; what is held together already is not compared again."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
+        wide, sets, small = table.column("bits"), table.column("s"), _small_bits(table.column("bits"))
+        read = lambda column, i, kind: np.frombuffer(column[int(i)].as_buffer(), kind)
+        out: tuple[list, list] = ([], [])
+        for left, right in runs(table, "key"):
+            parent: dict[int, int] = {}
+
+            def find(x, parent=parent):
+                while (y := parent.get(x, x)) != x:
+                    parent[x] = parent.get(y, y)
+                    x = y
+                return x
+
+            for k, i in enumerate(left):
+                others = right[k + 1 :] if left is right else right
+                differing = np.bitwise_count(small[others] ^ small[i]).sum(axis=1, dtype=np.int64)
+                maybe = _overlap_bound(n[others], n[i], differing, percent) & (comp[others] != comp[i])
+                x, mine = read(sets, i, np.uint64), read(wide, i, np.uint8)
+                for j in others[maybe][np.argsort(differing[maybe], kind="stable")]:
+                    p, q = find(int(comp[i])), find(int(comp[j]))
+                    if p == q or not _overlap_bound(n[j], n[i], _bits_apart(mine, read(wide, j, np.uint8)), percent):
+                        continue
+                    both = len(np.intersect1d(x, read(sets, j, np.uint64), assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        parent[max(p, q)] = min(p, q)
+                        out[0].append(min(node[i], node[j]))
+                        out[1].append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
 def _exact(pairs: DataFrame, reps: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (columns a, b) that link: bitmap bound first, then the sorted arrays of what passes."""
     side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("x" + c))
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
     near = staged(near.mapInArrow(_bound_pairs(percent), "a long, b long").distinct(), "pairs")
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    if small_enough(wanted, BROADCAST_ROWS):
-        wanted = F.broadcast(wanted)
-    # repeated rows of one doc_id hold one text by contract of the id; where they do not, the least node's set is used
-    sets = documents.join(wanted, "doc_id", "left_semi").mapInArrow(_shingles(k), "doc_id long, s binary").dropDuplicates(["doc_id"])
-    sets = staged(sets, "sets")
+    sets = _sets(near.select("a").union(near.select("b")), documents, k)
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("s").alias("s" + c))
     return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
 
 
+def _sets(nodes: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, s)``: the sorted shingles of the documents in the one column of ``nodes``."""
+    wanted = nodes.toDF("doc_id").distinct()
+    if small_enough(wanted, BROADCAST_ROWS):
+        wanted = F.broadcast(wanted)
+    # repeated rows of one doc_id hold one text by contract of the id; where they do not, one of their sets is used
+    return staged(documents.join(wanted, "doc_id", "left_semi").mapInArrow(_shingles(k), "doc_id long, s binary").dropDuplicates(["doc_id"]), "sets")
+
+
 def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``documents`` (doc_id, text; other columns are left alone).
 
@@ -198,11 +252,14 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     # keys with equal members are compared once
     first = staged(open_keys.groupBy("mark", "size").agg(F.min("key").alias("key")), "first")
     members = placed.join(first.select("key"), "key", "left_semi").join(reps.select("node", "n", "bits"), "node").select("key", "node", "n", "comp", "bits")
-    more = grouped(tiled(members, "key", ["node"], TILE), _tile_pairs(percent), "a long, b long").distinct()
-    more = staged(more, "more")
-    if more.limit(1).count():
-        links = links.unionByName(_exact(more, reps, docs, k, percent))
-        found = staged(connected_components(links), "found")
+    near = staged(grouped(tiled(members, "key", ["node"], TILE), _plausible(percent), "a long, b long").distinct(), "near")
+    if near.limit(1).count():
+        # what may link lies in one cluster, where each set is once, and not once for each key
+        clusters = staged(connected_components(near).withColumnRenamed("component", "key"), "clusters")
+        rows = clusters.join(reps.select("node", "n", "bits"), "node").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        rows = rows.join(_sets(clusters.select("node"), docs, k).withColumnRenamed("doc_id", "node"), "node")
+        more = staged(grouped(tiled(rows, "key", ["node"], SETS_TILE), _linked_sets(percent), "a long, b long").distinct(), "more")
+        found = staged(connected_components(links.unionByName(more)), "found")
 
     nodes = member.join(found, "node", "left").select(F.col("doc_id"), F.coalesce("component", "node").alias("component"))
     # repeated rows of one doc_id with different texts would sit in several components: they take the least
