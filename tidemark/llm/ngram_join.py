@@ -29,7 +29,7 @@ from tidemark.session import small_enough, staged
 #: Bits of a bitmap; sets of a few hundred shingles leave it sparse enough to bound well.
 BITS = 1024
 #: Sets in one side of a square tile when bitmaps are compared, and when the sets are there too.
-TILE, SETS_TILE = 512, 256
+TILE, SETS_TILE = 512, 512
 #: Broadcast the sizes of at most so many keys that sets share (24 bytes each); beyond it the keys of all sets are shuffled once more.
 BROADCAST_KEYS = 2_000_000
 #: Broadcast a table of document ids up to this many rows (8 bytes each); beyond it the join shuffles.
@@ -61,9 +61,11 @@ def folded(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def _small_bits(column: pa.ChunkedArray) -> np.ndarray:
-    """The bitmaps of a column folded to ``BITS``, as rows of 64-bit numbers."""
-    return np.concatenate([folded(np.frombuffer(x.as_buffer(), np.uint8), BITS // 8) for x in column] or [np.zeros(0, np.uint8)]).view(np.uint64).reshape(-1, BITS // 64)
+def _run_bits(column: pa.ChunkedArray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmaps of both sides of a run, folded to the smallest among them, as rows of 64-bit numbers."""
+    x, y = ([np.frombuffer(column[int(i)].as_buffer(), np.uint8) for i in rows] for rows in (left, right))
+    size = min(map(len, x + y))
+    return tuple(np.concatenate([folded(v, size) for v in side]).view(np.uint64).reshape(len(side), -1) for side in (x, y))
 
 
 def _bits_apart(x: np.ndarray, y: np.ndarray) -> int:
@@ -152,11 +154,12 @@ def _plausible(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
-        bits, out = _small_bits(table.column("bits")), [np.zeros((2, 0), np.int64)]
+        out = [np.zeros((2, 0), np.int64)]
         for left, right in runs(table, "key"):
+            x, y = _run_bits(table.column("bits"), left, right)
             linked = np.zeros((len(left), len(right)), bool)
             for k, i in enumerate(left):
-                differing = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                differing = np.bitwise_count(y ^ x[k]).sum(axis=1, dtype=np.int64)
                 linked[k] = _overlap_bound(n[right], n[i], differing, percent) & (comp[right] != comp[i])
             out.append(np.stack(spanning(left, right, linked, node)))
         a, b = np.concatenate(out, axis=1)
@@ -170,8 +173,8 @@ def _linked_sets(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
-        wide, sets, small = table.column("bits"), table.column("s"), _small_bits(table.column("bits"))
-        read = lambda column, i, kind: np.frombuffer(column[int(i)].as_buffer(), kind)
+        sets = table.column("s")
+        read = lambda i: np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
         out: tuple[list, list] = ([], [])
         for left, right in runs(table, "key"):
             parent: dict[int, int] = {}
@@ -182,16 +185,18 @@ def _linked_sets(percent: int):
                     x = y
                 return x
 
+            mine, theirs = _run_bits(table.column("bits"), left, right)
             for k, i in enumerate(left):
-                others = right[k + 1 :] if left is right else right
-                differing = np.bitwise_count(small[others] ^ small[i]).sum(axis=1, dtype=np.int64)
+                after = k + 1 if left is right else 0
+                others = right[after:]
+                differing = np.bitwise_count(theirs[after:] ^ mine[k]).sum(axis=1, dtype=np.int64)
                 maybe = _overlap_bound(n[others], n[i], differing, percent) & (comp[others] != comp[i])
-                x, mine = read(sets, i, np.uint64), read(wide, i, np.uint8)
+                x = read(i)
                 for j in others[maybe][np.argsort(differing[maybe], kind="stable")]:
                     p, q = find(int(comp[i])), find(int(comp[j]))
-                    if p == q or not _overlap_bound(n[j], n[i], _bits_apart(mine, read(wide, j, np.uint8)), percent):
+                    if p == q:
                         continue
-                    both = len(np.intersect1d(x, read(sets, j, np.uint64), assume_unique=True))
+                    both = len(np.intersect1d(x, read(j), assume_unique=True))
                     if 100 * both >= percent * (n[i] + n[j] - both):
                         parent[max(p, q)] = min(p, q)
                         out[0].append(min(node[i], node[j]))
