@@ -334,7 +334,7 @@ for _method in ("bootstrap", "gbm", "parametric"):
 query("mc_statistics", lambda s, d: pf.simulation_statistics(_paths("bootstrap")(s, d), DAYS / 252), _with("pr", _GRIDS + _DRAWS["bootstrap"] + _PATHS + ", f AS (SELECT sim, arg_max(value, day) AS v, min(dd) AS mdd, arg_max(value, day) / 10000 - 1 AS c FROM pa GROUP BY sim) SELECT " + ", ".join((_r("avg(v)", "mean_final", 2), _r("quantile_cont(v, 0.5)", "median_final", 2), _r("avg(c)", "mean_cagr"), _r("quantile_cont(c, 0.5)", "median_cagr"), _r("stddev_pop(c)", "std_cagr"), _r("quantile_cont(mdd, 0.5)", "median_mdd"), _r("min(mdd)", "worst_mdd"), _r("quantile_cont(mdd, 0.05)", "p5_mdd"), _r("avg(CASE WHEN v < 10000 THEN 1.0 ELSE 0.0 END)", "p_loss"), _r("avg(CASE WHEN v >= 20000 THEN 1.0 ELSE 0.0 END)", "p_double"))) + " FROM f"), ("mean_final", "median_final"))
 query("mc_trajectory_bands", lambda s, d: pf.bands(_paths("bootstrap")(s, d)), _with("pr", _GRIDS + _DRAWS["bootstrap"] + _PATHS + "SELECT CAST(day AS BIGINT) AS day, " + ", ".join(_r(f"quantile_cont(value, {q})", n, 2) for q, n in ((0.05, "p5"), (0.5, "p50"), (0.95, "p95"))) + " FROM pa WHERE day % 21 = 0 GROUP BY day"), ("p5", "p50", "p95"))
 
-#: The reference's defaults (run_config.py): too slow as SQL, so these have none; the queries above are the same code in small.
+#: The full size: too slow as SQL, so these have none; the queries above are the same code in small.
 FULL_SIMS, FULL_DAYS = 10_000, 2520
 
 
