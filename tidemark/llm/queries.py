@@ -13,6 +13,7 @@ from tidemark.llm.language_model import score_texts
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.packing import best_fit_packing
+from tidemark.llm.resample import importance_resample
 from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.token_counts import token_counts
 from tidemark.session import ship
@@ -66,6 +67,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_html_extraction": op2_html_extraction,
@@ -78,6 +83,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_importance_resample": op13_importance_resample,
 }
 #: Words are runs between the six white space bytes, letters A to Z in lower case.
 _WORDS = r"SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents"
