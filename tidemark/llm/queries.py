@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.bpe_replay import bpe_digests
 from tidemark.llm.cap_filters import embedding_links
 from tidemark.llm.decontaminate import contaminated
+from tidemark.llm.divergence import source_divergence
 from tidemark.llm.html_text import extract_text
 from tidemark.llm.language_id import language_id
 from tidemark.llm.language_model import score_texts
@@ -63,6 +64,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_source_divergence": op11_source_divergence,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_importance_resample": op13_importance_resample,
 }
