@@ -97,4 +97,18 @@ ORACLE_SQL: dict[str, str] = {
     "op10_ngram_jaccard_join": f"WITH RECURSIVE w AS ({_WORDS}), sh AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 1) + 1), lambda i: array_to_string(ws[i:i + 2], chr(31)))) AS s FROM w WHERE len(ws) > 0), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), "
     "pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL), lk AS (SELECT x, y FROM pr JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)), "
     "r AS (SELECT doc_id AS node, doc_id AS comp FROM documents UNION SELECT lk.y, r.comp FROM r JOIN lk ON lk.x = r.node) SELECT r.node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(comp) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node",
+    "op11_source_divergence": r"WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents), "
+    r"t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d), "
+    r"c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL), "
+    r"k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3), "
+    r"v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY ALL), "
+    r"g AS (SELECT DISTINCT lang, source FROM d), "
+    r"e AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term), "
+    r"s AS (SELECT lang, source, sum(n) AS total FROM e GROUP BY ALL), "
+    r"p AS (SELECT e.lang, e.source, e.term, e.n, (1 + 1000000000::HUGEINT * (e.n + 1) // (s.total + v.v))::BIGINT AS p FROM e JOIN s ON s.lang = e.lang AND s.source = e.source JOIN v ON v.lang = e.lang), "
+    r"q AS (SELECT k.lang, k.term, (1 + 1000000000::HUGEINT * (k.n + 1) // (v.total + v.v))::BIGINT AS q FROM k JOIN v ON v.lang = k.lang), "
+    r"w AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL), "
+    r"f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(w.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source "
+    r"UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - q.q) * (p.p - q.q) // q.q FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q) "
+    r"SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM f QUALIFY part = 'pair' OR rank <= 200",
 }
