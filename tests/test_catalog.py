@@ -85,19 +85,11 @@ def test_contributions_without_returns(spark):
 def test_fold_equals_closed_form(spark):
     p = spark.createDataFrame([(t, DAY + dt.timedelta(days=i), 10.0 + (i * k) % 7) for k, t in enumerate("ABC", 1) for i in range(100)], "ticker string, dt date, price double")
     w = {"A": 0.5, "B": 0.3, "C": 0.2}
-    fold = {r["dt"]: r["value"] for r in pf.strategy_backtests(p, w, ("static",)).collect()}
+    fold = {r["dt"]: r["value"] for r in pf.run_backtest(p, w, {}, amount=500.0).collect()}
     for r in pf.contributions(p, w).collect():
         assert fold[r["dt"]] == pytest.approx(r["value"], rel=1e-9)
 
 
-def test_dip_is_bought():
-    import numpy as np
-
-    base = np.array([0.5, 0.3, 0.2])
-    out = pf.buy_the_dip(2, 0.1, 0.5)(base.copy(), np.array([0, 0, -0.25]), -0.1)
-    assert out.tolist() == pytest.approx([0.3125, 0.1875, 0.5])
-
-
 def test_least_volatile_mix(spark):
     grid = pf.simplex(spark, 3, 10)
     assert grid.count() == 66 and grid.where("abs(w0 + w1 + w2 - 1) > 1e-9").count() == 0

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.series import YEAR, by, full, last_rows, ratio, so_far, volatility
+from tidemark.operators.strategies import strategy_log, strategy_values
+from tidemark.session import staged
 
 
 def aligned(prices: DataFrame, tickers: tuple[str, ...]) -> DataFrame:
@@ -47,12 +48,13 @@ def backtest_metrics(test: DataFrame, capital: float = 10_000.0) -> DataFrame:
 
 def contributions(prices: DataFrame, weights: dict[str, float], capital: float = 10_000.0, amount: float = 500.0, every: int = 21, shares: dict[str, Column] | None = None) -> DataFrame:
     """``(portfolio, dt, day, value, invested)`` of holdings that drift, with cash added every so many days at the weights, or at ``shares``
-    (columns over the aligned prices). Units are bought at the day's price, so the value is a sum over a window."""
+    (columns over the aligned prices and their returns, r_<ticker>). Units are bought at the day's price, so the value is a sum over a window."""
     wide = aligned(prices, tuple(weights)).withColumn("portfolio", F.lit("p"))
     w = Window.partitionBy("portfolio").orderBy("dt")
     wide = wide.withColumn("day", (F.row_number().over(w) - 1).cast("long"))
     pays = (F.col("day") > 0) & (F.col("day") % every == 0)
     if shares:
+        wide = wide.withColumns({f"r_{t}": F.col(t) / F.lag(t).over(w) - 1 for t in weights})
         wide = wide.withColumns({f"share_{t}": c for t, c in shares.items()})
     value = F.lit(0.0)
     for t, v in weights.items():
@@ -64,9 +66,10 @@ def contributions(prices: DataFrame, weights: dict[str, float], capital: float =
 
 
 def momentum_shares(weights: dict[str, float], lookback: int = 63, tilt: float = 0.5, least: float = 0.05) -> dict[str, Column]:
-    """Shares tilted to what has risen most over the lookback; the weights until there is one."""
-    w = Window.partitionBy("portfolio").orderBy("dt")
-    moved = {t: F.col(t) / F.lag(t, lookback).over(w) - 1 for t in weights}
+    """Shares tilted to the assets whose last ``lookback`` returns sum to most; the weights until there are so many. The returns are in columns
+    r_<ticker>, as ``contributions`` makes them."""
+    last = Window.partitionBy("portfolio").orderBy("dt").rowsBetween(1 - lookback, 0)
+    moved = {t: F.when(F.count(f"r_{t}").over(last) == lookback, F.sum(f"r_{t}").over(last)) for t in weights}
     low = F.least(*moved.values())
     up = {t: m - low + 1e-6 for t, m in moved.items()}
     total = sum(up.values(), F.lit(0.0))
@@ -75,165 +78,17 @@ def momentum_shares(weights: dict[str, float], lookback: int = 63, tilt: float =
     return {t: F.when(low.isNotNull(), blend[t] / norm).otherwise(F.lit(v)) for t, v in weights.items()}
 
 
-# -- strategies whose shares depend on what is held ------------------------------------------------------------------------------
-
-
-def buy_the_dip(target: int, threshold: float = 0.10, aggressive: float = 0.80):
-    def shares(base, drawdown, total_drawdown, now=None):
-        if drawdown[target] >= -threshold:
-            return base
-        rest = base.sum() - base[target]
-        out = base / rest * (1 - aggressive) if rest else base * 0
-        out[target] = aggressive
-        return out
-
-    return shares
-
-
-def protect(safe: np.ndarray, threshold: float = 0.15):
-    return lambda base, drawdown, total_drawdown, now=None: safe / safe.sum() if total_drawdown < -threshold else base
-
-
-def relative_value(threshold: float = 0.10, most: float = 0.50):
-    def shares(base, drawdown, total_drawdown, now=None):
-        v = -drawdown
-        if v.max() - v.min() <= threshold:
-            return base
-        cheap = v - v.min() + 0.01
-        out = np.minimum(0.5 * base + 0.5 * cheap / cheap.sum(), most)
-        return out / out.sum()
-
-    return shares
-
-
-def opportunistic(target: int, threshold: float = 0.25, normal: float = 0.10, dip: float = 0.40):
-    def shares(base, drawdown, total_drawdown, now=None):
-        own = dip if drawdown[target] < -threshold else normal
-        out = base * (1 - own) / (1 - base[target])
-        out[target] = own
-        return out
-
-    return shares
-
-
-def composite(*parts):
-    total = sum(w for _, w in parts)
-    return lambda base, drawdown, total_drawdown, now=None: sum(w / total * s(base.copy(), drawdown, total_drawdown, now) for s, w in parts)
-
-
-def conditional(condition, then, otherwise):
-    return lambda base, drawdown, total_drawdown, now=None: (then if condition(drawdown, total_drawdown, now) else otherwise)(base, drawdown, total_drawdown, now)
-
-
-def keep_weights(base, drawdown, total_drawdown, now=None):
-    return base
+# -- dispatch --------------------------------------------------------------------------------------------------------------------
 
 
-def volatility_target(risky: tuple[int, ...], target: float = 0.15):
-    """Scales the risky assets by how far the weighted volatility of the assets is from the target, by 0.5 to 1.5."""
-
-    def shares(base, drawdown, total_drawdown, now=None):
-        if now is None:
-            return base
-        scale = np.clip(target / (float((now["vol"] * base).sum()) + 1e-6), 0.5, 1.5)
-        out = base.copy()
-        out[list(risky)] *= scale
-        return out / out.sum()
-
-    return shares
-
-
-def dual_momentum(equity: int, safe: np.ndarray):
-    """The weights while the equity's returns sum to more than 0 (or are not known yet); else safety in any drawdown."""
-    return conditional(lambda d, t, now: now is None or now["momentum"][equity] > 0, keep_weights, protect(safe, 0.0))
-
-
-#: Makers of strategies by their type in a configuration; tickers are given by their place among the assets.
-KINDS = {
-    "static": lambda **_: keep_weights,
-    "buy_the_dip": lambda target=0, threshold=0.10, aggressive_weight=0.80, **_: buy_the_dip(target, threshold, aggressive_weight),
-    "dip_buyer_preset": lambda target=0, threshold=0.20, aggressive_weight=0.50, **_: buy_the_dip(target, threshold, aggressive_weight),
-    "drawdown_protection": lambda safe=(), threshold=0.15, **_: protect(np.array(safe, float), threshold),
-    "relative_value": lambda threshold=0.10, max_tilt=0.50, **_: relative_value(threshold, max_tilt),
-    "opportunistic": lambda target=0, dip_threshold=0.25, normal_weight=0.10, dip_weight=0.40, **_: opportunistic(target, dip_threshold, normal_weight, dip_weight),
-    "volatility_target": lambda risky=(), target_vol=0.15, **_: volatility_target(tuple(risky), target_vol),
-    "dual_momentum": lambda equity=0, safe=(), **_: dual_momentum(equity, np.array(safe, float)),
-}
-
-
-def strategy_from(config: dict):
-    """A strategy from ``{"type": ..., "params": {...}}``; an unknown type is an error."""
-    kind = config.get("type", "static")
-    if kind not in KINDS:
-        raise ValueError(f"unknown strategy type: {kind}")
-    return KINDS[kind](**config.get("params", {}))
-
-
-#: Rows that the indicators of the fold look back.
-LOOKBACK = 21
-_SAFE = (0.0, 1.0, 0.0)
-STRATEGIES = {
-    "static": strategy_from({}),
-    "buy_dip": strategy_from({"type": "buy_the_dip", "params": {"threshold": 0.05}}),
-    "dip_preset": strategy_from({"type": "dip_buyer_preset"}),
-    "protect": strategy_from({"type": "drawdown_protection", "params": {"safe": _SAFE, "threshold": 0.05}}),
-    "relative_value": strategy_from({"type": "relative_value", "params": {"threshold": 0.03}}),
-    "opportunistic": strategy_from({"type": "opportunistic", "params": {"dip_threshold": 0.05}}),
-    "volatility_target": strategy_from({"type": "volatility_target", "params": {"risky": (0,)}}),
-    "dual_momentum": strategy_from({"type": "dual_momentum", "params": {"equity": 0, "safe": _SAFE}}),
-    "composite": composite((keep_weights, 1.0), (buy_the_dip(0, 0.05, 0.8), 1.0)),
-    "conditional": conditional(lambda d, t, now: t < -0.05, buy_the_dip(1, 0.05, 0.6), keep_weights),
-}
-
-
-def strategy_backtests(prices: DataFrame, weights: dict[str, float], names: tuple[str, ...], capital: float = 10_000.0, amount: float = 500.0, every: int = 21) -> DataFrame:
-    """``(strategy, dt, value, invested, share, shares, portfolio_dd, asset_dds)``: a fold over the days for each strategy, as its shares depend
-    on the drawdowns of what it holds. The last four are those of a contribution, null on other days; share is the first asset's.
-
-    Volatility and sum of the last 21 returns of each asset come from windows; each strategy folds the days of the one series.
-    """
-    tickers = tuple(weights)
-    base = np.array(list(weights.values()))
-    wide = aligned(prices, tickers).withColumn("portfolio", F.lit("p"))
-    w = Window.partitionBy("portfolio").orderBy("dt")
-    wide = wide.withColumns({f"r_{t}": F.col(t) / F.lag(t).over(w) - 1 for t in tickers})
-    last = w.rowsBetween(1 - LOOKBACK, 0)
-    known = F.count(f"r_{tickers[0]}").over(last) == LOOKBACK
-    wide = wide.withColumns({f"vol_{t}": F.when(known, F.stddev_pop(f"r_{t}").over(last) * F.sqrt(F.lit(float(YEAR)))) for t in tickers} | {f"mom_{t}": F.when(known, F.sum(f"r_{t}").over(last)) for t in tickers})
-    rows = wide.withColumn("strategy", F.explode(F.array(*(F.lit(n) for n in names))))
-
-    def fold(key, pdf):
-        pdf = pdf.sort_values("dt")
-        p, vol, momentum = (pdf[[x + t for t in tickers]].to_numpy(float) for x in ("", "vol_", "mom_"))
-        decide = STRATEGIES[key[0]]
-        held, peak, top = capital * base, capital * base, capital
-        value, invested, paid, log = [], [], capital, []
-        for i in range(len(p)):
-            if i:
-                held = held * p[i] / p[i - 1]
-            peak, top = np.maximum(peak, held), max(top, held.sum())
-            entry = (None, None, None, None)
-            if i and i % every == 0:
-                fall, total = held / np.where(peak > 0, peak, 1) - 1, float(held.sum() / top - 1)
-                now = decide(base.copy(), fall, total, None if np.isnan(vol[i]).any() else {"vol": vol[i], "momentum": momentum[i]})
-                held, paid = held + amount * now, paid + amount
-                entry = (float(now[0]), now.tolist(), total, fall.tolist())
-            value.append(held.sum())
-            invested.append(paid)
-            log.append(entry)
-        share, shares, total, falls = zip(*log, strict=True) if log else ((),) * 4
-        return pd.DataFrame({"strategy": key[0], "dt": pdf["dt"].to_numpy(), "value": value, "invested": invested, "share": pd.array(share, "Float64"), "shares": list(shares), "portfolio_dd": pd.array(total, "Float64"), "asset_dds": list(falls)})
-
-    schema = "strategy string, dt date, value double, invested double, share double, shares array<double>, portfolio_dd double, asset_dds array<double>"
-    return rows.groupBy("strategy").applyInPandas(fold, schema)
-
-
-def run_backtest(prices: DataFrame, weights: dict[str, float], strategy: str | None = None, capital: float = 10_000.0, amount: float = 0.0, every: int = 21) -> DataFrame:
+def run_backtest(prices: DataFrame, weights: dict[str, float], strategy: dict | None = None, capital: float = 10_000.0, amount: float = 0.0, every: int = 21) -> DataFrame:
     """``(dt, value)``: a lump sum set back to its weights daily where there is neither a strategy nor cash to add; else the fold of the strategy
-    ("static" by default), whose holdings drift."""
+    (a configuration, static by default), whose holdings drift."""
     if strategy is None and amount <= 0:
         return backtest(prices, weights, capital).select("dt", "value")
-    return strategy_backtests(prices, weights, (strategy or "static",), capital, amount, every).select("dt", "value")
+    book = prices.sparkSession.createDataFrame([("p", t, float(v), i) for i, (t, v) in enumerate(weights.items())], "portfolio string, ticker string, weight double, position long")
+    log = strategy_log(prices, book, {"s": strategy or {}}, capital, amount, every)
+    return strategy_values(prices, book, log, capital, amount, every).select("dt", "value")
 
 
 # -- timing ------------------------------------------------------------------------------------------------------------------
@@ -309,12 +164,34 @@ def simulated_returns(prices: DataFrame, weights: dict[str, float], sims: int, d
     hist = portfolio_returns(prices, weights, first=False)
     grid = spark.range(sims).select(F.col("id").alias("sim")).select("sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(days).cast("long"))).alias("day"))
     if method == "bootstrap":
-        rows = hist.select(F.row_number().over(Window.partitionBy("portfolio").orderBy("dt")).cast("long").alias("k"), "ret")
-        n = rows.count()
-        return grid.withColumn("k", F.floor(drawn(seed) * n) + 1).join(rows, "k").select("sim", "day", "ret")
+        return gathered(grid, hist, seed)
     return _normal_returns(prices, weights, grid, method, seed)
 
 
+#: A history of at most so many days goes into the plan as an array; a longer one is joined by its day, with both sides shuffled.
+ARRAY_DAYS = 20_000
+
+
+def gathered(grid: DataFrame, history: DataFrame, seed: int, most: int = ARRAY_DAYS) -> DataFrame:
+    """``(sim, day, ret)``: for each row of ``grid`` (sim, day) the return of a day of ``history`` (dt, ret), drawn with replacement. The grid is
+    never shipped: a history that fits is looked up by place within each row."""
+    kept = history.orderBy("dt").limit(most + 1).collect()
+    if len(kept) <= most:
+        rets = F.lit(np.array([r["ret"] for r in kept], float))
+        return grid.select("sim", "day", F.get(rets, F.floor(drawn(seed) * len(kept)).cast("int")).alias("ret")).where("ret is not null")
+    # numbered range by range, as one window over all days would be one task
+    dealt = history.select("dt", "ret").repartitionByRange("dt").withColumn("part", F.spark_partition_id())
+    dealt = staged(dealt, "history")
+    before, n = [], 0
+    for part, size in dealt.groupBy("part").count().orderBy("part").collect():
+        before.append((part, n))
+        n += size
+    starts = grid.sparkSession.createDataFrame(before, "part int, before long")
+    number = F.row_number().over(Window.partitionBy("part").orderBy("dt")) + F.col("before")
+    rows = dealt.join(starts, "part").select(number.alias("k"), "ret")
+    return grid.withColumn("k", F.floor(drawn(seed) * n) + 1).join(rows.hint("merge"), "k").select("sim", "day", "ret")
+
+
 def lower_root(cov: np.ndarray) -> np.ndarray:
     """The lower triangle whose square is the matrix; where it is not positive definite, a root by singular values."""
     try:

@@ -12,6 +12,7 @@ from tidemark.functions.series import RISK_FREE, by, drawdowns, growth, returns
 from tidemark.operators import intervals as iv
 from tidemark.operators import metrics as m
 from tidemark.operators import portfolio as pf
+from tidemark.operators import strategies as sg
 from tidemark.sources.prices import daily_bars, order_days, prices
 from tidemark.streaming.ingest import hourly_bars
 
@@ -171,12 +172,13 @@ def _momentum(s: SparkSession, d: str) -> DataFrame:
 
 def _mom_sql() -> str:
     parts = {"a": 0.5, "n": 0.3, "r": 0.2}
-    moved = ", ".join(f"{x} / lag({x}, 63) OVER (ORDER BY dt) - 1 AS m{x}" for x in parts)
+    moved = ", ".join(f"CASE WHEN count(r{x}) OVER l = 63 THEN sum(r{x}) OVER l END AS m{x}" for x in parts)
+    rets = ", ".join(f"{x} / lag({x}) OVER (ORDER BY dt) - 1 AS r{x}" for x in parts)
     up = ", ".join(f"m{x} - least(ma, mn, mr) + 0.000001 AS u{x}" for x in parts)
     blend = ", ".join(f"greatest(0.5 * {w} + 0.5 * u{x} / (ua + un + ur), 0.05) AS b{x}" for x, w in parts.items())
     units = ", ".join(f"CASE WHEN i = 0 THEN 10000 * {w} / {x} WHEN i % 21 = 0 THEN coalesce(b{x} / (ba + bn + br), {w}) * 500 / {x} ELSE 0 END AS q{x}" for x, w in parts.items())
     value = " + ".join(f"{x} * sum(q{x}) OVER (ORDER BY dt)" for x in parts)
-    return f", k0 AS (SELECT *, row_number() OVER (ORDER BY dt) - 1 AS i, {moved} FROM wide), k1 AS (SELECT *, {up} FROM k0), k2 AS (SELECT *, CASE WHEN ma IS NULL THEN NULL ELSE 1 END AS ok, {blend} FROM k1), k3 AS (SELECT *, {units.replace('coalesce(b', 'coalesce(ok * b')} FROM k2) SELECT dt, CAST(i AS BIGINT) AS day, " + _r(value, "value", 2) + ", " + _r("CAST(10000 + (i // 21) * 500 AS DOUBLE)", "invested", 2) + " FROM k3"
+    return f", kr AS (SELECT *, row_number() OVER (ORDER BY dt) - 1 AS i, {rets} FROM wide), k0 AS (SELECT *, {moved} FROM kr WINDOW l AS (ORDER BY dt ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)), k1 AS (SELECT *, {up} FROM k0), k2 AS (SELECT *, CASE WHEN ma IS NULL THEN NULL ELSE 1 END AS ok, {blend} FROM k1), k3 AS (SELECT *, {units.replace('coalesce(b', 'coalesce(ok * b')} FROM k2) SELECT dt, CAST(i AS BIGINT) AS day, " + _r(value, "value", 2) + ", " + _r("CAST(10000 + (i // 21) * 500 AS DOUBLE)", "invested", 2) + " FROM k3"
 
 
 query("dca_momentum", _momentum, _with("wide", _mom_sql()), ("value", "invested"))
@@ -213,8 +215,30 @@ _FOLD = (
 )
 
 
+_SAFE = {"risk_off_allocation": {"N": 1.0}}
+_DIP = {"type": "buy_the_dip", "params": {"target_ticker": "A", "threshold": 0.05}}
+#: The strategies of the queries.
+STRATEGIES = {
+    "static": {},
+    "buy_dip": _DIP,
+    "dip_preset": {"type": "dip_preset", "params": {"target_ticker": "A"}},
+    "protect": {"type": "drawdown_protection", "params": _SAFE | {"threshold": 0.05}},
+    "relative_value": {"type": "relative_value", "params": {"threshold": 0.03}},
+    "opportunistic": {"type": "crypto_opportunistic", "params": {"crypto_ticker": "A", "equity_ticker": "N", "dip_threshold": 0.05}},
+    "volatility_target": {"type": "volatility_target", "params": {"equity_tickers": ["A"]}},
+    "dual_momentum": {"type": "dual_momentum", "params": {"equity_ticker": "A", "safe_ticker": "N"}},
+    "composite": {"type": "composite", "params": {"parts": [({}, 1.0), (_DIP, 1.0)]}},
+    "conditional": {"type": "conditional", "params": {"below": -0.05, "then": {"type": "buy_the_dip", "params": {"target_ticker": "N", "threshold": 0.05, "aggressive_weight": 0.6}}}},
+}
+
+
+def _book(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([("p", t, w, i) for i, (t, w) in enumerate(WEIGHTS.items())], "portfolio string, ticker string, weight double, position long")
+
+
 def _folds(s: SparkSession, d: str) -> DataFrame:
-    return pf.strategy_backtests(prices(s, d), WEIGHTS, tuple(pf.STRATEGIES))
+    p = prices(s, d)
+    return sg.strategy_values(p, _book(s), sg.strategy_log(p, _book(s), STRATEGIES))
 
 
 query("dca_strategies", lambda s, d: _folds(s, d).select("strategy", "dt", "value", "invested"), _FOLD + " SELECT strategy, dt, " + _r("ha + hn + hr", "value", 2) + ", " + _r("invested", "invested", 2) + " FROM st", ("value", "invested"))
@@ -233,8 +257,8 @@ _LOGGED = {"portfolio_dd": "dt0"} | {f"share_{x}": f"w{x}" for x in "anr"} | {f"
 
 
 def _log(s: SparkSession, d: str) -> DataFrame:
-    rows = _folds(s, d).where("share is not null")
-    return rows.select("strategy", "dt", "portfolio_dd", *(F.col("shares")[i].alias(f"share_{x}") for i, x in enumerate("anr")), *(F.col("asset_dds")[i].alias(f"dd_{x}") for i, x in enumerate("anr")))
+    rows = sg.strategy_log(prices(s, d), _book(s), STRATEGIES).where("block > 0")
+    return rows.select("strategy", "dt", F.col("fall").alias("portfolio_dd"), *(F.col("shares")[i].alias(f"share_{x}") for i, x in enumerate("anr")), *(F.col("falls")[i].alias(f"dd_{x}") for i, x in enumerate("anr")))
 
 
 query("decision_log", _log, _FOLD + " SELECT strategy, dt, " + ", ".join(_r(v, k) for k, v in _LOGGED.items()) + " FROM st WHERE wa IS NOT NULL")

@@ -294,4 +294,4 @@ def _backtest_panels(s: SparkSession, d: str) -> DataFrame:
 
 query("backtest_panels", _backtest_panels, f"SELECT dt, value, dd, roll_3y, roll_5y FROM ({ORACLES['backtest_static_series']}) JOIN ({ORACLES['rolling_3y_5y']}) USING (dt)", ("value",))
 query("backtest_dispatch_lump_sum", lambda s, d: pf.run_backtest(prices(s, d), WEIGHTS), f"SELECT dt, value FROM ({ORACLES['backtest_static_series']})", ("value",))
-query("backtest_dispatch_strategy", lambda s, d: pf.run_backtest(prices(s, d), WEIGHTS, "dual_momentum", amount=500.0), f"SELECT dt, value FROM ({ORACLES['dca_strategies']}) WHERE strategy = 'dual_momentum'", ("value",))
+query("backtest_dispatch_strategy", lambda s, d: pf.run_backtest(prices(s, d), WEIGHTS, c.STRATEGIES["dual_momentum"], amount=500.0), f"SELECT dt, value FROM ({ORACLES['dca_strategies']}) WHERE strategy = 'dual_momentum'", ("value",))
