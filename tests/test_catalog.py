@@ -11,7 +11,7 @@ from tidemark.functions.series import returns
 from tidemark.operators import intervals as iv
 from tidemark.operators import metrics as m
 from tidemark.operators import portfolio as pf
-from tidemark.plans.extended import ORACLES, QUERIES
+from tidemark.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 DAY = dt.date(2020, 1, 1)

@@ -103,9 +103,10 @@ def momentum(lookback: int = 63, tilt: float = 0.5, least: float = 0.05) -> Stra
 
 def volatility_target(target: float = 0.15, lookback: int = 21, risky: tuple[str, ...] = ()) -> Strategy:
     """The risky assets scaled by how far the weighted volatility is from the target, by 0.5 to 1.5."""
-    names = F.array(*(F.lit(t.upper()) for t in risky)) if risky else F.array().cast("array<string>")
 
     def shares(s: State) -> Column:
+        names = F.array(*(F.lit(t.upper()) for t in risky)).cast("array<string>")
+
         def scaled(v: Column) -> Column:
             scale = F.least(F.greatest(target / (_sum(F.zip_with(v, s.base, lambda x, w: x * w)) + SMALL), F.lit(0.5)), F.lit(1.5))
             return _over_sum(_let(scale, lambda x: F.zip_with(s.base, s.tickers, lambda w, t: F.when(F.array_contains(names, t), w * x).otherwise(w))))

@@ -1 +1,6 @@
-"""The catalogue of queries."""
+"""All queries of the analytics and the SQL that each must equal."""
+
+from tidemark.plans import folds
+from tidemark.plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "folds"]
