@@ -105,3 +105,35 @@ def test_rows_repeat_and_columns_clash(spark):
     assert got.count() == 8 and got.where("doc_id is null and not held_out").count() == 2
     assert got.where("doc_id = 2").select("n_tokens").distinct().collect()[0][0] == 1
     assert lm.score_texts(docs.limit(0)).count() == 0
+
+
+def test_unseen_words_of_any_length_have_a_finite_score(spark):
+    import zlib
+
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rng = random.Random(7)
+    odd = ["".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for n in (1, 8, 20, 28, 40, 60, 80, 120, 160, 400, 2000)]
+    odd += ["https://example.org/a/very/long/path?with=query&and=more", "漢字" * 200, "é" * 90, "\x00\x01" * 50]
+    texts = {i: f"see {w} ok" for i, w in zip(held, odd, strict=False)}
+    rows = [(i, texts.get(i, _text(i, 30) + " see this ok")) for i in range(held[len(odd)])]
+    ship(spark)
+    got = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    scores = [got[i]["score"] for i in held[: len(odd)]]
+    assert all(math.isfinite(x) for x in scores) and all(math.isfinite(r["score"]) for r in got.values())
+    # a longer word costs more, each byte no more than a uniform choice and the way down to it
+    assert scores[:11] == sorted(scores[:11], reverse=True) and -2000 * 6 < scores[10] < -2000
+
+
+def test_logarithms_equal_probabilities_where_both_can_be_told():
+    rng = np.random.default_rng(5)
+    n = rng.integers(0, 6, 400)
+    room = np.sort(rng.integers(0, 40, 400))
+    parent = rng.random(400) / 200
+    a = lm.Rooms(room, n, parent, np.random.default_rng(3), lm.BURN + lm.AVERAGED)
+    b = lm.Rooms(room, n, parent, np.random.default_rng(3), lm.BURN + lm.AVERAGED)
+    mean = np.zeros(400)
+    for k in range(lm.BURN + lm.AVERAGED):
+        b.sweep(parent)
+        if k >= lm.BURN:
+            mean += b.predictive(parent) / lm.AVERAGED
+    assert a.averaged(parent, np.log10(parent)) == pytest.approx(np.log10(mean), rel=1e-12)

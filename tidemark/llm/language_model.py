@@ -206,10 +206,31 @@ class Rooms:
             size[start[opens] + self.t[dish[opens]]] = 1
             self.t[dish] += opens
 
+    def split(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each dish what its own customers give it in its room, and the part of its probability in the parent that comes on top."""
+        own = np.maximum(self.n - self.d * self.t, 0)
+        some = self.sitting > 0
+        return np.where(some, own / (STRENGTH + self.sitting), 0.0), np.where(some, (STRENGTH + self.d * self.opened()) / (STRENGTH + self.sitting), 1.0)
+
     def predictive(self, parent: np.ndarray) -> np.ndarray:
         """The probability of each dish in its room."""
-        own = np.maximum(self.n - self.d * self.t, 0)
-        return np.where(self.sitting > 0, (own + (STRENGTH + self.d * self.opened()) * parent) / (STRENGTH + self.sitting), parent)
+        own, rest = self.split()
+        return own + rest * parent
+
+    def averaged(self, parent: np.ndarray, log_parent: np.ndarray) -> np.ndarray:
+        """The log10 of each dish's probability, averaged over the sweeps after the first ones. ``parent`` may be 0 where its logarithm, far below
+        what a number can hold, is not: a dish without customers adds logarithms."""
+        own, rest = np.zeros(len(self.n)), np.zeros(len(self.n))
+        for k in range(BURN + AVERAGED):
+            self.sweep(parent)
+            if k >= BURN:
+                a, b = self.split()
+                own += a / AVERAGED
+                rest += b / AVERAGED
+        out = np.log10(rest) + log_parent
+        seen = own > 0
+        out[seen] = np.log10(own[seen] + rest[seen] * parent[seen])
+        return out
 
 
 # -- the speller ---------------------------------------------------------------------------------------------------------------------
@@ -519,26 +540,23 @@ def _first_seating(word_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
 
 
 def _seated_words(speller: Speller):
-    """Rows ``(part, wpart, p)``: the averaged probabilities of the words that a part asked for, in its order."""
+    """Rows ``(part, wpart, p)``: the averaged log10 probabilities of the words that a part asked for, in its order."""
 
     def run(asked: pa.Table, state: pa.Table) -> pa.Table:
         if not len(asked) or not len(state):
             return pa.table({"part": pa.array([], pa.int32()), "wpart": pa.array([], pa.int32()), "p": pa.array([], pa.binary())})
         words, _, letters = _state(*(state.column(c)[0].as_py() for c in ("words", "counts", "letters")))
         u, one = np.unique(short(words), return_index=True)
-        parent = 10.0 ** speller.log10([letters[i] for i in one])
+        spelt = speller.log10([letters[i] for i in one])
         lists = [_from5(x.as_py(), 0, len(x.as_py()) // 5) for x in asked.column("words")]
         places = [np.searchsorted(u, x) for x in lists]
         customers = np.zeros(len(u), np.int64)
         for place, tables in zip(places, asked.column("tables"), strict=True):
             customers[place] += _numbers(tables.as_py())
         total, here = sum(asked.column("total").to_pylist()), int(customers.sum())
+        parent = 10.0**spelt
         rooms = Rooms(np.zeros(len(u), np.int64), customers, parent, np.random.default_rng(int(u[0]) & 0xFFFFFFFF), BURN + AVERAGED, np.array([total / max(here, 1)]))
-        p = np.zeros(len(u))
-        for k in range(BURN + AVERAGED):
-            rooms.sweep(parent)
-            if k >= BURN:
-                p += rooms.predictive(parent) / AVERAGED
+        p = rooms.averaged(parent, spelt)
         wpart = state.column("wpart")[0].as_py()
         return pa.table({"part": asked.column("part").cast(pa.int32()), "wpart": pa.array([wpart] * len(lists), pa.int32()), "p": pa.array([p[place].astype(np.float32).tobytes() for place in places], pa.binary())})
 
@@ -553,14 +571,10 @@ def _answers(word_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
         above, place = np.zeros(len(p.words)), word_part(p.words, word_parts)
         for k, values in zip(words.column("wpart").to_pylist(), words.column("p").to_pylist(), strict=True):
             above[place == k] = np.frombuffer(values, np.float32)
-        parent = above[p.word_of]
+        log_parent = above[p.word_of]
+        parent = 10.0**log_parent
         rooms = Rooms(p.room, p.n, parent, np.random.default_rng(p.seed + 1), BURN + AVERAGED, p.grown(frequent))
-        mean = np.zeros(len(p.n))
-        for k in range(BURN + AVERAGED):
-            rooms.sweep(parent)
-            if k >= BURN:
-                mean += rooms.predictive(parent) / AVERAGED
-        value = np.log10(mean)
+        value = rooms.averaged(parent, log_parent)
         return pa.table({"chunk": asked.column("chunk").cast(pa.int64()), "part": asked.column("part").cast(pa.int32()), "data": pa.array([_told(value[i]) for i in p.of], pa.binary())})
 
     return run
