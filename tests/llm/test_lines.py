@@ -37,6 +37,34 @@ def test_recall_of_edited_lines(spark, n, changes):
     assert gone <= want and len(gone) >= 0.9 * len(want) and want
 
 
+CELLS = [(5, 1, "put"), (6, 1, "cut"), (8, 1, "new"), (9, 1, "put"), (10, 1, "new"), (10, 2, "new"), (10, 2, "cut"), (11, 2, "cut"), (12, 2, "new"), (12, 2, "put"), (14, 2, "new"), (15, 3, "new"), (16, 3, "cut"), (20, 2, "new"), (20, 4, "new"), (20, 4, "cut"), (20, 4, "put"), (30, 6, "new"), (30, 6, "cut"), (40, 8, "new"), (80, 16, "new"), (80, 16, "cut"), (120, 24, "new")]
+
+
+@pytest.mark.parametrize("letters", [(1, 3), (2, 5), (4, 9)])
+def test_recall_by_length_of_words_and_kind_of_edit(spark, letters):
+    """Words replaced, taken out or put in, up to a fifth of a line: of each kind at least nine in ten lines are found."""
+    rng = random.Random(letters[0])
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(*letters)))
+    left, right, want = [], [], {}
+    for cell in CELLS:
+        n, k, kind = cell
+        for _ in range(120):
+            x = [word() for _ in range(n)]
+            y = list(x)
+            for p in sorted(rng.sample(range(n), k), reverse=True):
+                y[p : p + 1] = {"new": [word()], "cut": [], "put": [y[p], word()]}[kind]
+            if edit_similarity(x, y, 0.8):
+                want[len(right)] = cell
+            left.append(x)
+            right.append(y)
+    docs = _docs(spark, ["\n".join(" ".join(x) for x in side) for side in (left, right)])
+    gone = {r["line_no"] for r in line_groups(docs).where("doc_id = 1 and not kept").collect()}
+    found = {cell: [sum(want[i] == cell for i in gone if i in want), sum(c == cell for c in want.values())] for cell in CELLS}
+    assert all(n > 60 and hits >= 0.9 * n for hits, n in found.values()), found
+    # what goes beside is similar to another line than its own
+    assert len(gone - want.keys()) <= 0.01 * len(right)
+
+
 def test_equals_all_pairs_on_real_lines(spark):
     ship(spark)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")

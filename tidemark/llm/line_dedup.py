@@ -2,8 +2,8 @@
 
 A line's words are lower-cased and white space does not matter. The SimHash that lines are joined on is made in blocks: the hash of a word picks
 the one block on whose bits it votes, so an edit disturbs two blocks at most, and by the pigeonhole lines of like length that differ
-in few words agree wholly in some block. Long words vote where a line has enough of them, as they tell lines apart best; else all do. Lines of
-up to nine words, where similar means one edit, are joined on the sums over all of their words but one. The number of blocks follows the
+in few words agree wholly in some block. Long words vote where a line has enough of them, as they tell lines apart best; else all do, and lines
+of short words are dealt to blocks more often. Lines of up to nine words, where similar means one edit, are joined on the sums over all of their words but one. The number of blocks follows the
 words that vote, so a block holds several. Each key is a block's number, its bits and how many voted.
 
 Lines that share a key are compared by a second SimHash of 64 bits over all their words: first every line with the nearest of
@@ -38,13 +38,16 @@ NEAR_TILE = 4096
 #: Runs of up to so many lines of one key are compared together with all others of that kind.
 TOGETHER = 16
 LINES = "doc_id long, line_no int, h long, sim long, n_words int, keys array<long>"
-#: Bits in which the SimHashes of lines of similarity 0.8 differ at most, but for one pair in forty.
-FAR = 19
+#: Bits in which the SimHashes of lines of similarity 0.8 differ at most, but for one pair in fifty.
+FAR = 20
 #: The same for lines of a key that the nearest pairs have not brought together.
 FAR_AGAIN = 16
-#: Words of at least so many bytes are long; the words of a block must have the second number of them together, as many lines share the
-#: blocks of a few short words.
-LONG, LETTERS = 7, 12
+#: Words of at least so many bytes are long; a block is used if its words have the second number of bytes together, or if it has the third
+#: number of words, as many lines share the blocks of one or two short words.
+LONG, LETTERS, TOGETHER_WORDS = 7, 12, 3
+#: Lines whose words have fewer bytes than this on average are dealt so many times more, the first number in the band of the shortest; of
+#: these deals only the blocks are used that have words enough and not the bytes.
+SHORT_WORDS, MORE_DEALS = 5, (7, 4)
 #: Lines of up to so many words are joined on all words but one.
 SHORT = 9
 #: Long words vote alone from this many in a line; up to the second number all words vote (too).
@@ -102,15 +105,16 @@ def plan(low: int, few: int) -> list[tuple[int, int, int, int]]:
         last = max(first + 2, math.ceil(first / 0.64) - 1)
         deals = 4 if low > SHORT and first == low else 2 if last <= few else 1
         g = 3 if deals > 1 else g
-        while g * math.exp(-0.4 * last / g) < (1.3 if deals > 1 else 2.9 if last <= 40 else 2.2):
+        while g * math.exp(-0.4 * last / g) < (2.6 if deals > 1 else 2.9 if last <= 40 else 2.2):
             g += 1 + g // 64
-        out.append((max(low - 1, math.floor(0.77 * first)), last, deals, g))
+        out.append((math.floor(0.77 * first) if low <= SHORT or first > low else math.ceil(0.8 * first), last, deals, g))
         first = last + 1
     return out
 
 
 def _dealt(words: np.ndarray, size: np.ndarray, line: np.ndarray, n: np.ndarray, bands: list[tuple[int, int, int, int]], salt: int, lines: int):
-    """``(line, key)`` of the blocks in use: those with enough letters."""
+    """``(line, key)`` of the blocks in use."""
+    short = np.bincount(line, size, lines) < SHORT_WORDS * np.bincount(line, minlength=lines)
     per = np.bincount(line, minlength=lines)
     most = int(per.max(initial=0))
     for number, (least, last, deals, g) in enumerate(bands):
@@ -120,7 +124,11 @@ def _dealt(words: np.ndarray, size: np.ndarray, line: np.ndarray, n: np.ndarray,
         chosen = np.flatnonzero(own[line])
         if not len(chosen):
             continue
-        for deal in range(deals):
+        for deal in range(deals + MORE_DEALS[number > 0]):
+            if deal == deals:
+                chosen = chosen[short[line[chosen]]]
+            if not len(chosen):
+                break
             tag = np.uint64((salt * 1000003 + number * 7 + deal + 1) * 0x9E3779B97F4A7C15 % 2**64)
             block = ((mix(words[chosen] ^ tag) >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)).astype(np.int64)
             place = line[chosen] * g + block
@@ -128,7 +136,8 @@ def _dealt(words: np.ndarray, size: np.ndarray, line: np.ndarray, n: np.ndarray,
             where, place = chosen[order], place[order]
             at = np.append(np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))), len(place))
             count = np.diff(at)
-            used = np.flatnonzero(np.add.reduceat(size[where], at[:-1]) >= LETTERS)
+            letters = np.add.reduceat(size[where], at[:-1]) >= LETTERS
+            used = np.flatnonzero(letters | (count >= TOGETHER_WORDS) if deal < deals else ~letters & (count >= TOGETHER_WORDS))
             if not len(used):
                 continue
             bits = votes(words[where], at)[used]
