@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +10,17 @@ from pyspark.sql.window import Window
 TOLERANCE = 7
 
 
+def month_of(day: str) -> Column:
+    """The month of a day as a number, the bin of interval joins."""
+    return F.year(day) * 12 + F.month(day)
+
+
+def by_month(spans: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """A row for each month that a span touches, with its number; spans that end before they start have none. Spans that meet are in one month
+    together, so a join on it and an exact check after find all that meet, however many spans and days a key has."""
+    return spans.where(F.col(start) <= F.col(end)).withColumn(name, F.explode(F.sequence(month_of(start), month_of(end))))
+
+
 def islands(days: DataFrame, tolerance: int = TOLERANCE, key: str = "ticker") -> DataFrame:
     """``(key, start, end, days)``: runs of dates no more than ``tolerance`` days apart."""
     w = Window.partitionBy(key).orderBy("dt")
@@ -30,7 +41,9 @@ def union(intervals: DataFrame, key: str = "ticker") -> DataFrame:
 def missing(known: DataFrame, requested: DataFrame, key: str = "ticker") -> DataFrame:
     """``(key, start, end)``: the parts of each of ``requested`` (key, lo, hi) that no known interval covers; of a key without any, all."""
     asked = requested.select(key, "lo", "hi").distinct()
-    cut = asked.join(known.select(key, "start", "end"), key).where("start <= hi and end >= lo").select(key, "lo", "hi", F.greatest("start", "lo").alias("s"), F.least("end", "hi").alias("e"))
+    # both in the months they touch; of the months in which two meet, the first counts
+    meet = by_month(asked, "lo", "hi", "_m").join(by_month(known.select(key, "start", "end"), "start", "end", "_m"), [key, "_m"]).where("start <= hi and end >= lo").withColumns({"s": F.greatest("start", "lo"), "e": F.least("end", "hi")})
+    cut = meet.where(month_of("s") == F.col("_m")).select(key, "lo", "hi", "s", "e")
     w = Window.partitionBy(key, "lo", "hi").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     before = cut.select(key, F.coalesce(F.date_add(F.max("e").over(w), 1), "lo").alias("start"), F.date_sub("s", 1).alias("end"))
     last = cut.groupBy(key, "lo", "hi").agg(F.max("e").alias("e"))

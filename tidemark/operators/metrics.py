@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.series import RISK_FREE, YEAR, by, cagr, compound, downside, drawdowns, full, last_rows, ratio, so_far, volatility
+from tidemark.functions.series import RISK_FREE, YEAR, by, cagr, compound, downside, drawdowns, full, growth, last_rows, ratio, sliding_fall, so_far, volatility
 
 #: Rows that two series must share for a comparison.
 LEAST_COMMON = 30
@@ -73,15 +73,8 @@ def rolling(rets: DataFrame, n: int = YEAR, key: str = "ticker") -> DataFrame:
 
 def rolling_max_drawdown(rets: DataFrame, n: int = YEAR, key: str = "ticker") -> DataFrame:
     """The deepest drawdown within the last ``n`` rows, growth starting afresh in each frame; null until there are so many."""
-    frame = F.collect_list("ret").over(last_rows(n, key))
-    state = F.struct(F.lit(1.0).alias("v"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
-
-    def step(s, r):
-        v = s["v"] * (1 + r)
-        peak = F.greatest(s["peak"], v)
-        return F.struct(v.alias("v"), peak.alias("peak"), F.least(s["dd"], v / peak - 1).alias("dd"))
-
-    return rets.select(key, "dt", full(F.aggregate(frame, state, step, lambda s: s["dd"]), n, key).alias("roll_mdd"))
+    rows = rets.select(key, "dt", growth(key=key).alias("high"), (F.row_number().over(by(key)) - 1).alias("i")).withColumns({"low": F.col("high"), "fall": F.lit(0.0)})
+    return sliding_fall(rows, n, key).select(key, "dt", F.col("win_fall").alias("roll_mdd"))
 
 
 def multi_year(values: DataFrame, key: str = "ticker") -> DataFrame:

@@ -12,9 +12,10 @@ COOLDOWN = 3600
 
 
 def within(rows: DataFrame, spans: DataFrame, key: str = "ticker") -> DataFrame:
-    """``rows`` (key, dt, ...) on the days of ``spans`` (key, start, end), each once."""
-    s = spans.select(F.col(key).alias("_k"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-    return rows.join(s, (F.col(key) == F.col("_k")) & F.col("dt").between(F.col("_a"), F.col("_b")), "left_semi")
+    """``rows`` (key, dt, ...) on the days of ``spans`` (key, start, end), each once. Joined by month, so the days of one key are shared out."""
+    s = iv.by_month(spans.select(F.col(key).alias("_k"), F.col("start").alias("_a"), F.col("end").alias("_b")), "_a", "_b", "_m")
+    same = (F.col(key) == F.col("_k")) & (iv.month_of("dt") == F.col("_m"))
+    return rows.join(s, same & F.col("dt").between(F.col("_a"), F.col("_b")), "left_semi")
 
 
 def read_through(store: DataFrame, known: DataFrame, source: DataFrame, requested: DataFrame, inception: DataFrame | None = None, key: str = "ticker") -> tuple[DataFrame, DataFrame]:

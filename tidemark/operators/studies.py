@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.series import YEAR, by
+from tidemark.functions.series import YEAR, by, sliding_fall
 from tidemark.operators.portfolio import aligned, simplex
+from tidemark.operators.ranks import exact_percentiles
 
 #: Rows between two entries; a holding is a whole number of such blocks.
 STRIDE = 21
@@ -52,29 +53,21 @@ def thinned(series: DataFrame, most: int = 500, key: str = "ticker") -> DataFram
 def holdings(prices: DataFrame, years: tuple[int, ...] = (1, 3, 5, 10), key: str = "ticker") -> DataFrame:
     """``(key, years, dt, total_pct, cagr_pct, max_dd_pct)`` of holdings begun on every 21st row, with the deepest drawdown in each.
 
-    A series is cut into blocks of 21 rows; a holding's blocks are merged in order, and one whose prices stay below the peak so far only by its
-    lowest, so that rows are shipped once for each block they are in and not once for each holding.
+    A series is cut into blocks of 21 rows, each with its highest and lowest price and the deepest fall within; the blocks of a holding are merged
+    by ``sliding_fall``.
     """
     rows = prices.select(key, "dt", "price", (F.row_number().over(by(key)) - 1).alias("i")).withColumn("b", F.floor(F.col("i") / STRIDE))
-    start = F.struct(F.lit(0.0).alias("high"), F.lit(0.0).alias("dd"))
-    blocks = rows.groupBy(key, "b").agg(F.min_by("dt", "i").alias("dt"), F.min_by("price", "i").alias("price"), F.max("price").alias("high"), F.collect_list(F.struct("i", "price")).alias("rows"))
+    peak = F.max("price").over(Window.partitionBy(key, "b").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("fall", F.col("price") / peak - 1)
+    blocks = rows.groupBy(key, "b").agg(F.min_by("dt", "i").alias("dt"), F.min_by("price", "i").alias("price"), F.max("price").alias("high"), F.min("price").alias("low"), F.min("fall").alias("fall"))
     w = Window.partitionBy(key).orderBy("b")
     out = None
     for y in years:
         n = YEAR * y // STRIDE
-        frame = F.collect_list(F.struct("high", F.transform(F.array_sort("rows"), lambda x: x["price"]).alias("prices"))).over(w.rowsBetween(0, n - 1))
-
-        def merge(s, x):
-            # within a block prices below the peak so far count from it until they pass it
-            inner = F.aggregate(x["prices"], F.struct(s["high"].alias("high"), s["dd"].alias("dd")), lambda t, p: F.struct(F.greatest(t["high"], p).alias("high"), F.least(t["dd"], p / F.greatest(t["high"], p) - 1).alias("dd")))
-            return F.when(x["high"] <= s["high"], F.struct(s["high"].alias("high"), F.least(s["dd"], F.array_min(x["prices"]) / s["high"] - 1).alias("dd"))).otherwise(inner)
-
-        last = F.lead("price", n).over(w)
-        held = blocks.withColumns({"frame": frame, "later": last}).where("later is not null")
-        total = F.aggregate("frame", start, merge)
-        held = held.withColumn("t", total).withColumn("dd_all", F.least(F.col("t.dd"), F.col("later") / F.greatest(F.col("t.high"), "later") - 1))
+        held = sliding_fall(blocks, n, key, "b").withColumns({"later": F.lead("price", n).over(w), "top": F.lead("win_high", n - 1).over(w), "deepest": F.lead("win_fall", n - 1).over(w)}).where("later is not null")
         gain = F.col("later") / F.col("price")
-        part = held.select(key, F.lit(y).cast("long").alias("years"), "dt", ((gain - 1) * 100).alias("total_pct"), ((F.pow(gain, F.lit(1 / y)) - 1) * 100).alias("cagr_pct"), (F.col("dd_all") * 100).alias("max_dd_pct"))
+        deepest = F.least(F.col("deepest"), F.col("later") / F.greatest("top", "later") - 1)
+        part = held.select(key, F.lit(y).cast("long").alias("years"), "dt", ((gain - 1) * 100).alias("total_pct"), ((F.pow(gain, F.lit(1 / y)) - 1) * 100).alias("cagr_pct"), (deepest * 100).alias("max_dd_pct"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -102,7 +95,8 @@ def sortino_losses(prices: DataFrame, tickers: tuple[str, ...], steps: int = 10,
 
 
 def weighted_losses(prices: DataFrame, tickers: tuple[str, ...], wanted: dict[str, float], steps: int = 10, risk_free: float = 0.04) -> DataFrame:
-    """``(w0, ..., loss)``: a weighted sum of return and volatility (over those of equal weights), Sharpe ratio, drawdown and Sortino ratio."""
+    """``(w0, ..., loss)``: a sum of return and volatility (over those of equal weights), Sharpe ratio, drawdown and Sortino ratio,
+    weighted as ``wanted`` has them of their sum."""
     rows, names = mixes(prices, tickers, steps)
     w = Window.partitionBy(*names).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("level", F.sum(clipped_log_return("ret")).over(w))
@@ -116,7 +110,8 @@ def weighted_losses(prices: DataFrame, tickers: tuple[str, ...], wanted: dict[st
     excess = F.col("ret") - risk_free
     sortino = F.when(F.col("n") == 0, 5.0).when(F.col("down") > 0, excess / F.col("down")).otherwise(0.0)
     terms = {"return": -F.col("ret") / F.col("base_ret"), "sharpe": -excess / F.col("vol"), "volatility": F.col("vol") / F.col("base_vol"), "drawdown": F.col("max_dd") * 5, "sortino": -sortino / 2}
-    loss = sum((F.lit(float(k)) * terms[name] for name, k in wanted.items() if k > 0), F.lit(0.0))
+    total = sum(wanted.values()) or 1
+    loss = sum((F.lit(k / total) * terms[name] for name, k in wanted.items() if k > 0), F.lit(0.0))
     return agg.crossJoin(F.broadcast(base)).select(*names, loss.alias("loss"))
 
 
@@ -141,14 +136,27 @@ def guarded(losses: DataFrame, prices: DataFrame, tickers: tuple[str, ...], labe
 # -- distributions ---------------------------------------------------------------------------------------------------------------
 
 
-def density(values: DataFrame, column: str, points: int = 200, clip: float = 0.01) -> DataFrame:
-    """``(k, x, y)``: a Gaussian density with Scott's bandwidth between two percentiles. Values are summed at each point, never collected."""
-    rows = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    shape = rows.agg(F.percentile("v", clip).alias("lo"), F.percentile("v", 1 - clip).alias("hi"), F.stddev_samp("v").alias("sd"), F.count("*").alias("n"))
-    grid = shape.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("k", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (points - 1)).alias("x"), (F.col("sd") * F.pow(F.col("n"), -0.2)).alias("h"), "n")
-    u = (F.col("x") - F.col("v")) / F.col("h")
-    near = rows.crossJoin(F.broadcast(grid)).groupBy("k").agg(F.first("x").alias("x"), (F.sum(F.exp(-0.5 * u * u)) / F.first("n") / F.first("h") / 2.5066282746310002).alias("y"))
-    return near.select(F.col("k").cast("long").alias("k"), "x", "y")
+def density(values: DataFrame, column: str, points: int = 200, clip: float = 0.01, bins: int = 1 << 15) -> DataFrame:
+    """``(k, x, y)``: a Gaussian density with Scott's bandwidth between two percentiles.
+
+    Each value is shared between the two nearest of ``bins`` even places, and the kernel is summed over the places, so the work at the points
+    does not grow with the values; the places are far closer than the bandwidth. Empty without two different values.
+    """
+    spark = values.sparkSession
+    rows = values.select(F.lit(0).alias("key"), F.col(column).cast("double").alias("v")).where("v is not null")
+    low, high, sd, n = rows.agg(F.min("v"), F.max("v"), F.stddev_samp("v"), F.count("*")).first()
+    if not sd:
+        return spark.createDataFrame([], "k long, x double, y double")
+    _, first, last = exact_percentiles(rows, "key", "v", {"first": clip, "last": 1 - clip}).first()
+    width, h = (high - low) / bins, sd * n**-0.2
+    at = (F.col("v") - low) / width
+    cell = F.least(F.floor(at), F.lit(bins - 1))
+    shared = F.array(F.struct(cell.alias("cell"), (1 - (at - cell)).alias("w")), F.struct((cell + 1).alias("cell"), (at - cell).alias("w")))
+    cells = rows.select(F.explode(shared).alias("s")).groupBy("s.cell").agg(F.sum("s.w").alias("w")).where("w > 0")
+    # no more rows than places times points
+    near = cells.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long")))).withColumn("x", F.lit(first) + (F.lit(last) - F.lit(first)) * F.col("k") / (points - 1))
+    u = (F.col("x") - (F.lit(low) + F.col("cell") * width)) / h
+    return near.groupBy("k", "x").agg((F.sum(F.col("w") * F.exp(-0.5 * u * u)) / (n * h * 2.5066282746310002)).alias("y"))
 
 
 def histogram(values: DataFrame, column: str, bins: int = 30) -> DataFrame:

@@ -224,7 +224,7 @@ _WS = ", ".join(_r(f"CAST({a} AS DOUBLE)", b) for a, b in (("wa", "w0"), ("wn",
 _SORTINO = _MIX + ", so AS (SELECT wa, wn, wr, avg(ret) AS mu, count(CASE WHEN ret < 0 THEN 1 END) AS k, stddev_pop(CASE WHEN ret < 0 THEN ret END) * sqrt(252) AS down FROM mx GROUP BY ALL), lo AS (SELECT wa, wn, wr, CASE WHEN k < 20 OR down < 0.001 THEN 100 ELSE -(mu * 252 - 0.04) / down END AS loss FROM so)"
 query("opt_sortino_losses", lambda s, d: sd.sortino_losses(prices(s, d), _T), _with("wide", _SORTINO + f" SELECT {_WS}, {_r('loss', 'loss')} FROM lo"))
 query("opt_max_sortino", lambda s, d: sd.guarded(sd.sortino_losses(prices(s, d), _T), prices(s, d), _T, "Max Sortino"), _with("wide", _SORTINO + f" SELECT 'Max Sortino' AS label, {_WS}, {_r('-loss', 'score')} FROM lo ORDER BY loss, wa, wn LIMIT 1"))
-_CUSTOM = _MIX + ", lv AS (SELECT *, sum(ln(1 + greatest(ret, -0.99))) OVER (PARTITION BY wa, wn, wr ORDER BY dt) AS lvl FROM mx), fl AS (SELECT *, lvl - max(lvl) OVER (PARTITION BY wa, wn, wr ORDER BY dt) AS fall FROM lv), cg AS (SELECT wa, wn, wr, avg(ret) * 252 AS ret, greatest(stddev_samp(ret) * sqrt(252), 1e-6) AS vol, 1 - exp(min(fall)) AS mdd, count(CASE WHEN ret < 0 THEN 1 END) AS k, stddev_pop(CASE WHEN ret < 0 THEN ret END) * sqrt(252) AS down FROM fl GROUP BY ALL), ba AS (SELECT greatest(abs(avg((ra + rn + rr) / 3) * 252), 0.01) AS br, greatest(stddev_samp((ra + rn + rr) / 3) * sqrt(252), 0.01) AS bv FROM q0 WHERE ra IS NOT NULL), lo AS (SELECT wa, wn, wr, -ret / br - (ret - 0.04) / vol + 0.5 * vol / bv + 5 * mdd - 0.25 * CASE WHEN k = 0 THEN 5.0 WHEN down > 0 THEN (ret - 0.04) / down ELSE 0 END AS loss FROM cg CROSS JOIN ba)"
+_CUSTOM = _MIX + ", lv AS (SELECT *, sum(ln(1 + greatest(ret, -0.99))) OVER (PARTITION BY wa, wn, wr ORDER BY dt) AS lvl FROM mx), fl AS (SELECT *, lvl - max(lvl) OVER (PARTITION BY wa, wn, wr ORDER BY dt) AS fall FROM lv), cg AS (SELECT wa, wn, wr, avg(ret) * 252 AS ret, greatest(stddev_samp(ret) * sqrt(252), 1e-6) AS vol, 1 - exp(min(fall)) AS mdd, count(CASE WHEN ret < 0 THEN 1 END) AS k, stddev_pop(CASE WHEN ret < 0 THEN ret END) * sqrt(252) AS down FROM fl GROUP BY ALL), ba AS (SELECT greatest(abs(avg((ra + rn + rr) / 3) * 252), 0.01) AS br, greatest(stddev_samp((ra + rn + rr) / 3) * sqrt(252), 0.01) AS bv FROM q0 WHERE ra IS NOT NULL), lo AS (SELECT wa, wn, wr, 0.25 * (-ret / br) + 0.25 * (-(ret - 0.04) / vol) + 0.125 * vol / bv + 0.25 * (5 * mdd) + 0.125 * (-CASE WHEN k = 0 THEN 5.0 WHEN down > 0 THEN (ret - 0.04) / down ELSE 0 END / 2) AS loss FROM cg CROSS JOIN ba)"
 query("opt_custom_losses", lambda s, d: sd.weighted_losses(prices(s, d), _T, _WANTED), _with("wide", _CUSTOM + f" SELECT {_WS}, {_r('loss', 'loss')} FROM lo"))
 query("opt_custom_weighted", lambda s, d: sd.guarded(sd.weighted_losses(prices(s, d), _T, _WANTED), prices(s, d), _T, "Custom"), _with("wide", _CUSTOM + f" SELECT 'Custom' AS label, {_WS}, {_r('-loss', 'score')} FROM lo ORDER BY loss, wa, wn LIMIT 1"))
 

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.intervals import by_month, month_of
+
 
 def latest(versions: DataFrame) -> DataFrame:
     """Of a store with rows (ticker, dt, price, version) those that no later version's span covers: a version replaces all days from its
-    first to its last of a ticker, also those that it leaves out."""
+    first to its last of a ticker, also those that it leaves out. Days meet spans by month."""
     spans = versions.groupBy("ticker", F.col("version").alias("_v")).agg(F.min("dt").alias("_a"), F.max("dt").alias("_b")).withColumnRenamed("ticker", "_t")
-    later = (F.col("ticker") == F.col("_t")) & (F.col("version") < F.col("_v")) & F.col("dt").between(F.col("_a"), F.col("_b"))
+    spans = by_month(spans, "_a", "_b", "_m")
+    later = (F.col("ticker") == F.col("_t")) & (month_of("dt") == F.col("_m")) & (F.col("version") < F.col("_v")) & F.col("dt").between(F.col("_a"), F.col("_b"))
     return versions.join(spans, later, "left_anti")
 
 
