@@ -20,7 +20,7 @@ DAY = dt.date(2020, 1, 1)
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "events"):
+    for t in ("orders", "lineitem", "events", "supplier", "nation", "region"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 

@@ -151,9 +151,9 @@ def score_weights(prices: DataFrame, tickers: tuple[str, ...], steps: int = 10,
 MULTIPLIER, INCREMENT, MODULUS = 1103515245, 12345, 2147483648
 
 
-def drawn(seed: int) -> Column:
+def drawn(seed: int, day: Column | None = None) -> Column:
     """A number from 0 up to 1 for each (sim, day)."""
-    u = ((F.col("sim") * 7919 + F.col("day") * 104729 + seed) * MULTIPLIER + INCREMENT) % MODULUS
+    u = ((F.col("sim") * 7919 + (F.col("day") if day is None else day) * 104729 + seed) * MULTIPLIER + INCREMENT) % MODULUS
     return ((u * MULTIPLIER + INCREMENT) % MODULUS) / F.lit(float(MODULUS))
 
 
@@ -192,6 +192,24 @@ def gathered(grid: DataFrame, history: DataFrame, seed: int, most: int = ARRAY_D
     return grid.withColumn("k", F.floor(drawn(seed) * n) + 1).join(rows.hint("merge"), "k").select("sim", "day", "ret")
 
 
+#: Histories of so many days together are broadcast; beyond it they are shuffled to the simulations.
+BROADCAST_DAYS = 1_000_000
+
+
+def simulated_books(returns: DataFrame, sims: int, days: int, seed: int = 42) -> DataFrame:
+    """``(portfolio, sim, day, ret)``: days drawn with replacement from the history of each portfolio in ``returns`` (portfolio, dt, ret).
+
+    A simulation is one row until its days are drawn, and all of them stay where it is, so paths over (portfolio, sim) shuffle nothing more.
+    """
+    history = returns.groupBy("portfolio").agg(F.transform(F.array_sort(F.collect_list(F.struct("dt", "ret"))), lambda x: x["ret"]).alias("rets"))
+    history = staged(history, "histories")
+    total = history.agg(F.coalesce(F.sum(F.size("rets")), F.lit(0))).first()[0]
+    begun = history.select("portfolio", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))).alias("sim"))
+    rows = begun.repartition("portfolio", "sim").join(F.broadcast(history) if total <= BROADCAST_DAYS else history, "portfolio")
+    picks = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(days).cast("long")), lambda d: F.get("rets", F.floor(drawn(seed, d) * F.size("rets")).cast("int")))
+    return rows.select("portfolio", "sim", F.posexplode(picks).alias("day", "ret")).withColumn("day", (F.col("day") + 1).cast("long"))
+
+
 def lower_root(cov: np.ndarray) -> np.ndarray:
     """The lower triangle whose square is the matrix; where it is not positive definite, a root by singular values."""
     try:
@@ -219,16 +237,22 @@ def _normal_returns(prices: DataFrame, weights: dict[str, float], grid: DataFram
     return grid.select("sim", "day", ret.alias("ret"))
 
 
-def simulated_paths(rets: DataFrame, capital: float = 10_000.0) -> DataFrame:
-    """``(sim, day, value, dd)``"""
-    w = Window.partitionBy("sim").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    valued = rets.select("sim", "day", (F.exp(F.sum(F.log1p("ret")).over(w)) * capital).alias("value"))
+def simulated_paths(rets: DataFrame, capital: float = 10_000.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(sim, day, value, dd)``, after the columns ``keys`` that tell sets of simulations apart."""
+    w = Window.partitionBy(*keys, "sim").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    valued = rets.select(*keys, "sim", "day", (F.exp(F.sum(F.log1p("ret")).over(w)) * capital).alias("value"))
     return valued.withColumn("dd", F.col("value") / F.greatest(F.max("value").over(w), F.lit(capital)) - 1)
 
 
-def simulation_statistics(paths: DataFrame, years: float, capital: float = 10_000.0) -> DataFrame:
-    final = paths.groupBy("sim").agg(F.max_by("value", "day").alias("final"), F.min("dd").alias("mdd")).withColumn("cagr", F.pow(F.col("final") / capital, F.lit(1 / years)) - 1)
-    return final.agg(
+def simulated_ends(paths: DataFrame, years: float, capital: float = 10_000.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(sim, final, mdd, cagr)`` of each path, after ``keys``."""
+    return paths.groupBy(*keys, "sim").agg(F.max_by("value", "day").alias("final"), F.min("dd").alias("mdd")).withColumn("cagr", F.pow(F.col("final") / capital, F.lit(1 / years)) - 1)
+
+
+def simulation_statistics(paths: DataFrame, years: float, capital: float = 10_000.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Figures over all paths, or over those of each of ``keys``."""
+    final = simulated_ends(paths, years, capital, keys)
+    return final.groupBy(*keys).agg(
         F.avg("final").alias("mean_final"), F.percentile("final", 0.5).alias("median_final"), F.avg("cagr").alias("mean_cagr"), F.percentile("cagr", 0.5).alias("median_cagr"), F.stddev_pop("cagr").alias("std_cagr"),
         F.percentile("mdd", 0.5).alias("median_mdd"), F.min("mdd").alias("worst_mdd"), F.percentile("mdd", 0.05).alias("p5_mdd"), F.avg((F.col("final") < capital).cast("double")).alias("p_loss"), F.avg((F.col("final") >= 2 * capital).cast("double")).alias("p_double"),
     )

@@ -61,20 +61,59 @@ _ALL = _values(PORTFOLIOS, "portfolio, ticker, weight")
 query("books_checked", lambda s, d: bk.checked(weights(s, PORTFOLIOS), prices(s, d)), _with("prices", f", w AS (SELECT portfolio, upper(trim(ticker)) AS ticker, weight FROM {_ALL}), k AS (SELECT DISTINCT ticker AS kt FROM prices), g AS (SELECT portfolio, count(*) AS assets, sum(weight) AS total, coalesce(string_agg(DISTINCT CASE WHEN kt IS NULL THEN ticker END, ',' ORDER BY CASE WHEN kt IS NULL THEN ticker END), '') AS missing FROM w LEFT JOIN k ON kt = ticker GROUP BY portfolio) SELECT portfolio, assets, " + _r("total", "total") + ", missing, abs(total - 1) <= 0.01 AND missing = '' AS valid FROM g"))
 query("tickers_union", lambda s, d: bk.tickers_of(weights(s, PORTFOLIOS), prices(s, d)), _with("prices", f"SELECT upper(trim(ticker)) AS ticker FROM {_ALL} UNION SELECT ticker FROM prices"))
 query("tickers_missing", lambda s, d: st.without(bk.tickers_of(weights(s, PORTFOLIOS)), prices(s, d)), _with("prices", f"SELECT DISTINCT upper(trim(ticker)) AS ticker FROM {_ALL} WHERE upper(trim(ticker)) NOT IN (SELECT ticker FROM prices)"))
-query("allocation_matrix", lambda s, d: bk.allocation_matrix(weights(s), ["A", "N", "R"]), "SELECT portfolio, " + ", ".join(_r(f"max(CASE WHEN upper(trim(ticker)) = '{t}' AND weight > 0.001 THEN weight END)", t) for t in "ANR") + " FROM " + _values(_HELD, "portfolio, ticker, weight") + " GROUP BY portfolio")
-_HW = "(SELECT portfolio, upper(trim(ticker)) AS ticker, weight FROM " + _values(_HELD, "portfolio, ticker, weight") + ")"
-query("allocation_text", lambda s, d: bk.allocation_text(weights(s)), f"SELECT portfolio, portfolio || '.csv' AS file_name, portfolio || chr(10) || chr(10) || 'Symbol,Weight' || chr(10) || string_agg(ticker || ',' || CAST(CAST(round_even(weight * 100, 0) AS BIGINT) AS VARCHAR) || '%', chr(10) ORDER BY ticker) || chr(10) AS text FROM {_HW} GROUP BY portfolio")
-query("allocation_parse", lambda s, d: bk.parse_allocations(bk.allocation_text(weights(s))).drop("position"), f"SELECT portfolio, ticker, {_r('round_even(weight * 100, 0) / 100', 'weight')} FROM {_HW}")
-query("allocation_links", lambda s, d: bk.links(weights(s), "https://example.org/backtest", {"s": "y", "startYear": "2017"}), f"SELECT portfolio, 'https://example.org/backtest?s=y&startYear=2017&' || string_agg('symbol' || i || '=' || ticker || '&allocation' || i || '_1=' || CAST(CAST(round_even(weight * 100, 0) AS BIGINT) AS VARCHAR), '&' ORDER BY i) AS url FROM (SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY ticker) AS i FROM {_HW}) GROUP BY portfolio")
+
+
+def traded(s: SparkSession, d: str) -> DataFrame:
+    """Portfolios that the sales tell: of each region the share of each ticker in the volume, to the nearest hundredth."""
+    lines = s.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", F.col("l_returnflag").alias("ticker"), "l_quantity")
+    places = s.read.parquet(f"{d}/supplier.parquet").join(s.read.parquet(f"{d}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey")).join(s.read.parquet(f"{d}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    sums = lines.join(places.select("s_suppkey", F.col("r_name").alias("portfolio")), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("portfolio", "ticker").agg(F.sum(F.col("l_quantity").cast("double")).alias("q"))
+    total = F.sum("q").over(c.Window.partitionBy("portfolio"))
+    order = F.row_number().over(c.Window.partitionBy("portfolio").orderBy("ticker"))
+    return sums.select("portfolio", "ticker", (F.floor(F.col("q") / total * 100 + 0.5) / 100).alias("weight"), order.cast("long").alias("position"))
+
+
+_TRADED = "tw AS (SELECT portfolio, ticker, floor(q / sum(q) OVER (PARTITION BY portfolio) * 100 + 0.5) / 100 AS weight FROM (SELECT r_name AS portfolio, l_returnflag AS ticker, sum(CAST(l_quantity AS DOUBLE)) AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2))"
+_PCT = "CAST(CAST(round_even(weight * 100, 0) AS BIGINT) AS VARCHAR)"
+query("traded_weights", lambda s, d: traded(s, d).drop("position"), f"WITH {_TRADED} SELECT portfolio, ticker, {_r('weight', 'weight')} FROM tw")
+query("allocation_matrix", lambda s, d: bk.allocation_matrix(traded(s, d), ["A", "N", "R"]), f"WITH {_TRADED} SELECT portfolio, " + ", ".join(_r(f"max(CASE WHEN ticker = '{t}' AND weight > 0.001 THEN weight END)", t) for t in "ANR") + " FROM tw GROUP BY portfolio")
+query("allocation_text", lambda s, d: bk.allocation_text(traded(s, d)), f"WITH {_TRADED} SELECT portfolio, regexp_replace(portfolio, '[^A-Za-z0-9_-]+', '_', 'g') || '.csv' AS file_name, portfolio || chr(10) || chr(10) || 'Symbol,Weight' || chr(10) || string_agg(ticker || ',' || {_PCT} || '%', chr(10) ORDER BY ticker) || chr(10) AS text FROM tw GROUP BY portfolio")
+query("allocation_parse", lambda s, d: bk.parse_allocations(bk.allocation_text(traded(s, d))).drop("position"), f"WITH {_TRADED} SELECT portfolio, ticker, {_r('round_even(weight * 100, 0) / 100', 'weight')} FROM tw")
+query("allocation_links", lambda s, d: bk.links(traded(s, d), "https://example.org/backtest", {"s": "y", "startYear": "2017"}), f"WITH {_TRADED} SELECT portfolio, 'https://example.org/backtest?s=y&startYear=2017&' || string_agg('symbol' || i || '=' || ticker || '&allocation' || i || '_1=' || {_PCT}, '&' ORDER BY i) AS url FROM (SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY ticker) AS i FROM tw) GROUP BY portfolio")
+
+
+def _triples(s: SparkSession, d: str) -> DataFrame:
+    """Raw weights of each region: those of its tickers, the first a thousandth of what it is."""
+    w = F.col("weight")
+    pick = lambda t, k: F.sum(F.when(F.col("ticker") == t, w * k).otherwise(0.0))
+    return traded(s, d).groupBy(F.col("portfolio").alias("label")).agg(pick("A", 0.001).alias("w0"), pick("N", 1.0).alias("w1"), pick("R", 2.0).alias("w2"))
+
+
+_TRIPLES = f"{_TRADED}, tr AS (SELECT portfolio AS label, sum(CASE WHEN ticker = 'A' THEN weight * 0.001 ELSE 0 END) AS a, sum(CASE WHEN ticker = 'N' THEN weight ELSE 0 END) AS b, sum(CASE WHEN ticker = 'R' THEN weight * 2 ELSE 0 END) AS e FROM tw GROUP BY 1)"
+
+_BOOK_SIMS, _BOOK_DAYS = 200, 252
+
+
+def _simulated(s: SparkSession, d: str) -> DataFrame:
+    """Paths of every portfolio, from its own history."""
+    rets = bk.book_returns(prices(s, d), weights(s)).where("day > 0").select("portfolio", "dt", "ret")
+    return pf.simulated_paths(pf.simulated_books(rets, _BOOK_SIMS, _BOOK_DAYS), keys=("portfolio",))
 
 
 def _summary(s: SparkSession, d: str) -> DataFrame:
-    """Backtests with contributions beside growth rates that stand in for simulated ones."""
-    simulated = _lumps(s, d).select("portfolio", F.col("cagr").alias("median_cagr"))
+    """Backtests with contributions beside the median growth rates of each portfolio's simulations."""
+    simulated = pf.simulation_statistics(_simulated(s, d), _BOOK_DAYS / 252, keys=("portfolio",)).select("portfolio", "median_cagr")
     return bk.summary_rows(bk.book_metrics(bk.monthly_sums(prices(s, d), weights(s))), simulated)
 
 
-query("summary_table", _summary, _with("prices", _MONTHLY.replace("bv AS", "bv1 AS").replace("b0", "b1") + _BM.replace("bv", "bv1").replace("bd", "bd1").replace("bg", "bg1").replace("bm AS", "bm1 AS").replace("FROM bm", "FROM bm1") + _LUMP.replace(_BOOK, "") + _BM + ", dl AS (SELECT x.*, y.cagr AS median_cagr, y.cagr - x.cagr AS delta FROM bm1 x LEFT JOIN bm y ON x.portfolio = y.portfolio) SELECT portfolio, CASE WHEN invested > 10100 THEN 'DCA: $' || format('{:,}', CAST(invested - 10000 AS BIGINT)) ELSE 'Lump Sum' END AS type, " + ", ".join(_r(x, x) for x in ("median_cagr", "cagr", "delta", "vol", "max_dd")) + ", CASE WHEN abs(delta) > 0.05 THEN 'warn' WHEN delta > 0 THEN 'pos' ELSE '' END AS class FROM dl"))
+_BOOK_PATHS = (
+    f", bh AS (SELECT portfolio, ret, row_number() OVER (PARTITION BY portfolio ORDER BY dt) AS k, count(*) OVER (PARTITION BY portfolio) AS n FROM (SELECT portfolio, dt, sum(weight * r) AS ret FROM j WHERE day > 0 GROUP BY ALL)), bgr AS (SELECT DISTINCT portfolio, n, sim, day FROM bh CROSS JOIN (SELECT unnest(generate_series(0, {_BOOK_SIMS - 1})) AS sim) CROSS JOIN (SELECT unnest(generate_series(1, {_BOOK_DAYS})) AS day)), "
+    f"bsr AS (SELECT g.portfolio, sim, day, bh.ret FROM bgr g JOIN bh ON bh.portfolio = g.portfolio AND bh.k = CAST(floor({c._U1} * g.n) AS BIGINT) + 1), bpv AS (SELECT portfolio, sim, day, 10000 * exp(sum(ln(1 + ret)) OVER (PARTITION BY portfolio, sim ORDER BY day)) AS value FROM bsr), "
+    "bpa AS (SELECT *, value / greatest(max(value) OVER (PARTITION BY portfolio, sim ORDER BY day), 10000) - 1 AS dd FROM bpv), "
+    f"bfi AS (SELECT portfolio, sim, arg_max(value, day) AS v, min(dd) AS mdd, power(arg_max(value, day) / 10000, 252.0 / {_BOOK_DAYS}) - 1 AS c FROM bpa GROUP BY portfolio, sim)"
+)
+query("summary_table", _summary, _with("prices", _MONTHLY + _BM + _BOOK_PATHS + ", dl AS (SELECT x.*, y.m AS median_cagr, y.m - x.cagr AS delta FROM bm x LEFT JOIN (SELECT portfolio, quantile_cont(c, 0.5) AS m FROM bfi GROUP BY portfolio) y ON x.portfolio = y.portfolio) SELECT portfolio, CASE WHEN invested > 10100 THEN 'DCA: $' || format('{:,}', CAST(invested - 10000 AS BIGINT)) ELSE 'Lump Sum' END AS type, " + ", ".join(_r(x, x) for x in ("median_cagr", "cagr", "delta", "vol", "max_dd")) + ", CASE WHEN abs(delta) > 0.05 THEN 'warn' WHEN delta > 0 THEN 'pos' ELSE '' END AS class FROM dl"))
+query("books_simulated_statistics", lambda s, d: pf.simulation_statistics(_simulated(s, d), _BOOK_DAYS / 252, keys=("portfolio",)), _with("prices", _BOOK + _BOOK_PATHS + " SELECT portfolio, " + ", ".join((_r("avg(v)", "mean_final", 2), _r("quantile_cont(v, 0.5)", "median_final", 2), _r("avg(c)", "mean_cagr"), _r("quantile_cont(c, 0.5)", "median_cagr"), _r("stddev_pop(c)", "std_cagr"), _r("quantile_cont(mdd, 0.5)", "median_mdd"), _r("min(mdd)", "worst_mdd"), _r("quantile_cont(mdd, 0.05)", "p5_mdd"), _r("avg(CASE WHEN v < 10000 THEN 1.0 ELSE 0.0 END)", "p_loss"), _r("avg(CASE WHEN v >= 20000 THEN 1.0 ELSE 0.0 END)", "p_double"))) + " FROM bfi GROUP BY portfolio"), ("mean_final", "median_final"))
 
 # -- bundles -----------------------------------------------------------------------------------------------------------------------
 
@@ -235,10 +274,9 @@ def _too_short(s: SparkSession, d: str) -> DataFrame:
 
 
 query("opt_failed_equal_weights", _too_short, "SELECT 'Max Sortino (FAILED)' AS label, round(1 / 3.0, 6) AS w0, round(1 / 3.0, 6) AS w1, round(1 / 3.0, 6) AS w2, 0.0 AS score")
-_RAW = [("x", 0.0004, 0.7996, 0.4), ("y", 2.0, 1.0, 1.0), ("z", 0.0009, 0.0, 0.9991)]
 _CW = {a: f"CASE WHEN {a} / (a + b + e) < 0.001 THEN 0 ELSE {a} / (a + b + e) END" for a in "abe"}
-query("opt_cleaned_weights", lambda s, d: sd.cleaned_weights(s.createDataFrame(_RAW, "label string, w0 double, w1 double, w2 double"), ["w0", "w1", "w2"]), "SELECT label, " + ", ".join(_r(f"({_CW[a]}) / ({' + '.join(_CW.values())})", f"w{i}") for i, a in enumerate("abe")) + " FROM " + _values(_RAW, "label, a, b, e"))
-query("opt_results_json", lambda s, d: st.result_rows(s.createDataFrame([("x", 0.25, 0.75, 1.5)], "label string, a double, b double, sharpe double"), ["a", "b"], ["sharpe"]), "SELECT 'x' AS label, '{\"a\":0.25,\"b\":0.75}' AS allocations, '{\"sharpe\":1.5}' AS stats")
+query("opt_cleaned_weights", lambda s, d: sd.cleaned_weights(_triples(s, d), ["w0", "w1", "w2"]), f"WITH {_TRIPLES} SELECT label, " + ", ".join(_r(f"({_CW[a]}) / ({' + '.join(_CW.values())})", f"w{i}") for i, a in enumerate("abe")) + " FROM tr")
+query("opt_results_json", lambda s, d: st.result_rows(traded(s, d).groupBy(F.col("portfolio").alias("label")).agg(F.count("*").alias("tickers"), F.max(F.rint(F.col("weight") * 100).cast("long")).alias("largest")), ["tickers"], ["largest"]), f"WITH {_TRADED} SELECT portfolio AS label, '{{\"tickers\":' || count(*) || '}}' AS allocations, '{{\"largest\":' || max(CAST(round_even(weight * 100, 0) AS BIGINT)) || '}}' AS stats FROM tw GROUP BY 1")
 
 # -- simulations -------------------------------------------------------------------------------------------------------------------
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import intervals as iv
 from tidemark.operators import store as st
-from tidemark.session import shared_dir
+from tidemark.session import shared_dir, staged
 
 PRICES = "ticker string, dt date, price double"
 HELD = "ticker string, first date, last date, intervals string, inception date"
@@ -140,7 +140,8 @@ class PriceStore:
         return {"held": f"{folder}/held"}
 
     def _replace(self, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
-        new = new.select("ticker", "dt", "price")
+        # read more than once below
+        new = staged(new.select("ticker", "dt", "price"), "new")
         touched = self._touched(new)
 
         def change(base: int, parts: dict[str, str]) -> dict[str, str]:
