@@ -38,16 +38,18 @@ NEAR_TILE = 4096
 #: Runs of up to so many lines of one key are compared together with all others of that kind.
 TOGETHER = 16
 LINES = "doc_id long, line_no int, h long, sim long, n_words int, keys array<long>"
-#: Bits in which the SimHashes of lines of similarity 0.8 differ at most, but for one pair in fifty.
-FAR = 20
+#: Bits in which the SimHashes of lines of similarity 0.8 differ at most, but for one pair in forty.
+FAR = 19
 #: The same for lines of a key that the nearest pairs have not brought together.
 FAR_AGAIN = 16
-#: Words of at least so many bytes are long; a block is used if its words have the second number of bytes together, or if it has the third
-#: number of words, as many lines share the blocks of one or two short words.
+#: Words of at least so many bytes are long; a block is used if its words have the second number of bytes together, as many lines share the
+#: blocks of a few short words, but of lines of short words also if it has the third number of words.
 LONG, LETTERS, TOGETHER_WORDS = 7, 12, 3
-#: Lines whose words have fewer bytes than this on average are dealt so many times more, the first number in the band of the shortest; of
-#: these deals only the blocks are used that have words enough and not the bytes.
-SHORT_WORDS, MORE_DEALS = 5, (7, 4)
+#: Lines whose words have fewer bytes than these on average are dealt more often: the shortest in all bands, with blocks of words enough used
+#: too; the others in the first two bands.
+SHORT_WORDS, MIDDLING_WORDS = 4, 6
+#: So often in each of the first bands and in all later ones, and to so many blocks in the first bands.
+MORE_DEALS, MORE_BLOCKS = (5, 2, 3), (4, 6)
 #: Lines of up to so many words are joined on all words but one.
 SHORT = 9
 #: Long words vote alone from this many in a line; up to the second number all words vote (too).
@@ -114,7 +116,8 @@ def plan(low: int, few: int) -> list[tuple[int, int, int, int]]:
 
 def _dealt(words: np.ndarray, size: np.ndarray, line: np.ndarray, n: np.ndarray, bands: list[tuple[int, int, int, int]], salt: int, lines: int):
     """``(line, key)`` of the blocks in use."""
-    short = np.bincount(line, size, lines) < SHORT_WORDS * np.bincount(line, minlength=lines)
+    letters_of, words_of = np.bincount(line, size, lines), np.bincount(line, minlength=lines)
+    short, middling = letters_of < SHORT_WORDS * words_of, letters_of < MIDDLING_WORDS * words_of
     per = np.bincount(line, minlength=lines)
     most = int(per.max(initial=0))
     for number, (least, last, deals, g) in enumerate(bands):
@@ -124,9 +127,10 @@ def _dealt(words: np.ndarray, size: np.ndarray, line: np.ndarray, n: np.ndarray,
         chosen = np.flatnonzero(own[line])
         if not len(chosen):
             continue
-        for deal in range(deals + MORE_DEALS[number > 0]):
+        for deal in range(deals + MORE_DEALS[min(number, 2)]):
             if deal == deals:
-                chosen = chosen[short[line[chosen]]]
+                chosen = chosen[(middling if number < len(MORE_BLOCKS) else short)[line[chosen]]]
+                g = MORE_BLOCKS[number] if number < len(MORE_BLOCKS) else g
             if not len(chosen):
                 break
             tag = np.uint64((salt * 1000003 + number * 7 + deal + 1) * 0x9E3779B97F4A7C15 % 2**64)
@@ -136,8 +140,8 @@ def _dealt(words: np.ndarray, size: np.ndarray, line: np.ndarray, n: np.ndarray,
             where, place = chosen[order], place[order]
             at = np.append(np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))), len(place))
             count = np.diff(at)
-            letters = np.add.reduceat(size[where], at[:-1]) >= LETTERS
-            used = np.flatnonzero(letters | (count >= TOGETHER_WORDS) if deal < deals else ~letters & (count >= TOGETHER_WORDS))
+            enough = (np.add.reduceat(size[where], at[:-1]) >= LETTERS) | (short[place[at[:-1]] // g] & (count >= TOGETHER_WORDS))
+            used = np.flatnonzero(enough)
             if not len(used):
                 continue
             bits = votes(words[where], at)[used]
