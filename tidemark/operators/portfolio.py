@@ -258,8 +258,8 @@ def simulation_statistics(paths: DataFrame, years: float, capital: float = 10_00
     )
 
 
-def bands(paths: DataFrame, every: int = 21) -> DataFrame:
-    """``(day, p5, p50, p95)`` of the values on every so manieth day."""
+def bands(paths: DataFrame, every: int = 21, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(day, p5, p50, p95)``, after ``keys``, of the values on every so manieth day."""
     p = lambda q: F.percentile("value", q)
-    return paths.where(F.col("day") % every == 0).groupBy("day").agg(p(0.05).alias("p5"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    return paths.where(F.col("day") % every == 0).groupBy(*keys, "day").agg(p(0.05).alias("p5"), p(0.5).alias("p50"), p(0.95).alias("p95"))
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.series import YEAR, by, sliding_fall
 from tidemark.operators.portfolio import aligned, simplex
 from tidemark.operators.ranks import exact_percentiles
+from tidemark.session import staged
 
 #: Rows between two entries; a holding is a whole number of such blocks.
 STRIDE = 21
@@ -136,27 +137,26 @@ def guarded(losses: DataFrame, prices: DataFrame, tickers: tuple[str, ...], labe
 # -- distributions ---------------------------------------------------------------------------------------------------------------
 
 
-def density(values: DataFrame, column: str, points: int = 200, clip: float = 0.01, bins: int = 1 << 15) -> DataFrame:
-    """``(k, x, y)``: a Gaussian density with Scott's bandwidth between two percentiles.
+def density(values: DataFrame, column: str, points: int = 200, clip: float = 0.01, bins: int = 1 << 15, key: str | None = None) -> DataFrame:
+    """``(k, x, y)``, after ``key`` if there is one: a Gaussian density with Scott's bandwidth between two percentiles.
 
     Each value is shared between the two nearest of ``bins`` even places, and the kernel is summed over the places, so the work at the points
-    does not grow with the values; the places are far closer than the bandwidth. Empty without two different values.
+    does not grow with the values; the places are far closer than the bandwidth. Without two different values there is none.
     """
-    spark = values.sparkSession
-    rows = values.select(F.lit(0).alias("key"), F.col(column).cast("double").alias("v")).where("v is not null")
-    low, high, sd, n = rows.agg(F.min("v"), F.max("v"), F.stddev_samp("v"), F.count("*")).first()
-    if not sd:
-        return spark.createDataFrame([], "k long, x double, y double")
-    _, first, last = exact_percentiles(rows, "key", "v", {"first": clip, "last": 1 - clip}).first()
-    width, h = (high - low) / bins, sd * n**-0.2
-    at = (F.col("v") - low) / width
+    rows = values.select((F.col(key) if key else F.lit(0)).alias("_key"), F.col(column).cast("double").alias("v")).where("v is not null")
+    shape = rows.groupBy("_key").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_samp("v").alias("sd"), F.count("*").alias("n")).where("sd > 0")
+    shape = shape.join(exact_percentiles(rows, "_key", "v", {"first": clip, "last": 1 - clip}), "_key")
+    shape = staged(shape.select("*", ((F.col("high") - F.col("low")) / bins).alias("width"), (F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))).alias("h")), "shapes")
+    at = (F.col("v") - F.col("low")) / F.col("width")
     cell = F.least(F.floor(at), F.lit(bins - 1))
     shared = F.array(F.struct(cell.alias("cell"), (1 - (at - cell)).alias("w")), F.struct((cell + 1).alias("cell"), (at - cell).alias("w")))
-    cells = rows.select(F.explode(shared).alias("s")).groupBy("s.cell").agg(F.sum("s.w").alias("w")).where("w > 0")
-    # no more rows than places times points
-    near = cells.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long")))).withColumn("x", F.lit(first) + (F.lit(last) - F.lit(first)) * F.col("k") / (points - 1))
-    u = (F.col("x") - (F.lit(low) + F.col("cell") * width)) / h
-    return near.groupBy("k", "x").agg((F.sum(F.col("w") * F.exp(-0.5 * u * u)) / (n * h * 2.5066282746310002)).alias("y"))
+    cells = rows.join(shape, "_key").select("_key", F.explode(shared).alias("s")).groupBy("_key", "s.cell").agg(F.sum("s.w").alias("w")).where("w > 0")
+    # of a key no more rows than places times points
+    near = cells.join(shape, "_key").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+    near = near.withColumn("x", F.col("first") + (F.col("last") - F.col("first")) * F.col("k") / (points - 1))
+    u = (F.col("x") - (F.col("low") + F.col("cell") * F.col("width"))) / F.col("h")
+    out = near.groupBy("_key", "k", "x").agg((F.sum(F.col("w") * F.exp(-0.5 * u * u)) / F.first("n") / F.first("h") / 2.5066282746310002).alias("y"))
+    return out.select(*([F.col("_key").alias(key)] if key else []), "k", "x", "y")
 
 
 def histogram(values: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -179,14 +179,14 @@ def funded_paths(rets: DataFrame, capital: float = 10_000.0, amount: float = 0.0
     return grown.select("sim", "day", (F.col("g") * (capital + cash)).alias("value"), (F.lit(capital) + F.floor(F.col("day") / every) * amount).alias("invested"))
 
 
-def yearly_chances(paths: DataFrame, years: int, rise: float = 1.10) -> DataFrame:
-    """``(year, p_loss, p_high)``: the share of paths below what was invested, and of those above it grown by a tenth a year, at the end of
-    each year or at the last day."""
+def yearly_chances(paths: DataFrame, years: int, rise: float = 1.10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(year, p_loss, p_high)``, after ``keys``: the share of paths below what was invested, and of those above it grown by a tenth a year, at the
+    end of each year or at the last day."""
     last = paths.agg(F.max("day").alias("_last"))
     ends = last.withColumn("year", F.explode(F.sequence(F.lit(1), F.lit(years)))).select(F.col("year").cast("long").alias("year"), F.least(F.col("year") * YEAR, "_last").alias("day"))
     rows = paths.join(F.broadcast(ends), "day")
     high = F.col("value") > F.col("invested") * F.pow(F.lit(rise), F.col("year"))
-    return rows.groupBy("year").agg(F.avg((F.col("value") < F.col("invested")).cast("double")).alias("p_loss"), F.avg(high.cast("double")).alias("p_high"))
+    return rows.groupBy(*keys, "year").agg(F.avg((F.col("value") < F.col("invested")).cast("double")).alias("p_loss"), F.avg(high.cast("double")).alias("p_high"))
 
 
 def path_ratios(paths: DataFrame, years: float, capital: float = 10_000.0) -> DataFrame:

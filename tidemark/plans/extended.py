@@ -91,7 +91,7 @@ def _triples(s: SparkSession, d: str) -> DataFrame:
 
 _TRIPLES = f"{_TRADED}, tr AS (SELECT portfolio AS label, sum(CASE WHEN ticker = 'A' THEN weight * 0.001 ELSE 0 END) AS a, sum(CASE WHEN ticker = 'N' THEN weight ELSE 0 END) AS b, sum(CASE WHEN ticker = 'R' THEN weight * 2 ELSE 0 END) AS e FROM tw GROUP BY 1)"
 
-_BOOK_SIMS, _BOOK_DAYS = 200, 252
+_BOOK_SIMS, _BOOK_DAYS = 100, 756
 
 
 def _simulated(s: SparkSession, d: str) -> DataFrame:
