@@ -317,13 +317,13 @@ def word_part(word40: np.ndarray, parts: int) -> np.ndarray:
     return (mix(word40) % np.uint64(parts)).astype(np.int64)
 
 
-def pair_part(before: np.ndarray, word40: np.ndarray, parts: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def pair_part(before: np.ndarray, word40: np.ndarray, parts: int, frequent: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
     """The part of each pair: by the word before, of a frequent one by a hash of the word too."""
     salt = np.zeros(len(before), np.uint64)
-    names, counts = frequent
+    names, counts, each = frequent
     if len(names):
         place = np.minimum(np.searchsorted(names, before), len(names) - 1)
-        split = np.where(names[place] == before, counts[place] // FREQUENT + 1, 1).astype(np.uint64)
+        split = np.where(names[place] == before, counts[place] // each + 1, 1).astype(np.uint64)
         salt = mix(word40 + np.uint64(99)) % split
     return (mix(mix(before) + salt) % np.uint64(parts)).astype(np.int64)
 
@@ -331,7 +331,7 @@ def pair_part(before: np.ndarray, word40: np.ndarray, parts: int, frequent: tupl
 class Asked:
     """The different pairs of a chunk by part, then by first and second word; ``of``: the pair of each token."""
 
-    def __init__(self, table: pa.Table, parts: int, frequent: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, table: pa.Table, parts: int, frequent: tuple[np.ndarray, np.ndarray, int]):
         self.rows, before, word = _chunk_tokens(table)
         self.rows = self.rows.astype(np.int32)
         word40 = short(word)
@@ -358,7 +358,7 @@ def _unpacked_pairs(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(names, rest[:contexts]), _from5(b, 8 + 8 * contexts, n), rest[contexts:].astype(np.int64)
 
 
-def _pairs(parts: int, frequent: tuple[np.ndarray, np.ndarray]):
+def _pairs(parts: int, frequent: tuple[np.ndarray, np.ndarray, int]):
     """Rows ``(part, chunk, data)``: the pairs of a chunk in a part, and how often its training texts have each."""
 
     def run(batches):
@@ -507,20 +507,20 @@ class _Part:
         self.words, self.word_of = np.unique(self.word, return_inverse=True)
         self.seed = int(self.before[0] >> np.uint64(32)) if len(b) else 0
 
-    def grown(self, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def grown(self, frequent: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
         """Of each room how many times more customers it has in all its parts."""
         out = np.ones(int(self.room.max(initial=-1)) + 1)
-        names, counts = frequent
+        names, counts, each = frequent
         if len(names) and len(out):
             rooms = self.before[np.unique(self.room, return_index=True)[1]]
             place = np.minimum(np.searchsorted(names, rooms), len(names) - 1)
             here = np.bincount(self.room, self.n)
-            split = (names[place] == rooms) & (counts[place] >= FREQUENT) & (here > 0)
+            split = (names[place] == rooms) & (counts[place] >= each) & (here > 0)
             out[split] = np.maximum(counts[place][split] / here[split], 1)
         return out
 
 
-def _first_seating(word_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
+def _first_seating(word_parts: int, frequent: tuple[np.ndarray, np.ndarray, int]):
     """Rows ``(wpart, part, words, tables, total)``: how many tables a part's contexts open for each word, when its own share of the words
     stands for the parent; one row for every part of the words."""
 
@@ -563,7 +563,7 @@ def _seated_words(speller: Speller):
     return run
 
 
-def _answers(word_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
+def _answers(word_parts: int, frequent: tuple[np.ndarray, np.ndarray, int]):
     """Rows ``(chunk, part, data)``: the averaged log10 probabilities of a chunk's pairs in a part, in its order."""
 
     def run(asked: pa.Table, words: pa.Table) -> pa.Table:
@@ -583,7 +583,7 @@ def _answers(word_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(parts: int, word_parts: int, frequent: tuple[np.ndarray, np.ndarray], total: int, distinct: int):
+def _scored(parts: int, word_parts: int, frequent: tuple[np.ndarray, np.ndarray, int], total: int, distinct: int):
     def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for packed in chunks.column("packed").to_pylist():
@@ -632,7 +632,7 @@ def score_texts(documents: DataFrame) -> DataFrame:
     often = state.select("words", "counts").mapInArrow(_frequent(max(FREQUENT, SHARE * total)), "word long, n long").orderBy("word").toPandas()
     names = often["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
-    frequent = (names[order], often["n"].to_numpy(np.int64)[order])
+    frequent = (names[order], often["n"].to_numpy(np.int64)[order], FREQUENT)
     speller = _speller(state, _speller(state, None))
 
     # one plan, so that the pairs are shuffled once and both seatings read them
