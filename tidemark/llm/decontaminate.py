@@ -20,6 +20,8 @@ from tidemark.session import staged
 MASKS = ("11101011", "11010111", "1110010011")
 #: Words of a window, and how many of them must agree.
 WINDOW, SAME = 12, 10
+#: Items of so many words up to a window are found whole, but for one word; one half of theirs is then as it was.
+ONE_OFF = 8
 #: Items of fewer words name nothing inside a text: they count only where they are the whole of one.
 LEAST = 5
 #: A benchmark of at most so many words is sent to the executors (about 100 bytes a word); with a larger one the seeds of both are joined.
@@ -43,8 +45,11 @@ def masked_hashes(h: np.ndarray, mask: str) -> np.ndarray:
 
 
 def seeds_for(words: int) -> list[str]:
-    """Masks for an item of so many words: one of fewer than ``WINDOW`` must be found word for word."""
-    return [] if not words else ["1" * words] if words < WINDOW else list(MASKS)
+    """Masks for an item of so many words: one of fewer than ``ONE_OFF`` must be found word for word, one of fewer than ``WINDOW`` by either half."""
+    if words >= WINDOW:
+        return list(MASKS)
+    half = words // 2
+    return ["1" * half + "0" * (words - half), "0" * half + "1" * (words - half)] if words >= ONE_OFF else ["1" * words] if words else []
 
 
 def _distinct(rows: np.ndarray) -> np.ndarray:
@@ -106,7 +111,7 @@ def overlap(h: np.ndarray, low: int, high: int, w: np.ndarray, place: int) -> tu
     """As ``Seeds.overlap``, for the words of one item."""
     a, b = max(low, place), min(high, place + len(w))
     size = min(WINDOW, len(w))
-    need = size if len(w) < WINDOW else SAME
+    need = SAME if len(w) >= WINDOW else size - (len(w) >= ONE_OFF)
     if b - a < size or len(w) < LEAST and high - low != len(w):
         return None
     same = h[a:b] == w[a - place : b - place]
@@ -161,7 +166,7 @@ def _seeds(name: str, sizes: list[int] | None):
         for batch in batches:
             for i, words in zip(batch.column(name).to_pylist(), batch.column("words"), strict=True):
                 w = np.frombuffer(words.as_buffer(), np.uint64)
-                masks = seeds_for(len(w)) if sizes is None else [*MASKS, *("1" * n for n in sizes)]
+                masks = seeds_for(len(w)) if sizes is None else [*MASKS, *(m for n in sizes for m in seeds_for(n))]
                 found = [masked_hashes(w, mask) for mask in masks]
                 n = [len(x) for x in found]
                 place = np.concatenate([np.arange(k) for k in n]) if n else np.zeros(0, np.int64)
@@ -210,8 +215,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_words: in
     a passage (places and lengths in words). Documents without one are not in the result.
 
     ``documents``: doc_id, text; ``benchmark``: item_id, text; other columns are left alone. Null or empty texts share
-    nothing. Two of twelve words may differ; items of five to eleven words count where they occur word for word, shorter ones where they are a
-    document's whole text. Repeated rows each return their rows; null ids are returned as null. Empty tables give an empty result.
+    nothing. Two of twelve words may differ, and one of an item of eight to eleven words; items of five to seven count where they occur word
+    for word, shorter ones where they are a document's whole text. Repeated rows each return their rows; null ids are returned as null. Empty tables give an empty result.
     A benchmark of up to ``broadcast_words`` words is looked up in the tasks; the seeds of a larger one are joined with the documents'.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -220,7 +225,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_words: in
     if (items.agg(F.sum("n")).first()[0] or 0) > broadcast_words:
         return _joined(docs, items)
     rows = items.orderBy("item_id", "words").toPandas()
-    block = (rows["item_id"].map(lambda x: None if x != x else int(x)).tolist(), [np.frombuffer(w, np.uint64) for w in rows["words"]])
+    block = ([None if x != x else int(x) for x in rows["item_id"]], [np.frombuffer(w, np.uint64) for w in rows["words"]])
     return docs.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(block)), FOUND)
 
 
