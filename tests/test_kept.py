@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import wide as wd
 from tidemark.operators.portfolio import gathered
 from tidemark.operators.ranks import exact_percentiles
-from tidemark.operators.studies import density
+from tidemark.operators.studies import density, price_column
 from tidemark.functions.series import sliding_fall
 from tidemark.sources.stored import PRICES, Conflict, PriceStore
 from tidemark.streaming.cooldown import EVENTS, allowed
@@ -151,3 +151,11 @@ def test_gather_by_array_and_by_join(spark):
     assert one == sorted(map(tuple, gathered(grid, history, 42, most=10).collect())) and len(one) == 600
     plan = gathered(grid, history, 42)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and gathered(grid, history.where("false"), 42).count() == 0
+    with pytest.raises(ValueError, match="insufficient common history"):
+        gathered(grid, history.limit(19), 42, least=20)
+
+
+def test_price_columns():
+    assert price_column(["x", "Close", "Adj Close"]) == "Adj Close" and price_column(["price", "Close"]) == "Close"
+    with pytest.raises(ValueError, match="no price column"):
+        price_column(["Open"])

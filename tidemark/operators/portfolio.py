@@ -164,18 +164,22 @@ def simulated_returns(prices: DataFrame, weights: dict[str, float], sims: int, d
     hist = portfolio_returns(prices, weights, first=False)
     grid = spark.range(sims).select(F.col("id").alias("sim")).select("sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(days).cast("long"))).alias("day"))
     if method == "bootstrap":
-        return gathered(grid, hist, seed)
+        return gathered(grid, hist, seed, least=LEAST_HISTORY)
     return _normal_returns(prices, weights, grid, method, seed)
 
 
 #: A history of at most so many days goes into the plan as an array; a longer one is joined by its day, with both sides shuffled.
 ARRAY_DAYS = 20_000
+#: A shorter common history is not simulated.
+LEAST_HISTORY = 20
 
 
-def gathered(grid: DataFrame, history: DataFrame, seed: int, most: int = ARRAY_DAYS) -> DataFrame:
+def gathered(grid: DataFrame, history: DataFrame, seed: int, most: int = ARRAY_DAYS, least: int = 0) -> DataFrame:
     """``(sim, day, ret)``: for each row of ``grid`` (sim, day) the return of a day of ``history`` (dt, ret), drawn with replacement. The grid is
-    never shipped: a history that fits is looked up by place within each row."""
+    never shipped: a history that fits is looked up by place within each row. One of fewer than ``least`` days is an error."""
     kept = history.orderBy("dt").limit(most + 1).collect()
+    if len(kept) < least:
+        raise ValueError(f"insufficient common history ({len(kept)} days)")
     if len(kept) <= most:
         rets = F.lit(np.array([r["ret"] for r in kept], float))
         return grid.select("sim", "day", F.get(rets, F.floor(drawn(seed) * len(kept)).cast("int")).alias("ret")).where("ret is not null")
@@ -196,12 +200,18 @@ def gathered(grid: DataFrame, history: DataFrame, seed: int, most: int = ARRAY_D
 BROADCAST_DAYS = 1_000_000
 
 
+def history_sizes(returns: DataFrame, least: int = LEAST_HISTORY) -> DataFrame:
+    """``(portfolio, days, enough)``: the days of each portfolio's common history, and whether they can be simulated."""
+    return returns.groupBy("portfolio").agg(F.count("ret").alias("days")).withColumn("enough", F.col("days") >= least)
+
+
 def simulated_books(returns: DataFrame, sims: int, days: int, seed: int = 42) -> DataFrame:
     """``(portfolio, sim, day, ret)``: days drawn with replacement from the history of each portfolio in ``returns`` (portfolio, dt, ret).
 
     A simulation is one row until its days are drawn, and all of them stay where it is, so paths over (portfolio, sim) shuffle nothing more.
+    Portfolios whose history is too short have none; ``history_sizes`` tells them.
     """
-    history = returns.groupBy("portfolio").agg(F.transform(F.array_sort(F.collect_list(F.struct("dt", "ret"))), lambda x: x["ret"]).alias("rets"))
+    history = returns.groupBy("portfolio").agg(F.transform(F.array_sort(F.collect_list(F.struct("dt", "ret"))), lambda x: x["ret"]).alias("rets")).where(F.size("rets") >= LEAST_HISTORY)
     history = staged(history, "histories")
     total = history.agg(F.coalesce(F.sum(F.size("rets")), F.lit(0))).first()[0]
     begun = history.select("portfolio", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))).alias("sim"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,8 @@ from tidemark.session import staged
 STRIDE = 21
 #: Fewer common rows than this say nothing about a mix of assets.
 LEAST_ROWS = 50
+#: Broadcast a grid of at most so many points.
+BROADCAST_POINTS = 100_000
 #: What an objective costs where it cannot be told; fewer falls than this, or less spread, tell nothing.
 UNKNOWN, LEAST_FALLS, LEAST_SPREAD = 100.0, 20, 0.001
 
@@ -83,7 +87,9 @@ def mixes(prices: DataFrame, tickers: tuple[str, ...], steps: int = 10) -> tuple
     r = wide.select("dt", *((F.col(t) / F.lag(t).over(w) - 1).alias(f"r{k}") for k, t in enumerate(tickers))).na.drop()
     names = [f"w{k}" for k in range(len(tickers))]
     grid = simplex(prices.sparkSession, len(tickers), steps)
-    return r.crossJoin(F.broadcast(grid)).select(*names, "dt", sum((F.col(f"w{k}") * F.col(f"r{k}") for k in range(len(tickers))), F.lit(0.0)).alias("ret")), names
+    # the grid has so many points, whatever the data
+    small = math.comb(steps + len(tickers) - 1, len(tickers) - 1) <= BROADCAST_POINTS
+    return r.crossJoin(F.broadcast(grid) if small else grid).select(*names, "dt", sum((F.col(f"w{k}") * F.col(f"r{k}") for k in range(len(tickers))), F.lit(0.0)).alias("ret")), names
 
 
 def sortino_losses(prices: DataFrame, tickers: tuple[str, ...], steps: int = 10, risk_free: float = 0.04) -> DataFrame:

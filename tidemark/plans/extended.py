@@ -113,6 +113,7 @@ _BOOK_PATHS = (
     f"bfi AS (SELECT portfolio, sim, arg_max(value, day) AS v, min(dd) AS mdd, power(arg_max(value, day) / 10000, 252.0 / {_BOOK_DAYS}) - 1 AS c FROM bpa GROUP BY portfolio, sim)"
 )
 query("summary_table", _summary, _with("prices", _MONTHLY + _BM + _BOOK_PATHS + ", dl AS (SELECT x.*, y.m AS median_cagr, y.m - x.cagr AS delta FROM bm x LEFT JOIN (SELECT portfolio, quantile_cont(c, 0.5) AS m FROM bfi GROUP BY portfolio) y ON x.portfolio = y.portfolio) SELECT portfolio, CASE WHEN invested > 10100 THEN 'DCA: $' || format('{:,}', CAST(invested - 10000 AS BIGINT)) ELSE 'Lump Sum' END AS type, " + ", ".join(_r(x, x) for x in ("median_cagr", "cagr", "delta", "vol", "max_dd")) + ", CASE WHEN abs(delta) > 0.05 THEN 'warn' WHEN delta > 0 THEN 'pos' ELSE '' END AS class FROM dl"))
+query("books_history_sizes", lambda s, d: pf.history_sizes(bk.book_returns(prices(s, d).where("dt >= date'2001-10-12'"), weights(s)).where("day > 0")), _with("prices", _PW + ", r0 AS (SELECT portfolio, p.dt FROM prices p JOIN pw ON pw.ticker = p.ticker WHERE p.dt >= DATE '2001-10-12' GROUP BY portfolio, p.dt HAVING count(*) = any_value(k)) SELECT portfolio, count(*) - 1 AS days, count(*) - 1 >= 20 AS enough FROM r0 GROUP BY portfolio HAVING count(*) > 1"))
 query("books_simulated_statistics", lambda s, d: pf.simulation_statistics(_simulated(s, d), _BOOK_DAYS / 252, keys=("portfolio",)), _with("prices", _BOOK + _BOOK_PATHS + " SELECT portfolio, " + ", ".join((_r("avg(v)", "mean_final", 2), _r("quantile_cont(v, 0.5)", "median_final", 2), _r("avg(c)", "mean_cagr"), _r("quantile_cont(c, 0.5)", "median_cagr"), _r("stddev_pop(c)", "std_cagr"), _r("quantile_cont(mdd, 0.5)", "median_mdd"), _r("min(mdd)", "worst_mdd"), _r("quantile_cont(mdd, 0.05)", "p5_mdd"), _r("avg(CASE WHEN v < 10000 THEN 1.0 ELSE 0.0 END)", "p_loss"), _r("avg(CASE WHEN v >= 20000 THEN 1.0 ELSE 0.0 END)", "p_double"))) + " FROM bfi GROUP BY portfolio"), ("mean_final", "median_final"))
 
 # -- bundles -----------------------------------------------------------------------------------------------------------------------
