@@ -390,7 +390,9 @@ def _documents(documents: DataFrame) -> DataFrame:
 def line_links(docs: DataFrame, lines: DataFrame, unique: DataFrame, similarity: float) -> DataFrame:
     """``(h, component)`` of the lines that are linked with others."""
     fuzzy = lines.where(F.size("keys") > 0).select("h", "sim", "n_words", F.explode("keys").alias("key"))
-    shared = staged(fuzzy.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select("key"), "shared")
+    # half of a line's hash tells lines of one key apart here, as all keys are shuffled with it
+    half = F.shiftright("h", 32).cast("int")
+    shared = staged(fuzzy.groupBy("key").agg(F.min(half).alias("x"), F.max(half).alias("y")).where("x < y").select("key"), "shared")
     shared = F.broadcast(shared) if small_enough(shared, BROADCAST_KEYS) else shared
     keyed = staged(fuzzy.join(shared, "key").groupBy("key", "h").agg(F.min("sim").alias("sim"), F.min("n_words").alias("n_words")), "keyed")
     pairs = staged(grouped(tiled(keyed, "key", ["h"], NEAR_TILE), _nearest(similarity), "a long, b long").distinct(), "pairs")
