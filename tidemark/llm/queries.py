@@ -93,6 +93,15 @@ QUERIES = {
 }
 #: Words are runs between the six white space bytes, letters A to Z in lower case.
 _WORDS = r"SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents"
+#: Words of digits, letters in lower case and characters beyond ASCII.
+_RUNS_OF = r"regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _runs(table: str) -> str:
+    """All runs of one to three words ``w`` of each row ``r``."""
+    return f"SELECT r, unnest(list_concat(list_transform(range(1, len(w) + 1), lambda i: w[i]), list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM {table}"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op10_ngram_jaccard_join": f"WITH RECURSIVE w AS ({_WORDS}), sh AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 1) + 1), lambda i: array_to_string(ws[i:i + 2], chr(31)))) AS s FROM w WHERE len(ws) > 0), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), "
     "pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL), lk AS (SELECT x, y FROM pr JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)), "
@@ -111,4 +120,18 @@ ORACLE_SQL: dict[str, str] = {
     r"f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(w.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source "
     r"UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - q.q) * (p.p - q.q) // q.q FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q) "
     r"SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM f QUALIFY part = 'pair' OR rank <= 200",
+    # the checksum is worked out from its table of 256 numbers, which the polynomial gives
+    "op13_importance_resample": "WITH RECURSIVE st(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM st WHERE k < 8), "
+    "tb AS (SELECT list(c ORDER BY i) AS tab FROM st WHERE k = 8), "
+    f"d AS (SELECT row_number() OVER () AS r, doc_id, list_filter({_RUNS_OF}, lambda x: x <> '') AS w FROM documents), "
+    f"b AS (SELECT row_number() OVER () AS r, list_filter({_RUNS_OF}, lambda x: x <> '') AS w FROM benchmark), "
+    f"df AS ({_runs('d')}), bf AS ({_runs('b')}), "
+    "u AS (SELECT DISTINCT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION ALL SELECT f FROM bf)), "
+    "v AS (SELECT f, list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda k: (strpos('0123456789ABCDEF', x[2 * k + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * k + 2]) - 1)) AS y FROM u), "
+    "h AS (SELECT f, xor(list_reduce(y, lambda a, e: xor(a >> 8, tab[(xor(a, e) & 255) + 1])), 4294967295) % 10000 AS bucket FROM v, tb), "
+    "s AS (SELECT bucket, count(*) AS n FROM df JOIN h USING (f) GROUP BY 1), t AS (SELECT bucket, count(*) AS n FROM bf JOIN h USING (f) GROUP BY 1), "
+    "g AS (SELECT range AS bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM range(10000) LEFT JOIN s ON s.bucket = range LEFT JOIN t ON t.bucket = range), "
+    "w AS (SELECT r, count(*) AS n, sum(gain) AS weight FROM df JOIN h USING (f) JOIN g USING (bucket) GROUP BY r), "
+    "o AS (SELECT d.doc_id, len(d.w) >= 20 AS able, coalesce(w.n, 0) AS n_features, coalesce(w.weight, 0)::BIGINT AS weight, coalesce(w.weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w ON w.r = d.r) "
+    "SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 5 * (SELECT count(*) FROM o WHERE able) // 100 THEN k END AS rank FROM (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST) AS k FROM o)",
 }
