@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import secret_scan as ss
-from tidemark.llm.cap_filters import embedding_links
+from tidemark.llm.cap_filters import FEW, embedding_links
 from tidemark.llm.language_id import accepted, language_id
 from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.packing import best_fit_packing
@@ -57,7 +57,9 @@ def test_jaccard_of_ninety_with_a_hot_passage(spark):
         assert got == {i: (len(sets[i]), comp[i]) for i in range(len(texts))}
 
 
-def test_embedding_pairs_at_the_threshold(spark):
+@pytest.mark.parametrize("others", [1000, FEW + 3000])
+def test_embedding_pairs_at_the_threshold(spark, others):
+    """Few vectors, all pairs of which are compared, and more, which meet in their filters."""
     ship(spark)
     rng = np.random.default_rng(3)
     a, z = rng.standard_normal((2, 500, 64))
@@ -65,14 +67,14 @@ def test_embedding_pairs_at_the_threshold(spark):
     z -= (z * a).sum(1, keepdims=True) * a
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     cos = rng.uniform(0.9001, 0.93, (500, 1))
-    x = np.concatenate((a, cos * a + np.sqrt(1 - cos**2) * z, rng.standard_normal((1000, 64))))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [float("inf")] * 64), (5002, [0.0] * 64)]
+    x = np.concatenate((a, cos * a + np.sqrt(1 - cos**2) * z, rng.standard_normal((others, 64))))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50_000, None), (50_001, [float("inf")] * 64), (50_002, [0.0] * 64)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"key": F.lit(1), "part": F.lit(2), "n_links": F.lit(3)})
     got = embedding_links(table).toPandas().set_index("vec_id").sort_index()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = (u @ u.T >= 0.9).sum(axis=1) - 1
-    assert (got["n_links"].to_numpy()[:2000] <= want).all() and got["n_links"].sum() >= 0.98 * want.sum()
-    assert (got.loc[5000:, "n_links"] == 0).all() and (got["kept"] == (got.index == got["component_id"])).all()
+    assert (got["n_links"].to_numpy()[: len(x)] <= want).all() and got["n_links"].sum() >= 0.98 * want.sum()
+    assert (got.loc[50_000:, "n_links"] == 0).all() and (got["kept"] == (got.index == got["component_id"])).all()
 
 
 def test_planted_keys_of_other_kinds_are_found(spark):
