@@ -6,6 +6,8 @@ bytes of an Arrow column, block by block, so memory does not follow a text's len
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +78,14 @@ def parts(batches: Iterator[pa.RecordBatch], size: int = PART, column: str = "te
             j = max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that a task has freed to the machine; else a worker keeps it beside the JVM until its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 _PRINTABLE = (np.arange(256) > 32) & (np.arange(256) < 127)
