@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,13 +135,14 @@ def test_falls_within_sliding_frames(spark):
             assert got[i] == pytest.approx(want) if want[0] is not None else got[i] == want
 
 
-def test_density_is_the_direct_sum(spark):
+@pytest.mark.parametrize("n, error", [(3000, 1e-12), (40_000, 1e-6)])
+def test_density_is_the_direct_sum(spark, n, error):
     rng = np.random.default_rng(4)
-    v = rng.normal(size=3000)
-    got = density(spark.createDataFrame([(float(x),) for x in v], "v double"), "v", points=50).orderBy("k").toPandas()
-    h = v.std(ddof=1) * 3000**-0.2
-    want = np.exp(-0.5 * ((got["x"].to_numpy()[:, None] - v) / h) ** 2).sum(axis=1) / (3000 * h * np.sqrt(2 * np.pi))
-    assert got["y"].to_numpy() == pytest.approx(want, abs=1e-6)
+    v = rng.normal(size=n)
+    got = density(spark.createDataFrame(pd.DataFrame({"v": v})), "v", points=50).orderBy("k").toPandas()
+    h = v.std(ddof=1) * n**-0.2
+    want = np.exp(-0.5 * ((got["x"].to_numpy()[:, None] - v) / h) ** 2).sum(axis=1) / (n * h * np.sqrt(2 * np.pi))
+    assert got["y"].to_numpy() == pytest.approx(want, abs=error)
     assert density(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v").count() == 0
 
 

@@ -32,6 +32,6 @@ def exact_percentiles(rows: DataFrame, key: str, value: str, wanted: dict[str, f
     for q in wanted.values():
         at = (F.col("n").cast("double") - 1) * q
         low = F.floor(at)
-        part = at - low
-        picked.append(F.sum(F.when(F.col("place") == low, F.col(value) * (1 - part)).when(F.col("place") == low + 1, F.col(value) * part)))
+        below, above = (F.max(F.when(F.col("place") == low + k, F.col(value))) for k in (0, 1))
+        picked.append(below + F.coalesce((above - below) * F.max(at - low), F.lit(0.0)))
     return placed.groupBy(key).agg(*(p.alias(name) for p, name in zip(picked, wanted, strict=True)))

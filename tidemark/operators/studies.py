@@ -146,8 +146,9 @@ def guarded(losses: DataFrame, prices: DataFrame, tickers: tuple[str, ...], labe
 def density(values: DataFrame, column: str, points: int = 200, clip: float = 0.01, bins: int = 1 << 15, key: str | None = None) -> DataFrame:
     """``(k, x, y)``, after ``key`` if there is one: a Gaussian density with Scott's bandwidth between two percentiles.
 
-    Each value is shared between the two nearest of ``bins`` even places, and the kernel is summed over the places, so the work at the points
-    does not grow with the values; the places are far closer than the bandwidth. Without two different values there is none.
+    The kernel is summed over places: the values themselves where there are no more than ``bins``; of more, each is shared between the two nearest
+    of so many even places, which are far closer than the bandwidth. So the work at the points does not grow with the values. Without two
+    different values there is none.
     """
     rows = values.select((F.col(key) if key else F.lit(0)).alias("_key"), F.col(column).cast("double").alias("v")).where("v is not null")
     shape = rows.groupBy("_key").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_samp("v").alias("sd"), F.count("*").alias("n")).where("sd > 0")
@@ -155,12 +156,14 @@ def density(values: DataFrame, column: str, points: int = 200, clip: float = 0.0
     shape = staged(shape.select("*", ((F.col("high") - F.col("low")) / bins).alias("width"), (F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))).alias("h")), "shapes")
     at = (F.col("v") - F.col("low")) / F.col("width")
     cell = F.least(F.floor(at), F.lit(bins - 1))
-    shared = F.array(F.struct(cell.alias("cell"), (1 - (at - cell)).alias("w")), F.struct((cell + 1).alias("cell"), (at - cell).alias("w")))
-    cells = rows.join(shape, "_key").select("_key", F.explode(shared).alias("s")).groupBy("_key", "s.cell").agg(F.sum("s.w").alias("w")).where("w > 0")
+    place = lambda k: F.col("low") + (cell + k) * F.col("width")
+    shared = F.array(F.struct(place(0).alias("place"), (1 - (at - cell)).alias("w")), F.struct(place(1).alias("place"), (at - cell).alias("w")))
+    shared = F.when(F.col("n") <= bins, F.array(F.struct(F.col("v").alias("place"), F.lit(1.0).alias("w")))).otherwise(shared)
+    cells = rows.join(shape, "_key").select("_key", F.explode(shared).alias("s")).groupBy("_key", "s.place").agg(F.sum("s.w").alias("w")).where("w > 0")
     # of a key no more rows than places times points
     near = cells.join(shape, "_key").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
     near = near.withColumn("x", F.col("first") + (F.col("last") - F.col("first")) * F.col("k") / (points - 1))
-    u = (F.col("x") - (F.col("low") + F.col("cell") * F.col("width"))) / F.col("h")
+    u = (F.col("x") - F.col("place")) / F.col("h")
     out = near.groupBy("_key", "k", "x").agg((F.sum(F.col("w") * F.exp(-0.5 * u * u)) / F.first("n") / F.first("h") / 2.5066282746310002).alias("y"))
     return out.select(*([F.col("_key").alias(key)] if key else []), "k", "x", "y")
 
