@@ -115,6 +115,29 @@ def test_tiles_equal_numpy(spark):
         assert r["corr"] is None if 5 in (int(a[1:]), int(b[1:])) else r["corr"] == pytest.approx(c[0, 1] / np.sqrt(c[0, 0] * c[1, 1]))
 
 
+def test_tiles_meet_without_copies_of_the_returns(spark):
+    """Series of many periods, names beyond ASCII, a repeated period, and a plan in which no return is copied for each tile."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1300, 9))
+    names = ["a", "Z", "ä", "\U0001f600", "￮", "10", "9", "b", ""]
+    x[:900, 7] = np.nan
+    x[901:, 8] = np.nan
+    rows = [(names[j], DAY + dt.timedelta(days=i), float(x[i, j])) for i in range(1300) for j in range(9) if not np.isnan(x[i, j])]
+    rows += [rows[0], ("lone", DAY, 1.0), ("none", DAY, None), (None, DAY, 1.0), ("nan", DAY, float("nan"))]
+    tiles = wd.covariance_tiles(spark.createDataFrame(rows, "asset string, dt date, ret double").repartition(3), tile=3)
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroups" not in plan
+    got = {(r["a"], r["b"]): (r["n"], r["cov"]) for r in tiles.collect()}
+    want = {}
+    for i in range(9):
+        for j in range(9):
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if names[i] <= names[j] and ok.sum() > 1:
+                want[names[i], names[j]] = (ok.sum(), pytest.approx(np.cov(x[ok, i], x[ok, j])[0, 1], abs=1e-12))
+    assert got == want and ("", "b") not in got
+    assert wd.covariance_tiles(spark.createDataFrame([], "asset string, dt date, ret double")).count() == 0
+
+
 def test_drawn_weights_fill_the_simplex(spark):
     w = wd.drawn_weights(spark, 12, 4000).toPandas().drop(columns="i").to_numpy()
     assert w.sum(axis=1) == pytest.approx(1) and (w >= 0).all()

@@ -8,54 +8,93 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import YEAR, ratio
-
-#: Assets of a tile.
-TILE = 64
+from tidemark.session import staged
+
+#: Assets of a tile, and values of a tile, at most (a single asset may have more).
+TILE, VALUES = 1024, 1 << 20
+#: Parts of the tiles: each two parts meet in a task.
+PARTS = 200
+#: Periods, and rows of the result, that a task holds as matrices at a time.
+PERIODS, ROWS = 512, 1 << 16
 _SUMS = "a string, b string, n long, cov double, corr double"
 
 
-def _gram(key: tuple, table: pa.Table) -> pa.Table:
+def _series(held: pa.ListScalar) -> tuple[list[str], pa.Array, np.ndarray, np.ndarray]:
+    """The assets of a tile, and of all their values the period, the asset's place and the value."""
+    names, days, rets = held.values.flatten()
+    return names.to_pylist(), days.flatten(), np.repeat(np.arange(len(names)), np.diff(days.offsets.to_numpy())), rets.flatten().to_numpy()
+
+
+def _moments(x: tuple, y: tuple) -> list[np.ndarray]:
+    """For each asset of x and each of y, over the periods that both have: how many, the sums of both, of their product and of their squares."""
+    day = pa.concat_arrays([x[1], y[1]]).dictionary_encode().indices.to_numpy()
+    sides, shared = np.split(day, [len(x[1])]), np.ones(day.max(initial=-1) + 1, bool)
+    for d in sides:
+        shared &= np.bincount(d, minlength=len(shared)) > 0
+    place, total = np.cumsum(shared) - 1, [np.zeros((len(x[0]), len(y[0]))) for _ in range(6)]
+    rows = []
+    for (names, _, who, ret), d in zip((x, y), sides, strict=True):
+        keep = np.flatnonzero(shared[d])
+        keep = keep[np.argsort(place[d[keep]], kind="stable")]
+        rows.append((len(names), place[d[keep]], who[keep], ret[keep]))
+    for low in range(0, int(shared.sum()), PERIODS):
+        dense = []
+        for assets, at, who, ret in rows:
+            i, j = np.searchsorted(at, [low, low + PERIODS])
+            v, there = np.zeros((PERIODS, assets)), np.zeros((PERIODS, assets))
+            v[at[i:j] - low, who[i:j]], there[at[i:j] - low, who[i:j]] = ret[i:j], 1
+            dense += [v, there]
+        a, ma, b, mb = dense
+        for t, (left, right) in zip(total, ((ma, mb), (a, mb), (ma, b), (a, b), (a * a, mb), (ma, b * b)), strict=True):
+            t += left.T @ right
+    return total
+
+
+def _gram(batches):
     """Covariances of the assets of two tiles over the periods that both have; of one tile with itself each pair once."""
-    name, day = (table.column(c).combine_chunks().dictionary_encode() for c in ("asset", "dt"))
-    x = np.full((len(day.dictionary), len(name.dictionary)), np.nan)
-    x[day.indices.to_numpy(), name.indices.to_numpy()] = table.column("ret").to_numpy()
-    names = np.array(name.dictionary.to_pylist(), object)
-    side = np.zeros(len(names), np.int64)
-    side[name.indices.to_numpy()] = table.column("side").to_numpy()
-    left, right = (np.flatnonzero(side <= 0), np.flatnonzero(side >= 0))
-    there = (~np.isnan(x)).astype(float)
-    v = np.where(np.isnan(x), 0.0, x)
-    a, b, ma, mb = v[:, left], v[:, right], there[:, left], there[:, right]
-    n = ma.T @ mb
-    with np.errstate(invalid="ignore", divide="ignore"):
-        sx, sy = a.T @ mb, ma.T @ b
-        cov = (a.T @ b - sx * sy / n) / (n - 1)
-        vx, vy = ((a * a).T @ mb - sx * sx / n) / (n - 1), (ma.T @ (b * b) - sy * sy / n) / (n - 1)
-        corr = np.where((vx > 0) & (vy > 0), cov / np.sqrt(vx * vy), np.nan)
-    keep = n >= 2
-    if left is right or np.array_equal(left, right):
-        keep &= names[left][:, None] <= names[right][None, :]
-    i, j = np.nonzero(keep)
-    p, q = names[left][i], names[right][j]
-    first = p <= q
-    c = corr[i, j]
-    return pa.table({"a": pa.array(np.where(first, p, q), pa.string()), "b": pa.array(np.where(first, q, p), pa.string()), "n": pa.array(n[i, j].astype(np.int64)), "cov": pa.array(cov[i, j]), "corr": pa.array(c, pa.float64(), mask=np.isnan(c))})
+    for batch in batches:
+        for lo, hi, left, right in zip(*(batch.column(c) for c in ("lo", "hi", "x", "y")), strict=True):
+            x, y = _series(left), _series(right)
+            total = _moments(x, y)
+            names = sorted({*x[0], *y[0]})
+            rank = {a: k for k, a in enumerate(names)}
+            p, q = (np.array([rank[a] for a in side[0]], np.int32) for side in (x, y))
+            names, step = pa.array(names, pa.string()), max(1, ROWS // len(q))
+            for k in range(0, len(p), step):
+                n, sx, sy, sxy, sxx, syy = (t[k : k + step] for t in total)
+                own = p[k : k + step]
+                keep = n >= 2
+                if lo == hi:
+                    keep &= own[:, None] <= q
+                i, j = np.nonzero(keep)
+                n, sx, sy, sxy, sxx, syy = (t[keep] for t in (n, sx, sy, sxy, sxx, syy))
+                cov, vx, vy = (sxy - sx * sy / n) / (n - 1), (sxx - sx * sx / n) / (n - 1), (syy - sy * sy / n) / (n - 1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    corr = cov / np.sqrt(vx * vy)
+                columns = [names.take(pa.array(f(own[i], q[j]))) for f in (np.minimum, np.maximum)]
+                corr = pa.array(corr, pa.float64(), mask=~((vx > 0) & (vy > 0)) | np.isnan(corr))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64)), pa.array(cov), corr], names=["a", "b", "n", "cov", "corr"])
 
 
 def covariance_tiles(returns: DataFrame, tile: int = TILE) -> DataFrame:
     """``(a, b, n, cov, corr)`` for every two assets (a <= b) of ``returns`` (asset, dt, ret) with two common periods or more: sample covariance and
     correlation over the periods that both have.
 
-    Assets are dealt to tiles; each two tiles meet in a group of their own, which holds the series of twice ``tile`` assets, whatever
-    their number. Of a period that repeats one value counts; rows with nulls count for nothing.
+    Assets are dealt to tiles of about ``tile`` series, fewer where these are long. A tile is a row; each two tiles meet in a row of the tiles' product
+    with themselves, which reads them from where they were written once, so what is shuffled and written follows the returns, not the
+    pairs. Of a period that repeats one value counts; rows with nulls count for nothing.
     """
     rows = returns.select(F.col("asset").cast("string").alias("asset"), "dt", F.col("ret").cast("double").alias("ret")).na.drop()
-    tiles = max(1, -(-rows.select("asset").distinct().count() // tile))
-    own = F.pmod(F.xxhash64("asset"), F.lit(tiles)).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
-    rows = rows.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "asset", "dt", "ret")
-    return rows.groupBy("lo", "hi").applyInArrow(_gram, _SUMS)
+    series = rows.groupBy("asset").agg(F.collect_list(F.struct("dt", "ret")).alias("s")).select("asset", F.col("s.dt").alias("days"), F.col("s.ret").alias("rets"))
+    series = staged(series, "series")
+    assets, values = series.agg(F.count("*"), F.coalesce(F.sum(F.size("days")), F.lit(0))).first()
+    tiles = max(1, -(-assets // tile), -(-values // VALUES))
+    held = series.groupBy(F.pmod(F.xxhash64("asset"), F.lit(tiles)).alias("k")).agg(F.collect_list(F.struct("asset", "days", "rets")).alias("held"))
+    # as many parts as tiles, else few tasks would do most pairs
+    held = staged(held, "tiles").repartitionByRange(min(tiles, PARTS), "k")
+    side = lambda k, x: held.select(F.col("k").alias(k), F.col("held").alias(x))
+    # of two tiles either may come first, so that each meets half of the others
+    return side("lo", "x").crossJoin(side("hi", "y")).where("lo = hi or (lo < hi) = ((lo + hi) % 2 = 0)").mapInArrow(_gram, _SUMS)
 
 
 # -- drawn weights ---------------------------------------------------------------------------------------------------------------
