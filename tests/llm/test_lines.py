@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.line_dedup import dedup_lines, edit_similarity, line_groups
+from tidemark.llm.line_dedup import _shared, block_keys, dedup_lines, edit_similarity, line_groups
 from tidemark.session import ship
 
 WORDS = "the of and river stone cloud maple tiger harbor window silver garden planet velvet copper meadow lantern".split()
@@ -126,3 +127,22 @@ def test_clashing_columns_nulls_and_repeated_rows(spark):
     kept = {r["h"]: (r["text"], r["n_dropped"]) for r in got.collect()}
     assert kept["w"] == ("", 1) and kept[None] == ("a b c d e", 0) and len(kept) == 4
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_keys_of_several_lines_are_counted_once_a_line(spark):
+    """Copies of a line count once, the sizes are those of all pairs, and upper bits tell keys apart."""
+    ship(spark)
+    rng = random.Random(8)
+    h = [rng.randrange(-(2**63), 2**63) for _ in range(300)]
+    keys = [[rng.randrange(400) for _ in range(rng.randrange(6))] + ([2**40 - 1] if i % 2 else []) for i in range(300)]
+    rows = [(h[i], keys[i]) for i in range(300)] * 3 + [(h[1], keys[1])] * 2000
+    want: dict = {}
+    for x, ks in zip(h, keys, strict=True):
+        for k in ks:
+            want.setdefault(k, set()).add(x)
+    got = {r["key"]: r["size"] for r in _shared(spark.createDataFrame(rows, "h long, keys array<long>").repartition(5)).collect()}
+    assert got == {k: len(v) for k, v in want.items() if len(v) > 1}
+    # one word once or twice gives equal bits of a block, and other numbers of words
+    words = np.array([7] * 12 + [7] * 13, np.uint64)
+    found, at = block_keys(words, np.full(25, 9), np.array([0, 12, 25]))
+    assert at[1] and not {*(found[: at[1]] >> np.uint64(24)).tolist()} & {*(found[at[1] :] >> np.uint64(24)).tolist()}

@@ -37,6 +37,10 @@ BROADCAST_KEYS = 2_000_000
 NEAR_TILE = 4096
 #: Runs of up to so many lines of one key are compared together with all others of that kind.
 TOGETHER = 16
+#: Bits of a line's hash that tell lines of one key apart while keys are counted; a key is named by the others of 64.
+TOLD = np.uint64(24)
+#: Keys that a task sends at a time, and about as many in a group where they are counted.
+SENT = 1 << 20
 LINES = "doc_id long, line_no int, h long, sim long, n_words int, keys array<long>"
 #: Bits in which the SimHashes of lines of similarity 0.8 differ at most, but for one pair in forty.
 FAR = 19
@@ -90,7 +94,9 @@ def simhashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     line = np.repeat(np.arange(len(at) - 1), np.diff(at))
     tagged = h ^ mix(line.astype(np.uint64) + np.uint64(1))
-    order = np.argsort(tagged)
+    # equal words meet in the order of the upper bits; the lower ones hold their places
+    low = np.uint64((1 << len(h).bit_length()) - 1)
+    order = (np.sort(tagged & ~low | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
     again = (tagged[order[1:]] == tagged[order[:-1]]) & (line[order[1:]] == line[order[:-1]])
     new = np.ones(len(h), bool)
     new[order[1:][again]] = False
@@ -118,8 +124,7 @@ def _dealt(words: np.ndarray, size: np.ndarray, line: np.ndarray, n: np.ndarray,
     """``(line, key)`` of the blocks in use."""
     letters_of, words_of = np.bincount(line, size, lines), np.bincount(line, minlength=lines)
     short, middling = letters_of < SHORT_WORDS * words_of, letters_of < MIDDLING_WORDS * words_of
-    per = np.bincount(line, minlength=lines)
-    most = int(per.max(initial=0))
+    most = int(words_of.max(initial=0))
     for number, (least, last, deals, g) in enumerate(bands):
         if least > most:
             break
@@ -135,18 +140,19 @@ def _dealt(words: np.ndarray, size: np.ndarray, line: np.ndarray, n: np.ndarray,
                 break
             tag = np.uint64((salt * 1000003 + number * 7 + deal + 1) * 0x9E3779B97F4A7C15 % 2**64)
             block = ((mix(words[chosen] ^ tag) >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)).astype(np.int64)
-            place = line[chosen] * g + block
-            order = np.argsort(place, kind="stable")
-            where, place = chosen[order], place[order]
+            # numbers that hold place and order are sorted faster than an order is found
+            bits = np.uint64(len(chosen).bit_length())
+            place = np.sort((line[chosen] * g + block).astype(np.uint64) << bits | np.arange(len(chosen), dtype=np.uint64))
+            where, place = chosen[(place & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)], (place >> bits).astype(np.int64)
             at = np.append(np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))), len(place))
             count = np.diff(at)
             enough = (np.add.reduceat(size[where], at[:-1]) >= LETTERS) | (short[place[at[:-1]] // g] & (count >= TOGETHER_WORDS))
             used = np.flatnonzero(enough)
             if not len(used):
                 continue
-            bits = votes(words[where], at)[used]
+            sim = votes(words[where], at)[used]
             place = place[at[:-1]][used]
-            yield place // g, mix(bits + mix((place % g).astype(np.uint64) + tag)) + count[used].astype(np.uint64)
+            yield place // g, mix(mix(sim + mix((place % g).astype(np.uint64) + tag)) + count[used].astype(np.uint64))
 
 
 def block_keys(words: np.ndarray, size: np.ndarray, at: np.ndarray, min_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +220,7 @@ def _lines(min_words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[rows[owner[ok]]], pa.int64()), pa.array(number[ok], pa.int32()), pa.array(signed(whole)), pa.array(signed(simhashes(words, wat))), pa.array(n[ok], pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(signed(keys))),
+                        pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(signed(keys >> TOLD))),
                     ],
                     names=["doc_id", "line_no", "h", "sim", "n_words", "keys"],
                 )
@@ -222,6 +228,51 @@ def _lines(min_words: int):
     return run
 
 
+def _sent(groups: int):
+    """``(part, codes)``: each key with some bits of its line's hash, as sorted numbers that occur once, dealt to groups by the key."""
+    edges = np.array([-(-(k << 64) // groups) for k in range(1, groups)], np.uint64) >> TOLD << TOLD
+
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        codes = np.sort(np.concatenate(held))
+        codes = codes[np.concatenate(([True], codes[1:] != codes[:-1]))]
+        at = np.concatenate(([0], np.searchsorted(codes, edges), [len(codes)]))
+        some = np.flatnonzero(np.diff(at))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([codes[at[k] : at[k + 1]].tobytes() for k in some.tolist()], pa.binary())], names=["part", "codes"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            keys = batch.column("keys")
+            line = batch.column("h").to_numpy().view(np.uint64) >> (np.uint64(64) - TOLD)
+            size = np.diff(keys.offsets.to_numpy())
+            codes = keys.flatten().to_numpy().view(np.uint64) << TOLD | np.repeat(line, size)
+            held.append(codes)
+            n += len(codes)
+            if n >= SENT:
+                yield send(held)
+                held, n = [], 0
+        if n:
+            yield send(held)
+
+    return run
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """``(key, size)``: the keys that two lines or more have, and how many."""
+    codes = np.sort(np.frombuffer(b"".join(x.as_py() for x in table.column("codes")), np.uint64))
+    key = codes[np.concatenate(([True], codes[1:] != codes[:-1]))] >> TOLD
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    many = np.flatnonzero(np.diff(at) > 1)
+    return pa.table({"key": signed(key[at[many]]), "size": np.diff(at)[many]})
+
+
+def _shared(lines: DataFrame) -> DataFrame:
+    """``(key, size)``: the keys that two lines or more have, and how many have them (but for a few whose hashes have equal bits)."""
+    total = lines.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    sent = lines.select("h", "keys").mapInArrow(_sent(max(1, -(-total // SENT))), "part long, codes binary")
+    return staged(sent.groupBy("part").applyInArrow(_counted, "key long, size long"), "shared")
+
+
 def _apart(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float) -> np.ndarray:
     """The bits in which lines differ; 65 if their lengths forbid the similarity."""
     differing = np.bitwise_count(x ^ y).astype(np.uint8)
@@ -337,6 +388,10 @@ def edit_similarity(x: list, y: list, least: float) -> bool:
     x, y = x[a : len(x) - b], y[a : len(y) - b]
     if not y:
         return len(x) <= most
+    # each word that the other line lacks takes an edit
+    p, q = set(x), set(y)
+    if len(p - q) > most or len(q - p) > most:
+        return False
     # a column of the distance table at a time, its steps up and down as the bits of two numbers
     places: dict = {}
     for i, word in enumerate(x):
@@ -390,12 +445,10 @@ def _documents(documents: DataFrame) -> DataFrame:
 def line_links(docs: DataFrame, lines: DataFrame, unique: DataFrame, similarity: float) -> DataFrame:
     """``(h, component)`` of the lines that are linked with others."""
     fuzzy = lines.where(F.size("keys") > 0).select("h", "sim", "n_words", F.explode("keys").alias("key"))
-    # half of a line's hash tells lines of one key apart here, as all keys are shuffled with it
-    half = F.shiftright("h", 32).cast("int")
-    shared = staged(fuzzy.groupBy("key").agg(F.min(half).alias("x"), F.max(half).alias("y")).where("x < y").select("key"), "shared")
+    shared = _shared(lines)
     shared = F.broadcast(shared) if small_enough(shared, BROADCAST_KEYS) else shared
-    keyed = staged(fuzzy.join(shared, "key").groupBy("key", "h").agg(F.min("sim").alias("sim"), F.min("n_words").alias("n_words")), "keyed")
-    pairs = staged(grouped(tiled(keyed, "key", ["h"], NEAR_TILE), _nearest(similarity), "a long, b long").distinct(), "pairs")
+    keyed = staged(fuzzy.join(shared, "key").groupBy("key", "h").agg(F.min("sim").alias("sim"), F.min("n_words").alias("n_words"), F.min("size").alias("size")), "keyed")
+    pairs = staged(grouped(tiled(keyed, "key", ["h"], NEAR_TILE, keyed.count()), _nearest(similarity), "a long, b long").distinct(), "pairs")
     links = staged(_similar(pairs, docs, unique, similarity), "links")
     found = staged(connected_components(links).withColumnRenamed("node", "h"), "found")
 
@@ -404,13 +457,16 @@ def line_links(docs: DataFrame, lines: DataFrame, unique: DataFrame, similarity:
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), mark).where("low <> high and size > 2")
     # keys with equal lines are compared once
     first = staged(open_keys.groupBy("mark", "size").agg(F.min("key").alias("key")), "first")
-    members = placed.join(F.broadcast(first.select("key")) if small_enough(first, BROADCAST_KEYS) else first.select("key"), "key", "left_semi").select("key", "h", "sim", "n_words", "comp")
-    near = staged(grouped(tiled(members, "key", ["h"], NEAR_TILE), _crossing(similarity), "key long, h long").distinct(), "near")
+    members = placed.join(F.broadcast(first.select("key")) if small_enough(first, BROADCAST_KEYS) else first.select("key"), "key", "left_semi").select("key", "h", "sim", "n_words", "comp", "size")
+    rows = first.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    near = staged(grouped(tiled(members, "key", ["h"], NEAR_TILE, rows), _crossing(similarity), "key long, h long").distinct(), "near")
     if near.limit(1).count():
         texts = _line_texts(near.select("h").distinct(), docs, unique)
-        again = members.join(near, ["key", "h"], "left_semi").join(texts, "h")
+        again = members.drop("size").join(near, ["key", "h"], "left_semi").join(texts, "h")
         more = staged(grouped(tiled(again, "key", ["h"]), _verified(similarity), "a long, b long").distinct(), "more")
-        found = staged(connected_components(links.unionByName(more)).withColumnRenamed("node", "h"), "found")
+        # what is held together already stands for its links
+        held = found.select(F.col("h").alias("a"), F.col("component").alias("b"))
+        found = staged(connected_components(held.unionByName(more)).withColumnRenamed("node", "h"), "found")
     return found
 
 

@@ -21,13 +21,22 @@ TILE = 2048
 BROADCAST_KEYS = 300_000
 
 
-def tiled(df: DataFrame, key: str, by: list[str], tile: int = TILE) -> DataFrame:
-    """``df`` with columns part, lo, hi, side: group by the first three; side is -1 for rows of tile lo, 1 for those of tile hi, and 0
-    where the two are one. Keys that one row has are left out. ``by``: columns that tell a key's rows apart.
-    """
+def _with_sizes(df: DataFrame, key: str) -> tuple[int, DataFrame]:
+    """The rows of the keys that several rows have: how many, and with the column size."""
     size = staged(df.groupBy(key).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     rows, keys = size.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    rows_of = df.join(F.broadcast(size) if keys <= BROADCAST_KEYS else size, key)
+    return rows, df.join(F.broadcast(size) if keys <= BROADCAST_KEYS else size, key)
+
+
+def tiled(df: DataFrame, key: str, by: list[str], tile: int = TILE, rows: int | None = None) -> DataFrame:
+    """``df`` with columns part, lo, hi, side: group by the first three; side is -1 for rows of tile lo, 1 for those of tile hi, and 0
+    where the two are one. Keys that one row has are left out. ``by``: columns that tell a key's rows apart. ``rows``: the number of
+    rows of a ``df`` whose column size has the number of its key's rows (about; above 1 where there are more); without it they are counted.
+    """
+    if rows is None:
+        rows, rows_of = _with_sizes(df, key)
+    else:
+        rows_of = df.where("size > 1")
     rows_of = rows_of.withColumn("tiles", F.ceil(F.col("size") / tile)).withColumn("own", F.pmod(F.xxhash64(key, *by), F.col("tiles")))
     others = F.when(F.col("tiles") > 1, F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).otherwise(F.array(F.lit(0).cast("long")))
     both = rows_of.withColumn("other", F.explode(others))
