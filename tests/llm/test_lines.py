@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.line_dedup import _shared, block_keys, dedup_lines, edit_similarity, line_groups
+from tidemark.llm.line_dedup import _lines, _shared, _Words, block_keys, dedup_lines, edit_similarity, line_groups, votes
 from tidemark.session import ship
 
 WORDS = "the of and river stone cloud maple tiger harbor window silver garden planet velvet copper meadow lantern".split()
@@ -146,3 +147,41 @@ def test_keys_of_several_lines_are_counted_once_a_line(spark):
     words = np.array([7] * 12 + [7] * 13, np.uint64)
     found, at = block_keys(words, np.full(25, 9), np.array([0, 12, 25]))
     assert at[1] and not {*(found[: at[1]] >> np.uint64(24)).tolist()} & {*(found[at[1] :] >> np.uint64(24)).tolist()}
+
+
+def test_copies_that_a_task_meets_have_keys_once():
+    rng = random.Random(9)
+    texts = [_line(rng, n) for n in (6, 12, 30, 90)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [" ".join(texts[i % 4]) + "\n" + " ".join(texts[0]).upper() for i in range(40)]})
+    got = pa.Table.from_batches(_lines(5)(iter([rows.slice(0, 20), rows.slice(20)]))).to_pylist()
+    assert len(got) == 80 and len({x["h"] for x in got}) == 4
+    assert sorted(len({x["h"]} if x["keys"] else ()) for x in got) == [0] * 76 + [1] * 4
+
+
+def test_pairs_told_apart_together_are_those_of_counted_edits():
+    rng = random.Random(10)
+    pairs = []
+    for n in [*range(1, 40), 70, 130, 300]:
+        for few in (3, 12, 1000):
+            x = [f"w{rng.randrange(few)}" for _ in range(n)]
+            for k in range(8):
+                y = list(x)
+                for _ in range(rng.randrange(n // 3 + 2)):
+                    p = rng.randrange(len(y) + 1)
+                    y[p : p + rng.randrange(2)] = [f"w{rng.randrange(few)}"] * rng.randrange(2)
+                pairs.append((x, rng.sample(y, len(y)) if k == 7 else y))
+    size = len(pairs)
+    words = _Words(pa.array([" ".join(p[side]) for side in (0, 1) for p in pairs]), 0.8)
+    want = [edit_similarity(*p, 0.8) for p in pairs]
+    assert words.similar(np.arange(size), np.arange(size, 2 * size)).tolist() == want and 0.2 * size < sum(want) < 0.8 * size
+
+
+def test_votes_are_those_of_most_hashes_in_runs_of_any_length():
+    rng = np.random.default_rng(11)
+    n = np.array([1, 2, 3, 64, 65, 200, 255, 256, 300, 5, 70001])
+    start = np.array([7, 0, 3, 11, 2, 1, 90, 40, 5, 9, 13])
+    h = rng.integers(0, 2**64, 80000, np.uint64)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+    want = [np.packbits(2 * bits[a : a + k].sum(axis=0, dtype=np.int64) > k).view(np.uint64)[0] for a, k in zip(start, n, strict=True)]
+    assert votes(h, start, n).tolist() == [int(x) for x in want]
+    assert len(votes(h, start[:0], n[:0])) == 0

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.graph import connected_components
 from tidemark.llm.text import _FOLDED as FOLDED
 from tidemark.llm.text import LINES as AT_LINES
-from tidemark.llm.text import as_array, blocks, mix, parts, segment_hashes, signed, word_spans
+from tidemark.llm.text import as_array, blocks, mix, parts, segment_hashes, signed, word_hashes, word_spans
 from tidemark.llm.tiles import grouped, runs, short_runs, tiled
 from tidemark.session import small_enough, staged
 
@@ -41,6 +41,8 @@ TOGETHER = 16
 TOLD = np.uint64(24)
 #: Keys that a task sends at a time, and about as many in a group where they are counted.
 SENT = 1 << 20
+#: Lines that a task remembers, so that copies have keys once (8 bytes each).
+SEEN = 1 << 20
 LINES = "doc_id long, line_no int, h long, sim long, n_words int, keys array<long>"
 #: Bits in which the SimHashes of lines of similarity 0.8 differ at most, but for one pair in forty.
 FAR = 19
@@ -68,23 +70,49 @@ def _lanes() -> np.ndarray:
 
 _LANES = _lanes()
 #: Words whose bits a lane of eight bits can count.
-_COUNTED = 255
-
-
-def votes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each run of hashes the bits that more than half of them have (no run is empty)."""
-    n = np.diff(at)
-    ones = np.empty((len(n), 8), np.uint64)
-    raw, total = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), np.zeros(len(h) + 1, np.uint64)
-    for k in range(8):
-        # running sums wrap around, their differences do not
-        np.cumsum(_LANES[raw[:, k]], out=total[1:])
-        edge = total[at]
-        np.subtract(edge[1:], edge[:-1], out=ones[:, k])
-    most = ones.view(np.uint8).reshape(-1, 64) > (np.minimum(n, _COUNTED) >> 1).astype(np.uint8)[:, None]
-    for i in np.flatnonzero(n > _COUNTED):
-        most[i] = 2 * sum(np.unpackbits(raw[a : min(a + 65536, at[i + 1])], axis=1).sum(axis=0, dtype=np.int64) for a in range(at[i], at[i + 1], 65536)) > n[i]
-    return np.packbits(most, axis=1).view(np.uint64).ravel()
+COUNTED = 255
+#: Runs of up to so many words are counted bit by bit, all at once.
+SLICED = 64
+
+
+def votes(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each run of ``n`` hashes from ``start`` on the bits that more than half of them have (no run is empty)."""
+    out = np.empty(len(n), np.uint64)
+    long = np.flatnonzero((n > SLICED) & (n <= COUNTED))
+    if len(long):
+        end = np.cumsum(n[long])
+        edge = np.concatenate(([0], end))
+        raw = h[np.arange(end[-1]) + np.repeat(start[long] - edge[:-1], n[long])].view(np.uint8).reshape(-1, 8)
+        ones, total = np.empty((len(long), 8), np.uint64), np.zeros(len(raw) + 1, np.uint64)
+        for k in range(8):
+            # running sums wrap around, their differences do not
+            np.cumsum(_LANES[raw[:, k]], out=total[1:])
+            ones[:, k] = np.diff(total[edge])
+        out[long] = np.packbits(ones.view(np.uint8).reshape(-1, 64) > (n[long] >> 1).astype(np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+    for i in np.flatnonzero(n > COUNTED):
+        raw = h[start[i] : start[i] + n[i]].view(np.uint8).reshape(-1, 8)
+        ones = sum(np.unpackbits(raw[k : k + 65536], axis=1).sum(axis=0, dtype=np.int64) for k in range(0, len(raw), 65536))
+        out[i] = np.packbits(2 * ones > n[i]).view(np.uint64)[0]
+    # all other runs a hash at a time, the longest runs first, with a number's bits in as many arrays
+    order = np.flatnonzero(n <= SLICED)
+    order = order[np.argsort((SLICED - n[order]).astype(np.uint8), kind="stable")]
+    first, size = start[order], n[order]
+    longest = int(size.max(initial=0))
+    more = np.searchsorted(-size, -np.arange(longest), side="left")
+    sums = np.zeros((longest.bit_length(), len(order)), np.uint64)
+    for j in range(longest):
+        carry = h[first[: more[j]] + j]
+        for level in sums[: (j + 1).bit_length(), : more[j]]:
+            both = level & carry
+            level ^= carry
+            carry = both
+    most = np.zeros(len(order), np.uint64)
+    for k, level in enumerate(sums):
+        half = -(size >> 1 >> k & 1).astype(np.int64)
+        half = half.view(np.uint64)
+        most = level & ~half | ~(level ^ half) & most
+    out[order] = most
+    return out
 
 
 def simhashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -100,7 +128,8 @@ def simhashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     again = (tagged[order[1:]] == tagged[order[:-1]]) & (line[order[1:]] == line[order[:-1]])
     new = np.ones(len(h), bool)
     new[order[1:][again]] = False
-    return votes(h[new], np.concatenate(([0], np.cumsum(np.bincount(line[new], minlength=len(at) - 1)))))
+    n = np.bincount(line[new], minlength=len(at) - 1)
+    return votes(h[new], np.cumsum(n) - n, n)
 
 
 @cache
@@ -121,38 +150,47 @@ def plan(low: int, few: int) -> list[tuple[int, int, int, int]]:
 
 
 def _dealt(words: np.ndarray, size: np.ndarray, line: np.ndarray, n: np.ndarray, bands: list[tuple[int, int, int, int]], salt: int, lines: int):
-    """``(line, key)`` of the blocks in use."""
+    """``(line, key)`` of the blocks in use, whose votes are counted together."""
     letters_of, words_of = np.bincount(line, size, lines), np.bincount(line, minlength=lines)
     short, middling = letters_of < SHORT_WORDS * words_of, letters_of < MIDDLING_WORDS * words_of
     most = int(words_of.max(initial=0))
+    begin = np.cumsum(words_of) - words_of
+    dealt: list[tuple] = []
+    laid = 0
     for number, (least, last, deals, g) in enumerate(bands):
         if least > most:
             break
-        own = (n >= least) & (n <= last)
-        chosen = np.flatnonzero(own[line])
-        if not len(chosen):
+        own = np.flatnonzero((n >= least) & (n <= last) & (words_of > 0))
+        if not len(own):
             continue
+        chosen = np.arange(words_of[own].sum()) + np.repeat(begin[own] - (np.cumsum(words_of[own]) - words_of[own]), words_of[own])
+        w, z, of = words[chosen], size[chosen], line[chosen].astype(np.uint64)
         for deal in range(deals + MORE_DEALS[min(number, 2)]):
             if deal == deals:
-                chosen = chosen[(middling if number < len(MORE_BLOCKS) else short)[line[chosen]]]
+                more = (middling if number < len(MORE_BLOCKS) else short)[of.astype(np.int64)]
+                w, z, of = w[more], z[more], of[more]
                 g = MORE_BLOCKS[number] if number < len(MORE_BLOCKS) else g
-            if not len(chosen):
+            if not len(w):
                 break
             tag = np.uint64((salt * 1000003 + number * 7 + deal + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            block = ((mix(words[chosen] ^ tag) >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)).astype(np.int64)
+            block = (mix(w ^ tag) >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)
             # numbers that hold place and order are sorted faster than an order is found
-            bits = np.uint64(len(chosen).bit_length())
-            place = np.sort((line[chosen] * g + block).astype(np.uint64) << bits | np.arange(len(chosen), dtype=np.uint64))
-            where, place = chosen[(place & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)], (place >> bits).astype(np.int64)
+            bits = np.uint64(len(w).bit_length())
+            place = np.sort((of * np.uint64(g) + block) << bits | np.arange(len(w), dtype=np.uint64))
+            where, place = (place & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), (place >> bits).astype(np.int64)
             at = np.append(np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))), len(place))
             count = np.diff(at)
-            enough = (np.add.reduceat(size[where], at[:-1]) >= LETTERS) | (short[place[at[:-1]] // g] & (count >= TOGETHER_WORDS))
+            enough = (np.add.reduceat(z[where], at[:-1]) >= LETTERS) | (short[place[at[:-1]] // g] & (count >= TOGETHER_WORDS))
             used = np.flatnonzero(enough)
             if not len(used):
                 continue
-            sim = votes(words[where], at)[used]
-            place = place[at[:-1]][used]
-            yield place // g, mix(mix(sim + mix((place % g).astype(np.uint64) + tag)) + count[used].astype(np.uint64))
+            row, block = np.divmod(place[at[used]], g)
+            dealt.append((w[where], at[used] + laid, count[used], row, mix(block.astype(np.uint64) + tag)))
+            laid += len(where)
+    if not dealt:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    words, at, count, row, block = (np.concatenate(x) for x in zip(*dealt, strict=True))
+    return row, mix(mix(votes(words, at, count) + block) + count.astype(np.uint64))
 
 
 def block_keys(words: np.ndarray, size: np.ndarray, at: np.ndarray, min_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -175,10 +213,7 @@ def block_keys(words: np.ndarray, size: np.ndarray, at: np.ndarray, min_words: i
     counted = (n >= max(min_words, math.ceil(0.8 * (SHORT + 1))))
     by_long = np.where(counted & (n_long >= SOME_LONG), n_long, 0)
     by_all = np.where(counted & (n_long <= FEW_LONG), n, 0)
-    for r, k in _dealt(words[long], size[long], line[long], by_long, plan(SOME_LONG, 20), 1, lines):
-        rows.append(r)
-        keys.append(k)
-    for r, k in _dealt(words, size, line, by_all, plan(SHORT + 1, 39), 2, lines):
+    for r, k in (_dealt(words[long], size[long], line[long], by_long, plan(SOME_LONG, 20), 1, lines), _dealt(words, size, line, by_all, plan(SHORT + 1, 39), 2, lines)):
         rows.append(r)
         keys.append(k)
     rows, keys = np.concatenate(rows), np.concatenate(keys)
@@ -187,6 +222,7 @@ def block_keys(words: np.ndarray, size: np.ndarray, at: np.ndarray, min_words: i
 
 def _lines(min_words: int):
     def run(batches):
+        seen = np.zeros(0, np.uint64)
         for batch in parts(batches):
             column = as_array(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -216,10 +252,23 @@ def _lines(min_words: int):
                 words = h[chosen]
                 place = (np.arange(len(words)) - np.repeat(wat[:-1], n[ok])).astype(np.uint64)
                 whole = mix(np.add.reduceat(mix(words ^ (place * np.uint64(0x9E3779B97F4A7C15))), wat[:-1]) + n[ok].astype(np.uint64))
-                keys, key_at = block_keys(words, (we - ws)[chosen], wat, min_words)
+                # of the copies that a task meets one has keys and a SimHash
+                whole_of, new = np.unique(whole, return_index=True)
+                there = np.searchsorted(seen, whole_of)
+                known = np.append(seen, np.uint64(0))[there] == whole_of
+                known[there == len(seen)] = False
+                new = np.sort(new[~known])
+                new = new[n[ok[new]] >= min_words]
+                seen = np.insert(seen, there[~known], whole_of[~known]) if len(seen) < SEEN else whole_of
+                of = np.arange(n[ok[new]].sum()) + np.repeat(wat[new] - (np.cumsum(n[ok[new]]) - n[ok[new]]), n[ok[new]])
+                new_at = np.concatenate(([0], np.cumsum(n[ok[new]])))
+                keys, key_at = block_keys(words[of], (we - ws)[chosen[of]], new_at, min_words)
+                n_keys, sim = np.zeros(len(ok), np.int64), np.zeros(len(ok), np.uint64)
+                n_keys[new], sim[new] = np.diff(key_at), simhashes(words[of], new_at)
+                key_at = np.concatenate(([0], np.cumsum(n_keys)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[rows[owner[ok]]], pa.int64()), pa.array(number[ok], pa.int32()), pa.array(signed(whole)), pa.array(signed(simhashes(words, wat))), pa.array(n[ok], pa.int32()),
+                        pa.array(ids[rows[owner[ok]]], pa.int64()), pa.array(number[ok], pa.int32()), pa.array(signed(whole)), pa.array(signed(sim)), pa.array(n[ok], pa.int32()),
                         pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(signed(keys >> TOLD))),
                     ],
                     names=["doc_id", "line_no", "h", "sim", "n_words", "keys"],
@@ -285,20 +334,24 @@ def _edges(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _nearest(least: float):
-    """``(a, b)``: each line of a key with the nearest one before it there, if it is near."""
+    """``(a, b)``: each line of a key with the nearest one before it there, if it is near; and with itself each other line that may be compared
+    again, so that all texts are fetched at once."""
 
     def run(table: pa.Table) -> pa.Table:
         name, sim, n = (table.column(c).to_numpy() for c in ("h", "sim", "n_words"))
-        sim, n = sim.view(np.uint64), n.astype(np.int32)
+        sim, n, again = sim.view(np.uint64), n.astype(np.int32), np.zeros(len(name), bool)
         rows, place = short_runs(table, "key", TOGETHER)
         best, other = np.full(len(rows), 65, np.uint8), np.zeros(len(rows), np.int64)
+        i = np.flatnonzero(place >= 1)
         for lag in range(1, TOGETHER):
-            i = np.flatnonzero(place >= lag)
+            i = i[place[i] >= lag]
             x, y = rows[i], rows[i - lag]
             d = _apart(sim[x], sim[y], n[x], n[y], least)
             better = d < best[i]
             best[i[better]], other[i[better]] = d[better], y[better]
-        out = [_edges(name[rows[best <= FAR]], name[other[best <= FAR]])]
+            near = d <= FAR_AGAIN
+            again[x[near]] = again[y[near]] = True
+        found = [(rows[best <= FAR], other[best <= FAR])]
         for left, right in runs(table, "key", TOGETHER):
             for i in range(0, len(right), 128):
                 rows = right[i : i + 128]
@@ -308,20 +361,30 @@ def _nearest(least: float):
                     d[:, i:][~np.tri(len(rows), len(others) - i, -1, dtype=bool)] = 65
                 best = d.argmin(axis=1)
                 near = d[np.arange(len(rows)), best] <= FAR
-                out.append(_edges(name[rows[near]], name[others[best[near]]]))
-        a, b = np.concatenate(out, axis=1)
-        return pa.table({"a": a, "b": b})
+                found.append((rows[near], others[best[near]]))
+                close = d <= FAR_AGAIN
+                again[rows] |= close.any(axis=1)
+                again[others] |= close.any(axis=0)
+        x, y = (np.concatenate(side) for side in zip(*found, strict=True))
+        again[x] = again[y] = False
+        own = np.unique(name[again])
+        a, b = _edges(name[x], name[y])
+        return pa.table({"a": np.concatenate((a, own)), "b": np.concatenate((b, own))})
 
     return run
 
 
+#: A line of a key that is compared again.
+NEAR = "key long, h long, sim long, n_words int, comp long"
+
+
 def _crossing(least: float):
-    """``(key, h)``: the lines of a key that are near one of it with which they are not held together yet. Lines, not pairs, as a group of
-    many near copies has too many of these."""
+    """The lines of a key that are near one of it with which they are not held together yet. Lines, not pairs, as a group of many near
+    copies has too many of these."""
 
     def run(table: pa.Table) -> pa.Table:
-        name, sim, n, comp, key = (table.column(c).to_numpy() for c in ("h", "sim", "n_words", "comp", "key"))
-        sim, n, found = sim.view(np.uint64), n.astype(np.int32), np.zeros(len(name), bool)
+        sim, n, comp = (table.column(c).to_numpy() for c in ("sim", "n_words", "comp"))
+        sim, n, found = sim.view(np.uint64), n.astype(np.int32), np.zeros(len(sim), bool)
         rows, place = short_runs(table, "key", TOGETHER)
         for lag in range(1, TOGETHER):
             i = np.flatnonzero(place >= lag)
@@ -334,39 +397,132 @@ def _crossing(least: float):
                 near = (_apart(sim[rows][:, None], sim[left], n[rows][:, None], n[left], least) <= FAR_AGAIN) & (comp[rows][:, None] != comp[left][None, :])
                 found[rows] |= near.any(axis=1)
                 found[left] |= near.any(axis=0)
-        return pa.table({"key": key[found], "h": name[found]})
+        return table.select(["key", "h", "sim", "n_words", "comp"]).filter(pa.array(found))
 
     return run
 
 
+class _Words:
+    """The words of some lines, for telling many pairs of them apart together."""
+
+    def __init__(self, lines, least: float):
+        self.h, self.at = word_hashes(lines)
+        self.n, self.least = np.diff(self.at), least
+        has = np.zeros((len(self.n), 256), bool)
+        has[np.repeat(np.arange(len(self.n)), self.n), (self.h >> np.uint64(32) & np.uint64(255)).astype(np.int64)] = True
+        self.bits = np.packbits(has, axis=1).view(np.uint64)
+
+    def _flat(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of lines, and which line each is of."""
+        size = self.n[lines]
+        return self.h[np.arange(size.sum()) + np.repeat(self.at[lines] - (np.cumsum(size) - size), size)], np.repeat(np.arange(len(lines)), size)
+
+    def _lacking(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of each pair of lines how many words, counted as often as they occur, the one lacks that has more to lack."""
+        sides = []
+        for side, lines in enumerate((x, y)):
+            h, pair = self._flat(lines)
+            # a pair's number, most bits of a word, a side
+            sides.append(pair.astype(np.uint64) << np.uint64(44) | h >> np.uint64(21) << np.uint64(1) | np.uint64(side))
+        code = np.sort(np.concatenate(sides))
+        word = code >> np.uint64(1)
+        at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        of_y = np.add.reduceat(code & np.uint64(1), at).astype(np.int64)
+        common = np.bincount((word[at] >> np.uint64(43)).astype(np.int64), np.minimum(of_y, np.diff(at, append=len(code)) - of_y), len(x))
+        return np.maximum(self.n[x], self.n[y]) - common.astype(np.int64)
+
+    def similar(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether each pair of lines is similar. Words that the other line lacks take an edit each (some may share a bit, so these are at
+        least as many), and lines of one length need no more edits than places that differ; of the rest the edits are counted."""
+        nx, ny = self.n[x], self.n[y]
+        most = np.floor(np.maximum(nx, ny) * (1 - self.least) + 1e-9).astype(np.int64)
+        p, q = self.bits[x], self.bits[y]
+        lacking = np.maximum(np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64), np.bitwise_count(q & ~p).sum(axis=1, dtype=np.int64))
+        out, left = np.zeros(len(x), bool), (lacking <= most) & (np.abs(nx - ny) <= most)
+        same = np.flatnonzero(left & (nx == ny) & (nx > 0))
+        if len(same):
+            (p, pair), (q, _) = self._flat(x[same]), self._flat(y[same])
+            out[same] = np.bincount(pair[p != q], minlength=len(same)) <= most[same]
+            left[same] &= ~out[same]
+        rest = np.flatnonzero(left)
+        for k in range(0, len(rest), 1024):
+            i = rest[k : k + 1024]
+            left[i] = self._lacking(x[i], y[i]) <= most[i]
+        for i in np.flatnonzero(left).tolist():
+            out[i] = edit_similarity(self._of(x[i]), self._of(y[i]), self.least)
+        return out
+
+    def _of(self, i: int) -> list:
+        return self.h[self.at[i] : self.at[i + 1]].tolist()
+
+
+#: Pairs that are told apart together.
+PAIRS = 8192
+
+
+def _near_pairs(table: pa.Table, sim: np.ndarray, n: np.ndarray, comp: np.ndarray, least: float):
+    """``(x, y)`` rows of one key that are near and not held together, the nearest first; those of all short runs together."""
+    rows, place = short_runs(table, "key", TOGETHER)
+    found = []
+    for lag in range(1, TOGETHER):
+        i = np.flatnonzero(place >= lag)
+        x, y = rows[i], rows[i - lag]
+        d = _apart(sim[x], sim[y], n[x], n[y], least)
+        near = (d <= FAR_AGAIN) & (comp[x] != comp[y])
+        found.append((x[near], y[near], d[near]))
+    x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(d, kind="stable")
+    yield x[order], y[order]
+    for left, right in runs(table, "key", TOGETHER):
+        for i in range(0, len(right), 128):
+            rows = right[i : i + 128]
+            others = left[: i + 128] if left is right else left
+            d = _apart(sim[rows][:, None], sim[others], n[rows][:, None], n[others], least)
+            if left is right:
+                d[:, i:][~np.tri(len(rows), len(others) - i, -1, dtype=bool)] = 65
+            p, q = np.nonzero((d <= FAR_AGAIN) & (comp[rows][:, None] != comp[others]))
+            order = np.argsort(d[p, q], kind="stable")
+            yield rows[p[order]], others[q[order]]
+
+
 def _verified(least: float):
-    """``(a, b)``: links between lines of one key that are near and similar; what is held together already is not compared again."""
+    """``(a, b)``: components that are linked by lines of one key that are near and similar; what is held together already is not compared again."""
 
     def run(table: pa.Table) -> pa.Table:
         name, sim, n, comp = (table.column(c).to_numpy() for c in ("h", "sim", "n_words", "comp"))
-        sim, n, line = sim.view(np.uint64), n.astype(np.int32), table.column("line")
-        split: dict[int, list] = {}
-        words = lambda i: split[i] if i in split else split.setdefault(i, line[i].as_py().encode().lower().split())
+        sim, n = sim.view(np.uint64), n.astype(np.int32)
+        words = _Words(table.column("line"), least)
+        names, label = np.unique(comp, return_inverse=True)
+        line = np.unique(name, return_inverse=True)[1]
+        root, now, unlike = list(range(len(names))), label, np.zeros(0, np.int64)
         out: tuple[list, list] = ([], [])
-        for left, right in runs(table, "key"):
-            parent: dict[int, int] = {}
-
-            def find(x, parent=parent):
-                while (y := parent.get(x, x)) != x:
-                    parent[x] = parent.get(y, y)
-                    x = y
-                return x
-
-            for k, i in enumerate(left.tolist()):
-                others = right[k + 1 :] if left is right else right
-                d = _apart(sim[others], sim[i], n[others], n[i], least)
-                near = np.flatnonzero((d <= FAR_AGAIN) & (comp[others] != comp[i]))
-                for j in others[near[np.argsort(d[near], kind="stable")]].tolist():
-                    p, q = find(int(comp[i])), find(int(comp[j]))
-                    if p != q and edit_similarity(words(i), words(j), least):
-                        parent[max(p, q)] = min(p, q)
-                        out[0].append(min(name[i], name[j]))
-                        out[1].append(max(name[i], name[j]))
+
+        def find(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for xs, ys in _near_pairs(table, sim, n, comp, least):
+            for k in range(0, len(xs), PAIRS):
+                x, y = xs[k : k + PAIRS], ys[k : k + PAIRS]
+                # lines of several keys meet more than once
+                pair, first = np.unique(np.minimum(line[x], line[y]) * len(name) + np.maximum(line[x], line[y]), return_index=True)
+                new = ~np.isin(pair, unlike)
+                pair, first = pair[new], first[new]
+                apart = now[x[first]] != now[y[first]]
+                pair, x, y = pair[apart], x[first[apart]], y[first[apart]]
+                similar = words.similar(x, y)
+                unlike = np.concatenate((unlike, pair[~similar]))[-16 * PAIRS :]
+                for p, q in zip(label[x[similar]].tolist(), label[y[similar]].tolist(), strict=True):
+                    p, q = find(p), find(q)
+                    if p != q:
+                        p, q = min(p, q), max(p, q)
+                        out[0].append(names[p])
+                        out[1].append(names[q])
+                        root[q] = p
+                if similar.any():
+                    now = np.array([find(r) for r in range(len(root))])[label]
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return run
@@ -412,17 +568,24 @@ def edit_similarity(x: list, y: list, least: float) -> bool:
 
 def _verify(least: float):
     def run(batches):
-        for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("xa", "xb"))
-            keep = [edit_similarity(p.encode().lower().split(), q.encode().lower().split(), least) for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in parts(batches, column="xa"):
+            size = len(batch)
+            words = _Words(pa.concat_arrays([as_array(batch.column(c)) for c in ("xa", "xb")]), least)
+            yield batch.select(["a", "b"]).filter(pa.array(words.similar(np.arange(size), np.arange(size, 2 * size))))
 
     return run
 
 
-def _line_texts(lines: DataFrame, docs: DataFrame, unique: DataFrame) -> DataFrame:
-    """``(h, line)``: the text of each of ``lines`` (h), from its first occurrence."""
-    places = staged(unique.join(lines, "h", "left_semi").select("h", "first.doc_id", "first.line_no"), "places")
+def _small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, broadcast in a join if it has few rows."""
+    return F.broadcast(df) if small_enough(df, most_rows) else df
+
+
+def _line_texts(wanted: DataFrame, docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(h, line)``: the text of each line in ``wanted`` (h), from its first occurrence."""
+    wanted = staged(wanted, "wanted")
+    there = lines.select("h", "doc_id", "line_no").join(_small(wanted), "h", "left_semi")
+    places = staged(there.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("h", "first.*"), "places")
     wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
     if small_enough(places, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
@@ -431,42 +594,38 @@ def _line_texts(lines: DataFrame, docs: DataFrame, unique: DataFrame) -> DataFra
     return staged(texts.where("line is not null").dropDuplicates(["h"]), "texts")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, unique: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose lines have the edit similarity."""
-    texts = _line_texts(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), docs, unique)
-    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias("x" + c))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_verify(least), "a long, b long")
-
-
 def _documents(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def line_links(docs: DataFrame, lines: DataFrame, unique: DataFrame, similarity: float) -> DataFrame:
+def line_links(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """``(h, component)`` of the lines that are linked with others."""
     fuzzy = lines.where(F.size("keys") > 0).select("h", "sim", "n_words", F.explode("keys").alias("key"))
-    shared = _shared(lines)
-    shared = F.broadcast(shared) if small_enough(shared, BROADCAST_KEYS) else shared
+    shared = _small(_shared(lines), BROADCAST_KEYS)
     keyed = staged(fuzzy.join(shared, "key").groupBy("key", "h").agg(F.min("sim").alias("sim"), F.min("n_words").alias("n_words"), F.min("size").alias("size")), "keyed")
     pairs = staged(grouped(tiled(keyed, "key", ["h"], NEAR_TILE, keyed.count()), _nearest(similarity), "a long, b long").distinct(), "pairs")
-    links = staged(_similar(pairs, docs, unique, similarity), "links")
+    texts = _line_texts(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), docs, lines)
+    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias("x" + c))
+    links = pairs.where("a <> b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_verify(similarity), "a long, b long")
     found = staged(connected_components(links).withColumnRenamed("node", "h"), "found")
 
-    placed = keyed.join(found, "h", "left").withColumn("comp", F.coalesce("component", "h"))
-    mark = F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("mark")
+    placed = keyed.join(_small(found), "h", "left").withColumn("comp", F.coalesce("component", "h"))
+    mark = F.bit_xor(F.xxhash64("h")).alias("mark")
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), mark).where("low <> high and size > 2")
     # keys with equal lines are compared once
     first = staged(open_keys.groupBy("mark", "size").agg(F.min("key").alias("key")), "first")
-    members = placed.join(F.broadcast(first.select("key")) if small_enough(first, BROADCAST_KEYS) else first.select("key"), "key", "left_semi").select("key", "h", "sim", "n_words", "comp", "size")
+    members = placed.join(_small(first.select("key"), BROADCAST_KEYS), "key", "left_semi").select("key", "h", "sim", "n_words", "comp", "size")
     rows = first.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    near = staged(grouped(tiled(members, "key", ["h"], NEAR_TILE, rows), _crossing(similarity), "key long, h long").distinct(), "near")
-    if near.limit(1).count():
-        texts = _line_texts(near.select("h").distinct(), docs, unique)
-        again = members.drop("size").join(near, ["key", "h"], "left_semi").join(texts, "h")
-        more = staged(grouped(tiled(again, "key", ["h"]), _verified(similarity), "a long, b long").distinct(), "more")
-        # what is held together already stands for its links
-        held = found.select(F.col("h").alias("a"), F.col("component").alias("b"))
-        found = staged(connected_components(held.unionByName(more)).withColumnRenamed("node", "h"), "found")
+    near = staged(grouped(tiled(members, "key", ["h"], NEAR_TILE, rows), _crossing(similarity), NEAR).distinct(), "near")
+    if n_near := near.count():
+        again = near.join(_small(near.groupBy("key").agg(F.count("*").alias("size"))), "key").join(texts, "h")
+        more = staged(grouped(tiled(again, "key", ["h"], rows=n_near), _verified(similarity), "a long, b long").distinct(), "more")
+        # components are linked, not lines: few against the links that are known
+        merged = staged(connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("least")), "merged")
+        held = found.join(_small(merged), "component", "left").select("h", F.coalesce("least", "component").alias("component"))
+        # a line by itself is its own component
+        known = found.select(F.col("h").alias("component")).join(_small(merged), "component", "left_semi")
+        found = staged(held.unionByName(merged.join(known, "component", "left_anti").select(F.col("component").alias("h"), F.col("least").alias("component"))), "found")
     return found
 
 
@@ -478,14 +637,13 @@ def line_groups(documents: DataFrame, min_words: int = 5, similarity: float = 0.
     """
     docs = _documents(documents).where("doc_id is not null and text is not null")
     lines = staged(docs.mapInArrow(_lines(min_words), LINES), "lines")
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    unique = staged(lines.groupBy("h").agg(first, F.count("*").alias("n")), "unique")
-    group = line_links(docs, lines, unique, similarity)
+    group = line_links(docs, lines, similarity)
 
-    repeated = unique.join(group, "h", "left").where("n > 1 or component is not null").select("h", "first", F.coalesce("component", "h").alias("component"))
-    keeper = repeated.groupBy("component").agg(F.min("first").alias("keeper"))
-    keeper = repeated.select("h", "component").join(keeper, "component").select("h", "keeper")
-    return lines.select("doc_id", "line_no", "h").join(keeper, "h").select("doc_id", "line_no", (F.struct("doc_id", "line_no") == F.col("keeper")).alias("kept"))
+    copies = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    labels = staged(copies.join(group, "h", "full").select("h", F.coalesce("component", "h").alias("component")), "labels")
+    members = staged(lines.select("doc_id", "line_no", "h").join(_small(labels), "h").select("doc_id", "line_no", "component"), "members")
+    keeper = staged(members.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keeper")), "keeper")
+    return members.join(_small(keeper), "component").select("doc_id", "line_no", (F.struct("doc_id", "line_no") == F.col("keeper")).alias("kept"))
 
 
 def dedup_lines(documents: DataFrame, min_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -494,8 +652,8 @@ def dedup_lines(documents: DataFrame, min_words: int = 5, similarity: float = 0.
 
     Blank lines, and rows without a doc_id or text, stay as they are.
     """
-    dropped = line_groups(documents, min_words, similarity).where("not kept").select("doc_id", "line_no").distinct()
-    drops = staged(dropped.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("drop")), "drops")
+    dropped = line_groups(documents, min_words, similarity).where("not kept").groupBy("doc_id")
+    drops = staged(dropped.agg(F.sort_array(F.collect_set("line_no")).alias("drop")), "drops")
     total = drops.agg(F.sum(F.size("drop"))).first()[0] or 0
     if total <= BROADCAST_ROWS:
         drops = F.broadcast(drops)
@@ -505,5 +663,6 @@ def dedup_lines(documents: DataFrame, min_words: int = 5, similarity: float = 0.
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
     text = F.when(F.col("drop").isNull() | F.col("row.text").isNull(), F.col("row.text")).otherwise(left)
     kept = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in documents.columns if c not in ("n_lines", "n_dropped")]
+    n_lines = F.octet_length("row.text") - F.octet_length(F.replace("row.text", F.lit("\n"))) + 1
     n_dropped = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_dropped")
-    return rows.select(*kept, F.coalesce(F.array_size(lines), F.lit(0)).cast("long").alias("n_lines"), n_dropped)
+    return rows.select(*kept, F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), n_dropped)
