@@ -138,6 +138,26 @@ def test_tiles_meet_without_copies_of_the_returns(spark):
     assert wd.covariance_tiles(spark.createDataFrame([], "asset string, dt date, ret double")).count() == 0
 
 
+def test_written_pairs_of_like_values_lie_together(spark, tmp_path):
+    rng, days = np.random.default_rng(6), [DAY + dt.timedelta(days=i) for i in range(40)]
+    names, x = [f"a{i}" for i in range(1000)], 0.3 * rng.normal(size=(40, 1000))
+    x[:, 7] = 0.5  # has no correlation
+    rows = spark.createDataFrame(pd.DataFrame({"asset": np.repeat(names, 40), "dt": days * 1000, "ret": x.T.ravel()}), "asset string, dt date, ret double")
+    pairs = wd.covariance_tiles(rows).withColumns({c: F.round(c, 6) for c in ("cov", "corr")})
+    pairs.write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    out.repartition(1).sortWithinPartitions("a", "b").write.parquet(f"{tmp_path}/by_name")
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet"))
+    assert size("out") < 0.9 * size("by_name")
+    got, cov = pd.concat(map(pd.read_parquet, (tmp_path / "out").glob("*.parquet"))), np.cov(x.T)
+    i, j = (got[c].str[1:].astype(int).to_numpy() for c in "ab")
+    assert len(got) == 1000 * 1001 // 2 > wd.ROWS and not got.duplicated(["a", "b"]).any() and (got["a"] <= got["b"]).all() and (got["n"] == 40).all()
+    assert got["cov"].to_numpy() == pytest.approx(cov[i, j], abs=1e-6)
+    flat = (i == 7) | (j == 7)
+    assert (got["corr"].isna() == flat).all()
+    assert got["corr"].to_numpy()[~flat] == pytest.approx((cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)) + (cov == 0)))[i, j][~flat], abs=1e-6)
+
+
 def test_drawn_weights_fill_the_simplex(spark):
     w = wd.drawn_weights(spark, 12, 4000).toPandas().drop(columns="i").to_numpy()
     assert w.sum(axis=1) == pytest.approx(1) and (w >= 0).all()

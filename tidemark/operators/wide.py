@@ -59,7 +59,7 @@ def _gram(batches):
             names = sorted({*x[0], *y[0]})
             rank = {a: k for k, a in enumerate(names)}
             p, q = (np.array([rank[a] for a in side[0]], np.int32) for side in (x, y))
-            names, step = pa.array(names, pa.string()), max(1, ROWS // len(q))
+            names, step, parts = pa.array(names, pa.string()), max(1, ROWS // len(q)), []
             for k in range(0, len(p), step):
                 n, sx, sy, sxy, sxx, syy = (t[k : k + step] for t in total)
                 own = p[k : k + step]
@@ -70,10 +70,15 @@ def _gram(batches):
                 n, sx, sy, sxy, sxx, syy = (t[keep] for t in (n, sx, sy, sxy, sxx, syy))
                 cov, vx, vy = (sxy - sx * sy / n) / (n - 1), (sxx - sx * sx / n) / (n - 1), (syy - sy * sy / n) / (n - 1)
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    corr = cov / np.sqrt(vx * vy)
-                columns = [names.take(pa.array(f(own[i], q[j]))) for f in (np.minimum, np.maximum)]
-                corr = pa.array(corr, pa.float64(), mask=~((vx > 0) & (vy > 0)) | np.isnan(corr))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64)), pa.array(cov), corr], names=["a", "b", "n", "cov", "corr"])
+                    corr = np.where((vx > 0) & (vy > 0), cov / np.sqrt(vx * vy), np.nan)
+                parts.append((np.minimum(own[i], q[j]), np.maximum(own[i], q[j]), n.astype(np.int64), cov, corr))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            # like values lie together, so that rounded ones take less disk
+            order = np.argsort(np.abs(columns[-1]), kind="stable")
+            for k in range(0, len(order), ROWS):
+                a, b, n, cov, corr = (c[order[k : k + ROWS]] for c in columns)
+                pair = [names.take(pa.array(x)) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([*pair, pa.array(n), pa.array(cov), pa.array(corr, mask=np.isnan(corr))], names=["a", "b", "n", "cov", "corr"])
 
 
 def covariance_tiles(returns: DataFrame, tile: int = TILE) -> DataFrame:
@@ -82,7 +87,7 @@ def covariance_tiles(returns: DataFrame, tile: int = TILE) -> DataFrame:
 
     Assets are dealt to tiles of about ``tile`` series, fewer where these are long. A tile is a row; each two tiles meet in a row of the tiles' product
     with themselves, which reads them from where they were written once, so what is shuffled and written follows the returns, not the
-    pairs. Of a period that repeats one value counts; rows with nulls count for nothing.
+    pairs. A row's pairs come ordered by how strongly they correlate. Of a period that repeats one value counts; rows with nulls count for nothing.
     """
     rows = returns.select(F.col("asset").cast("string").alias("asset"), "dt", F.col("ret").cast("double").alias("ret")).na.drop()
     series = rows.groupBy("asset").agg(F.collect_list(F.struct("dt", "ret")).alias("s")).select("asset", F.col("s.dt").alias("days"), F.col("s.ret").alias("rets"))
